@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from .curve_packing import op10_packing
+from .language_id import language_pages, op1_language_id
 from .media_columns import op7_media
+from .quality_classifier import op2_quality
 from .simhash_dedup import op4_simhash
 
-QUERIES = {"op4_simhash": op4_simhash, "op7_media": op7_media}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
+    "op4_simhash": op4_simhash,
+    "op7_media": op7_media,
+    "op10_packing": op10_packing,
+    "language_pages": language_pages,
+}
 ORACLE_SQL: dict[str, str] = {}
