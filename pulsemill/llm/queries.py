@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .curve_packing import op10_packing
+from .katz_lm import op3_katz
 from .language_id import language_pages, op1_language_id
 from .media_columns import op7_media
 from .quality_classifier import op2_quality
@@ -11,6 +12,7 @@ from .simhash_dedup import op4_simhash
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_katz": op3_katz,
     "op4_simhash": op4_simhash,
     "op7_media": op7_media,
     "op10_packing": op10_packing,
