@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .curve_packing import op10_packing
+from .html_extraction import op9_html_text
 from .katz_lm import op3_katz
 from .language_id import language_pages, op1_language_id
 from .media_columns import op7_media
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_katz": op3_katz,
     "op4_simhash": op4_simhash,
     "op7_media": op7_media,
+    "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
     "language_pages": language_pages,
 }
