@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .curve_packing import op10_packing
+from . import decontamination, url_filter
 from .html_extraction import op9_html_text
 from .katz_lm import op3_katz
 from .language_id import language_pages, op1_language_id
@@ -15,9 +16,11 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_katz": op3_katz,
     "op4_simhash": op4_simhash,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_media": op7_media,
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
     "language_pages": language_pages,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_url_filter": url_filter.ORACLE, "op6_decontamination": decontamination.ORACLE}
