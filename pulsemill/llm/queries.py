@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .curve_packing import op10_packing
-from . import decontamination, url_filter
+from . import decontamination, license_scan, url_filter
 from .html_extraction import op9_html_text
 from .katz_lm import op3_katz
 from .language_id import language_pages, op1_language_id
@@ -19,8 +19,9 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_media": op7_media,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
     "language_pages": language_pages,
 }
-ORACLE_SQL = {"op5_url_filter": url_filter.ORACLE, "op6_decontamination": decontamination.ORACLE}
+ORACLE_SQL = {"op5_url_filter": url_filter.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_license_scan": license_scan.ORACLE}
