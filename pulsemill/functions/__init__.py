@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def rounded(value: Column, places: int = 4) -> Column:
@@ -41,7 +42,7 @@ def retry_delay(delay: Column | float, attempts: Column) -> Column:
     return delay * F.pow(F.lit(2.0), F.least(attempts - 1, F.lit(6)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def spectrum_magnitude(values: pd.Series) -> pd.Series:
     """Magnitudes of the one-sided spectrum of each series: n // 2 + 1 bins. Null values are an error."""
     return values.map(lambda v: np.abs(np.fft.rfft(np.asarray(v, dtype=np.float64))))

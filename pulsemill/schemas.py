@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
+
+_TYPES = {"timestamp_ntz": TimestampNTZType(), "timestamp": TimestampType(), "string": StringType(), "double": DoubleType(), "int": IntegerType(), "bigint": LongType(), "boolean": BooleanType(), "array<double>": ArrayType(DoubleType())}
 
 
 def _of(text: str) -> StructType:
-    return StructType.fromDDL(text)
+    """`name type, name type, ...`; unlike Spark's own parser this needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (part.split(" ") for part in text.split(", "))])
 
 
+MESSAGE = _of("timestamp string, location string, x double, y double, z double")
 RAW = _of("timestamp timestamp_ntz, location string, x double, y double, z double")
 STAGING = _of("timestamp timestamp_ntz, location string, x double, y double, z double, magnitude double, batch_ts timestamp, batch_id string")
 LOCATION_HLP = _of("location_key int, location_name string, city string, country string, ins_tmstmp timestamp_ntz, upd_tmstmp timestamp_ntz, batch_id string")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..schemas import MESSAGE
 from .files import Folders
 
-MESSAGE = StructType.fromDDL("timestamp string, location string, x double, y double, z double")
 FLUSH = "30 seconds"
 
 
