@@ -35,7 +35,7 @@ SILENT = frozenset("head script style template noscript title svg math iframe ob
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select menu".split())
 FEATURE_BITS = 16
-TRAINING_PAGES, EPOCHS, SEED = 900, 6, 7
+TRAINING_PAGES, EPOCHS, SEED = 1200, 6, 7
 
 
 class Block(NamedTuple):
@@ -240,6 +240,10 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
     link = lambda: f'<a href="/{word()}">{phrase(rng.randint(1, 3))}</a>'
     attr = lambda words: pick([f' class="{pick(words)}"', f' id="{pick(words)}"', f' class="{word()} {pick(words)}"', f' class="{pick(words)}-{pick(["box", "wrap", "area", "list", "1"])}"'])
 
+    def boxed(tags, names, inner):
+        tag = pick(tags)
+        return f"<{tag}{attr(names)}>{inner}</{tag}>"
+
     def links(low=3, high=9):
         items = "".join(f"<li>{link()}{pick(['', '</li>', '</li>'])}" for _ in range(rng.randint(low, high)))
         return pick([f"<ul>{items}</ul>", f"<ol>{items}</ol>", " | ".join(link() for _ in range(rng.randint(low, high)))])
@@ -261,11 +265,11 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
 
     def notice():
         inner = pick([f"<p>{prose(3)}</p>", prose(2), f"<p>{sentence()}</p><button>{phrase(1)}</button>"])
-        return f"<{pick(['div', 'section', 'aside'])}{attr(['cookie', 'cookies', 'notice', 'consent', 'gdpr', 'popup', 'modal', 'alert', 'overlay', 'banner', 'privacy', 'paywall', 'warning', 'message'])}>{inner}</div>"
+        return boxed(["div", "section", "aside"], ["cookie", "cookies", "notice", "consent", "gdpr", "popup", "modal", "alert", "overlay", "banner", "privacy", "paywall", "warning", "message"], inner)
 
     def advert():
         inner = pick([prose(3), f"<p>{prose(3)}</p>", f"<a href='/x'>{prose(2)}</a>", sentence()])
-        return f"<{pick(['div', 'div', 'aside', 'section'])}{attr(['ad', 'ads', 'advert', 'advertisement', 'sponsored', 'sponsor', 'promo', 'adsbox', 'banner'])}>{inner}</div>"
+        return boxed(["div", "div", "aside", "section"], ["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "adsbox", "banner"], inner)
 
     def form():
         inner = pick([f"<label>{phrase(2)}</label><input><button>{phrase(1)}</button>", f"<p>{sentence()}</p><input type=text><select><option>{word()}<option>{word()}</select>", f"{phrase(3)} <input> <textarea>{phrase(2)}</textarea>"])
@@ -273,7 +277,7 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
 
     def remarks():
         one = lambda: pick([f'<div class="comment"><b>{word()}</b> {prose(4)}</div>', f"<li><p>{prose(4)}</p></li>", f'<div class="comment"><p>{prose(5)}</p><span>{word()} {rng.randint(1, 30)}</span></div>', f"<article><p>{prose(4)}</p></article>"])
-        return f"<{pick(['section', 'div', 'ol'])}{attr(['comments', 'comment', 'commentlist', 'responses', 'discussion', 'disqus', 'replies', 'reader-comments'])}><h3>{phrase(2)}</h3>{''.join(one() for _ in range(rng.randint(1, 4)))}</div>"
+        return boxed(["section", "div", "ol", "aside"], ["comments", "comment", "commentlist", "responses", "discussion", "disqus", "replies", "reader-comments"], f"<h3>{phrase(2)}</h3>{''.join(one() for _ in range(rng.randint(1, 4)))}")
 
     aside = [menu, side, notice, advert, form, remarks]
     for _ in range(pages):
