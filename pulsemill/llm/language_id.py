@@ -2,7 +2,7 @@
 
 Four pieces of evidence are multiplied: the likelihood of the text (byte 4-grams, hashed, per language), the probability
 of the declared markup language and of the address suffix given the language, and a host prior. The text model learns from
-at most `max_rows` declared documents a language, chosen by hash, over their whole texts. The other tables are grouped
+the share of each language's declared documents, chosen by hash, that makes `max_rows`, over their whole texts. The other tables are grouped
 sums, over all rows, of the text model's posteriors: declared x language, suffix x language, and language by host,
 smoothed towards its suffix, which is smoothed towards all rows. Sums are combined before the shuffle, so one host with
 most rows costs no more than any other, and tables of hosts are joined, never collected.
@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import byte_blocks, flat_text, stored, table
 
@@ -83,18 +82,15 @@ class TextModel(NamedTuple):
 
 def trained(docs: DataFrame, text_col: str, declared_col: str, max_rows: int = MAX_ROWS) -> TextModel:
     """Gram weights for the up to MAX_LANGUAGES commonest declared languages."""
-    spark = docs.sparkSession
     rows = docs.select(F.lower(F.substring_index(F.trim(F.col(declared_col)), "-", 1)).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.length("lang") > 0)
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    common = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = tuple(sorted(common))
     if not languages:
         return TextModel(("und",), np.zeros((1, GRAM_BUCKETS), np.int32))
-    known = spark.createDataFrame([(x,) for x in languages], "lang string")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "size"))
-    ranked = rows.join(F.broadcast(known), "lang").select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
-    chosen = ranked.withColumn("k", rank).where(F.col("k") <= max_rows).select("lang", "h").distinct()
-    sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])  # of at most MAX_LANGUAGES * max_rows rows
+    # of each language the share by hash that makes max_rows; no order, so no task that sees a whole language
+    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, max_rows / common[k]))])
+    sample = rows.withColumn("h", F.xxhash64("text")).where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 31)) < share[F.col("lang")] * (1 << 31))
     sample = sample.dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def counted(batches):
