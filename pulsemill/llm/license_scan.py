@@ -93,8 +93,10 @@ def scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
     found = met.join(bounded(of_templates), (F.col("m") == F.col("of_m")) & (F.col("band") == F.col("of_band")) & (F.col("low") == F.col("of_low")))
     found = found.select("doc_id", "h", "m", "win", "name").distinct()
     asked = found.join(bounded(shingles.select("name", "s", "n")), "name")
-    held = windows.select(*[F.col(c).alias(f"{c}_") for c in windows.columns])
-    same = [asked.doc_id.eqNullSafe(held.doc_id_), asked.h == held.h_, asked.m == held.m_, asked.win == held.win_, asked.s == held.s_]
+    # against the kept shingles themselves: a window holds those of its own block of m and of the next
+    held = near.select(*[F.col(c).alias(f"{c}_") for c in near.columns])
+    inside = F.floor(F.col("pos_") / F.col("m")) - F.col("win")
+    same = [asked.doc_id.eqNullSafe(held.doc_id_), asked.h == held.h_, asked.s == held.s_, (inside == 0) | (inside == 1)]
     each = asked.join(held, same).groupBy("doc_id", "h", "name", "n", "win").agg(F.countDistinct("s").alias("hits"), F.min("pos_").alias("pos"))
     each = each.where(F.col("hits") >= CONTAINMENT * F.col("n"))
     best = each.groupBy("doc_id", "h", "name").agg(F.min(F.struct((-F.col("hits") / F.col("n")).alias("less"), "pos")).alias("x"))
