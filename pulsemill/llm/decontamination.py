@@ -66,7 +66,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def rarest_terms(windows: DataFrame, index: DataFrame, most: int) -> DataFrame:
     """The terms of each window by falling rarity, up to rank `most`; windows with a term that never occurs are gone. Stored."""
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    counts = bounded(stored(index.groupBy("term").agg(F.count("*").alias("n")), "counts"))  # a row a benchmark term
     by = Window.partitionBy("wid")
     ranked = window_terms(windows).join(counts, "term", "left").withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(by))
     ranked = ranked.where("least > 0").withColumn("rank", F.row_number().over(by.orderBy("n", "place")))
@@ -129,7 +129,7 @@ def kept(docs: DataFrame, items: DataFrame) -> DataFrame:
     terms = stored(window_terms(windows).select("term").distinct(), "terms")
     index = postings(docs, terms)
     near = candidates(index, rarest_terms(windows, index, 2)).join(bounded(windows.select("wid", "phrase")), "wid")
-    near = near.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("near"))
+    near = stored(near.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("near")), "near")
     rows = keyed(docs)
     joined = near.select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "near").join(rows, rows.doc_id.eqNullSafe(F.col("near_id")) & (rows.h == F.col("near_h")))
     joined = joined.select("near_id", "near_h", "near", words_of(F.col("text")).alias("w"))
