@@ -23,7 +23,7 @@ from .common import byte_blocks, flat_text, table
 MAX_ROWS = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
-TREES, DEPTH, BINS, RATE, L2, MIN_HESSIAN = 80, 4, 64, 0.15, 1.0, 4.0
+TREES, DEPTH, BINS, RATE, L2, MIN_HESSIAN = 80, 4, 64, 0.15, 1.0, 1.0
 BLOCK = 1 << 20
 
 FEATURES = (
