@@ -1,0 +1,152 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from pulsemill.llm import language_id as li
+from pulsemill.llm import quality_classifier as qc
+from pulsemill.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def auc(y, s):
+    order = np.argsort(s, kind="stable")
+    rank = np.empty(len(s))
+    rank[order] = np.arange(1, len(s) + 1)
+    y = np.array(y)
+    return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+def test_quality_on_held_out_documents(spark):
+    got = {r.doc_id: r for r in QUERIES["op2_quality"](spark, SF).collect()}
+    assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+    held = [(r.quality, got[r.doc_id]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if got[r.doc_id].held_out]
+    assert auc([y for y, _ in held], [r.score for _, r in held]) > 0.97
+    assert np.mean([y == r.predicted for y, r in held]) > 0.95
+
+
+def test_quality_edges(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (None, "some words here.", None), (3, "x" * 300_000, ""), (3, "x" * 300_000, ""), (4, "THE!! THE!! | | |", "c"), (5, " \n\n", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(0)):
+        got = qc.scored(docs, known).collect()
+        assert len(got) == 7 and all(0 < r.score < 1 for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    assert qc.scored(docs.limit(0), labels).count() == 0
+    assert qc.kept(docs, labels.limit(0)).columns == docs.columns
+
+
+def test_labels_are_learned_from_outside_fold_0_only(spark, monkeypatch):
+    ids = list(range(300))
+    docs = spark.createDataFrame([(d, "good text here. " * (1 + d % 3) if d % 2 else "BAD!! " * (2 + d % 5)) for d in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, quality int")
+    flipped = spark.createDataFrame([(d, 1 - d % 2 if zlib.crc32(str(d).encode()) % 5 == 0 else d % 2) for d in ids], "doc_id long, quality int")
+    one, two = (sorted(map(tuple, qc.scored(docs, x).collect())) for x in (labels, flipped))
+    assert one == two and all(p == d % 2 for d, _, _, p in one)
+
+
+def test_trees_by_walking():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, len(qc.FEATURES))).astype(np.float32)
+    x[:, 3] = 0
+    y = ((x[:, 0] > 0.2) & (x[:, 1] < 0.5) | (x[:, 2] > 1)).astype(float)
+    model = qc.grow(x, y, trees=20)
+
+    def walk(row):
+        total = model.base
+        for f, c, leaf in zip(model.feature, model.cut, model.leaf):
+            k = 0
+            while k < len(f):
+                k = 2 * k + 1 + int(row[f[k]] > c[k])
+            total += leaf[k - len(f)]
+        return total
+
+    assert np.allclose(model.margin(x), [walk(r) for r in x])
+    assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def test_features_do_not_depend_on_the_batch(monkeypatch):
+    texts = ["One two. Three!", None, "", "é ü | x\nx\nx", "word " * 500]
+    whole = qc.features_of(pa.array(texts))
+    monkeypatch.setattr(qc, "BLOCK", 16)
+    assert (qc.features_of(pa.array(texts)) == whole).all()
+    assert (np.concatenate([qc.features_of(pa.array([t], pa.string())) for t in texts]) == whole).all()
+
+
+def test_languages(spark):
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op1_language_id"](spark, SF).collect()
+    assert len(got) == 1000
+    assert np.mean([docs[r.doc_id] == r.language for r in got]) > 0.99 and np.mean([docs[r.doc_id] == r.text_language for r in got]) > 0.98
+    assert all(0 <= r.posterior <= 1 + 1e-9 for r in got)
+
+
+def test_languages_of_pages(spark):
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
+    got = QUERIES["language_pages"](spark, SF).collect()
+    assert np.mean([f"/{r.language}/" in pages[r.page_id] for r in got]) > 0.95
+
+
+EN, DE = "the man and the house with the other thing of that time ", "der Mann und das Haus mit der anderen Sache von dieser Zeit "
+
+
+def evidence(spark):
+    rows = [(k, EN * 3, "en", "a.example", "com") for k in range(30)] + [(100 + k, DE * 3, "de", "b.example", "de") for k in range(30)]
+    rows += [(200, None, None, None, None), (201, "", "de", "b.example", "de"), (202, "12 34 !!", None, "a.example", "com"), (203, DE, "en", "b.example", "de"), (204, EN, None, None, None), (None, DE, "DE-at", " B.example", "DE"), (205, "the", "xx", "c.example", "de"), (100, DE * 3, "de", "b.example", "de")]
+    return spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, source string, suffix string, language string")
+
+
+def test_evidence(spark):
+    docs = evidence(spark)
+    got = {}
+    for r in li.identified(docs, suffix_col="suffix").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len(got[100]) == 2 and got[200][0].language == "und" and got[200][0].posterior == 0
+    assert (got[201][0].language, got[201][0].text_language) == ("de", "und")
+    assert got[202][0].language == "en" and got[203][0].language == "de" and got[204][0].language == "en" and got[None][0].language == "de"
+    names = docs.columns
+    kept = li.kept(docs)
+    # 205: its one word is as likely in the language of its own declaration, which no other row has, so no posterior reaches a half
+    assert kept.columns == names and sorted({r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()}, key=str) == [200, 201, 202, 205]
+    assert kept.where("doc_id = 100").count() == 2
+    assert li.identified(docs.limit(0)).count() == 0 and li.kept(docs.limit(0)).count() == 0
+
+
+def test_posterior_by_hand(spark):
+    """Bayes' rule over the published pieces: text, declaration, suffix prior, host prior."""
+    docs = evidence(spark)
+    model = li.trained(docs, "text", "lang")
+    langs = model.languages
+    rows = docs.collect()
+    score, letters = model.likelihoods(pa.array([r.text for r in rows]))
+    p = np.exp(li.TEMPER * (score - score.max(1, keepdims=True)))
+    p /= p.sum(1, keepdims=True)
+    have = letters > 0
+    clean = lambda v: (v or "").strip().lower()
+    said = [x if (x := clean(r.lang).split("-")[0]) in langs else "other" if x else "" for r in rows]
+    total = p[have].sum(0)
+    prior = (total + 1) / (total.sum() + len(langs))
+    for k, r in enumerate(rows):
+        if r.doc_id not in (203, 205, 3):
+            continue
+        suffix = np.array([have[i] and clean(x.suffix) == clean(r.suffix) for i, x in enumerate(rows)])
+        host = suffix & np.array([clean(x.source) == clean(r.source) for x in rows])
+        up = (p[suffix].sum(0) + li.STRENGTH * prior) / (suffix.sum() + li.STRENGTH)
+        start = (p[host].sum(0) + li.STRENGTH * up) / (host.sum() + li.STRENGTH)
+        same = have & (np.array(said) == said[k])
+        tell = (p[same].sum(0) + 1) / (total + len(langs) + 2)
+        want = start * p[k] * tell
+        want /= want.sum()
+        (got,) = [x for x in li.identified(docs, suffix_col="suffix").where(f"doc_id = {r.doc_id}").collect()]
+        assert got.language == langs[want.argmax()] and got.posterior == pytest.approx(want.max(), rel=1e-6)
+
+
+def test_likelihoods_do_not_depend_on_the_batch(spark, monkeypatch):
+    model = li.trained(evidence(spark), "text", "lang")
+    texts = [EN, None, DE * 50, "", "é"]
+    alone = np.concatenate([model.likelihoods(pa.array([t], pa.string()))[0] for t in texts])
+    assert np.allclose(model.likelihoods(pa.array(texts))[0][[0, 1, 3, 4]], alone[[0, 1, 3, 4]], atol=60)
