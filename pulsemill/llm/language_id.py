@@ -185,7 +185,7 @@ def kept(docs: DataFrame, least: float = MIN_POSTERIOR) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumn("__key", F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("a"), F.hash(*[F.col(f"`{c}`") for c in names]).alias("b")))
     found = identified(keyed, id_cols=["__key"])
-    rejected = found.where((F.col("text_language") == "und") | (F.col("posterior") < least)).select("__key").distinct()
+    rejected = stored(found.where((F.col("text_language") == "und") | (F.col("posterior") < least)).select("__key").distinct(), "rejected")  # of a known size: few are broadcast, and the texts stay where they are
     return keyed.join(rejected, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in names])
 
 
