@@ -30,7 +30,8 @@ def day_part(column: str):
 
 
 def merge_by_day(tx: Transaction, table: str, source: DataFrame, time_column: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Upsert a mart, rewriting only the days that the source has."""
+    """Upsert a mart, rewriting only the days that the source has. The source is computed once."""
+    source = tx.side(source)
     days = sorted(r["d"] for r in source.select(day_part(time_column).alias("d")).distinct().collect())  # days of one batch
     if days:
         tx.replace_parts(table, merge(tx.read(table, days), source), day_part(time_column), days)
