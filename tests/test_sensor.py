@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsemill import functions as fn
 from pulsemill.operators import models
 from pulsemill.operators.upsert import DuplicateKeys, check_source
-from pulsemill.plans import ledger, pipeline, worker
+from pulsemill.plans import ledger, pipeline, sql, worker
 from pulsemill.plans.store import Conflict, Store
 from pulsemill.schemas import HOURLY, LOCATION_DIM, LOCATION_HLP, QUEUE, RAW, SPECTRUM
 from pulsemill.session import load_config
@@ -319,3 +319,15 @@ def test_stream_of_files(spark, lake, tmp_path):
 def test_extra_functions(spark):
     row = spark.range(1).select(fn.parent_path(F.lit("/a/b/c.parquet")).alias("p"), fn.megabytes(F.lit(358088202)).alias("mb"), fn.retry_delay(120, F.lit(9)).alias("d"), fn.truncated("hour", F.lit(None).cast("timestamp_ntz")).alias("h")).first()
     assert (row.p, row.mb, row.d, row.h) == ("/a/b", 341.5, 7680.0, None)
+
+
+def test_sql_over_a_store(spark, lake):
+    pipeline.run(spark, lake)
+    store = Store(spark, lake["catalog_path"])
+    sql.register_functions(spark)
+    sql.register_views(store)
+    assert spark.sql("SELECT sum(sample_count) FROM marts.accel_hourly_summary").first()[0] == 30
+    assert spark.sql("SELECT count(*) FROM marts.pipeline_benchmark WHERE status = 'FAILED'").first()[0] == 0
+    assert spark.sql("SELECT count(*) FROM staging.realtime_job_queue").first()[0] == 0
+    row = spark.sql("SELECT fft_magnitude(collect_list(x)) AS m, fft_freqs(collect_list(x), 100.0D) AS f FROM curated.fact_accelerometer").first()
+    assert len(row.m) == len(row.f) == 16 and row.f[1] == 100.0 / 30
