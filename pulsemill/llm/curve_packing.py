@@ -14,6 +14,7 @@ documents of their own; null ids are kept; an empty table gives no rows; other c
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,6 +32,7 @@ BITS = 15
 BUCKETS = 1 << 14
 SEED = 20_011
 END = 0
+BLANK_RUN = 100_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -76,8 +78,11 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     ranks = {bytes(letters[c] for c in piece): k for piece, k in vocab.items() if piece not in marks}
     fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
     mark, mark_id = next(iter(marks.items()), (None, None))
+    blanks = re.compile(r"\s{%d}" % BLANK_RUN)
 
     def ids(text: str) -> list[int]:
+        if len(text) > BLANK_RUN and blanks.search(text):
+            return slow(text)  # the faster library's pattern overflows its stack on long runs of blanks
         if mark is None or mark not in text:
             return fast.encode_ordinary(text)
         parts = [fast.encode_ordinary(part) for part in text.split(mark)]
@@ -130,7 +135,7 @@ def tokenized(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 part = batch.slice(a, 512)
                 keys, sizes, blobs = [], [], []
                 for text in text_bytes(part.column(2)):
-                    ids = np.array([*ids_of(text.decode()), END], np.uint32)
+                    ids = np.array([*ids_of(text.decode(errors="replace")), END], np.uint32)
                     keys.append(ids)
                     sizes.append(len(ids))
                     blobs.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"w" + ids.astype("<u4").tobytes())
@@ -146,7 +151,7 @@ def curve_keys(many: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     for row, ids in enumerate(many):
         total = np.zeros(DIMENSIONS, np.int64)
         for a in range(0, len(ids), 1 << 18):
-            total += weights.take(ids[a : a + (1 << 18)], 0).sum(0, dtype=np.int64)
+            total += weights.take(ids[a : a + (1 << 18)], 0, mode="wrap").sum(0, dtype=np.int64)
         place[row] = np.tanh(total / (16.0 * len(ids)))
     grid = np.minimum(((place + 1) * (1 << (BITS - 1))).astype(np.int64), (1 << BITS) - 1)
     return hilbert_index(grid, BITS)

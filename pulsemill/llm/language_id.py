@@ -183,7 +183,8 @@ def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lan
 def kept(docs: DataFrame, least: float = MIN_POSTERIOR) -> DataFrame:
     """Rows of `docs` (doc_id, text, lang, source and any others) whose text has a language of at least posterior `least`."""
     names = docs.columns
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("a"), F.hash(*[F.col(f"`{c}`") for c in names]).alias("b")))
+    told = ("doc_id", "text", "lang", "source")  # rows that agree on these get the same decision
+    keyed = docs.withColumn("__key", F.struct(F.xxhash64(*told).alias("a"), F.hash(*told).alias("b")))
     found = identified(keyed, id_cols=["__key"])
     rejected = stored(found.where((F.col("text_language") == "und") | (F.col("posterior") < least)).select("__key").distinct(), "rejected")  # of a known size: few are broadcast, and the texts stay where they are
     return keyed.join(rejected, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in names])
