@@ -54,8 +54,9 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.dimension_step(empty(spark, LOCATION_DIM), helper(spark, sf_dir), "0", NOW).coalesce(1).persist()
 
 
-def fact(spark: SparkSession, sf_dir: str, batch: int, dim: DataFrame | None = None) -> DataFrame:
-    return models.facts(staging(spark, sf_dir, batch), dim or dimension(spark, sf_dir), str(batch), NOW)
+def fact(spark: SparkSession, sf_dir: str, batch: int | None = None, dim: DataFrame | None = None) -> DataFrame:
+    """The facts of one of the two batches, or of all readings as one batch 0."""
+    return models.facts(staging(spark, sf_dir, batch), dim or dimension(spark, sf_dir), str(batch or 0), NOW)
 
 
 def staging_projection(spark, sf_dir):
@@ -74,7 +75,7 @@ def scd2_expire_insert(spark, sf_dir):
 
 
 def fact_key_lookup(spark, sf_dir):
-    return fact(spark, sf_dir, 0).drop("ins_tmstmp")
+    return fact(spark, sf_dir).drop("ins_tmstmp")
 
 
 HOURLY_COLUMNS = [f.name for f in HOURLY.fields if f.name not in ("ins_tmstmp", "upd_tmstmp")]
@@ -82,7 +83,7 @@ HOURLY_COLUMNS = [f.name for f in HOURLY.fields if f.name not in ("ins_tmstmp",
 
 def hourly_summary(spark, sf_dir):
     dim = dimension(spark, sf_dir)
-    return models.hourly_summary(fact(spark, sf_dir, 0, dim), dim, "0", NOW).select(HOURLY_COLUMNS)
+    return models.hourly_summary(fact(spark, sf_dir, None, dim), dim, "0", NOW).select(HOURLY_COLUMNS)
 
 
 def hourly_summary_merged(spark, sf_dir):
@@ -102,12 +103,15 @@ def _bins(spectra: DataFrame) -> DataFrame:
 
 
 def spectrum_daily(spark, sf_dir):
-    return _bins(models.spectra(fact(spark, sf_dir, 0), "0", NOW, "day"))
+    return _bins(models.spectra(fact(spark, sf_dir), "0", NOW, "day"))
 
 
 def spectrum_merged_last_batch(spark, sf_dir):
-    dim = dimension(spark, sf_dir)
-    first, second = (models.spectra(fact(spark, sf_dir, b, dim).where(f"dayofmonth(timestamp) % {3 - b} = 0"), str(b), NOW, "day") for b in (0, 1))
+    """Every third day is in the first batch, every third in the second, and the others are split between both by event."""
+    dim, day = dimension(spark, sf_dir), F.dayofmonth("timestamp") % 3
+    batch = F.when(day == 0, 0).when(day == 1, 1).otherwise(F.col("z") % 2)
+    whole = fact(spark, sf_dir, None, dim)
+    first, second = (models.spectra(whole.where(batch == b), str(b), NOW, "day") for b in (0, 1))
     return _bins(models.merged_spectra(first, second, LATER, check=False))
 
 
@@ -146,9 +150,9 @@ def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_merge_changed(spark, sf_dir):
-    """Two thirds of the queue's files are found again, half of those with another size; a third are new files."""
+    """Files of under 8 attempts are in the queue. Two thirds of them are found again, half of those with another size; all others are new."""
     queue = job_queue(spark, sf_dir).where("attempts < 8")
-    found = job_queue(spark, sf_dir).where("file_size_bytes % 3 > 0")
+    found = job_queue(spark, sf_dir).where("file_size_bytes % 3 > 0 OR attempts >= 8")
     changed = F.col("file_mtime_ns") % 2 == 0
     found = found.withColumns({"file_size_bytes": F.col("file_size_bytes") + F.when(changed, 1).otherwise(0), "status": F.lit("QUEUED"), "attempts": F.lit(0), "last_error": F.lit(None).cast("string"), "last_run_id": F.lit(None).cast("string")})
     return ledger.enqueued(queue, found, LATER).select("file_path", "file_size_bytes", "status", "attempts", "next_retry_ts", "last_error", "last_run_id", "created_ts")
@@ -244,20 +248,20 @@ ORACLE_SQL = {
 edited AS (SELECT *, CASE WHEN location_key % 3 = 0 THEN city || '-2' ELSE city END AS new_city FROM helper)
 SELECT location_key, location_name, city, country, new_city = city AS is_current, TIMESTAMP '2026-01-01' AS valid_from, CASE WHEN new_city <> city THEN TIMESTAMP '2026-01-02' END AS valid_to, CASE WHEN new_city <> city THEN 'U' ELSE 'I' END AS oper, '0' AS batch_id FROM edited
 UNION ALL SELECT location_key, location_name, new_city, country, true, TIMESTAMP '2026-01-02', NULL, 'I', '1' FROM edited WHERE new_city <> city""",
-    "fact_key_lookup": f"WITH {_READINGS} SELECT timestamp, location_key, x, y, z, magnitude, '0' AS batch_id FROM facts WHERE batch = 0",
-    "hourly_summary": f"WITH {_READINGS}, {_SUMS} SELECT * EXCLUDE (batch), '0' AS batch_id FROM hours WHERE batch = 0",
+    "fact_key_lookup": f"WITH {_READINGS} SELECT timestamp, location_key, x, y, z, magnitude, '0' AS batch_id FROM facts",
+    "hourly_summary": f"WITH {_READINGS}, {_SUMS.replace('country, batch, count', 'country, count')} SELECT *, '0' AS batch_id FROM hours",
     "hourly_summary_merged": f"WITH {_READINGS}, {_SUMS} " + _MERGED.format(batch=", CASE WHEN s.hour_ts IS NULL THEN '0' ELSE '1' END AS batch_id"),
     "stream_hourly": f"WITH {_READINGS}, {_SUMS} " + _MERGED.format(batch=""),
-    "spectrum_daily": _spectrum_sql("SELECT * FROM facts WHERE batch = 0"),
+    "spectrum_daily": _spectrum_sql("SELECT * REPLACE (0 AS batch) FROM facts"),
     "spectrum_merged_last_batch": _spectrum_sql(
-        "SELECT * FROM facts f WHERE (batch = 1 AND day(timestamp) % 2 = 0) OR (batch = 0 AND day(timestamp) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM facts o WHERE o.batch = 1 AND day(o.timestamp) % 2 = 0 AND o.location_key = f.location_key AND date_trunc('day', o.timestamp) = date_trunc('day', f.timestamp)))"
+        "SELECT * EXCLUDE (b, last), b AS batch FROM (SELECT *, max(b) OVER (PARTITION BY date_trunc('day', timestamp), location_key) AS last FROM (SELECT * EXCLUDE (batch), CASE day(timestamp) % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE batch END AS b FROM facts)) WHERE b = last"
     ),
     "cdc_unprocessed": f"WITH {_FILES} SELECT raw_file, file_size_bytes FROM files WHERE raw_file NOT IN (SELECT raw_file FROM files WHERE batch_id = '0' AND status = 'SUCCESS')",
     "cdc_unprocessed_folders": f"WITH {_FILES} SELECT DISTINCT regexp_replace(raw_file, '/[^/]*$', '') AS folder FROM files WHERE regexp_replace(raw_file, '/[^/]*$', '') NOT IN (SELECT regexp_replace(raw_file, '/[^/]*$', '') FROM files WHERE batch_id = '0' AND status = 'SUCCESS')",
     "batch_row_delta": f"WITH {_FILES} SELECT batch_id, status, count(*) AS ingested_rows, CAST(sum(file_size_bytes) AS BIGINT) AS ingested_bytes, round(sum(file_size_bytes) / 1024.0::DOUBLE / 1024.0::DOUBLE, 2) AS ingested_mb FROM files GROUP BY ALL",
     "queue_merge_changed": f"""WITH {_QUEUE},
 t AS (SELECT * FROM queue WHERE attempts < 8),
-s AS (SELECT *, file_size_bytes + CASE WHEN file_mtime_ns % 2 = 0 THEN 1 ELSE 0 END AS new_size FROM queue WHERE file_size_bytes % 3 > 0)
+s AS (SELECT *, file_size_bytes + CASE WHEN file_mtime_ns % 2 = 0 THEN 1 ELSE 0 END AS new_size FROM queue WHERE file_size_bytes % 3 > 0 OR attempts >= 8)
 SELECT coalesce(t.file_path, s.file_path) AS file_path, coalesce(s.new_size, t.file_size_bytes) AS file_size_bytes,
   CASE WHEN t.file_path IS NULL OR s.new_size <> t.file_size_bytes THEN 'QUEUED' ELSE t.status END AS status,
   CASE WHEN t.file_path IS NULL OR s.new_size <> t.file_size_bytes THEN 0 ELSE t.attempts END AS attempts,
