@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs. All
 but the last return the columns of documents. The last one's rows are the packed pieces.
+
+Edge cases: null and empty texts, and texts without letters, go in the first stage; null ids, languages and sources are kept
+and travel on; repeated rows get one decision, and the third stage keeps one row of them; of equal ids in a group the
+first row stays; extra columns pass all stages but the last, whatever their names; empty tables stay empty.
 """
 
 from __future__ import annotations
