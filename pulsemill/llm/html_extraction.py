@@ -35,7 +35,7 @@ SILENT = frozenset("head script style template noscript title svg math iframe ob
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select menu".split())
 FEATURE_BITS = 16
-TRAINING_PAGES, EPOCHS, SEED = 1200, 6, 7
+TRAINING_PAGES, EPOCHS, SEED = 1500, 6, 7
 
 
 class Block(NamedTuple):
@@ -159,6 +159,8 @@ def features(blocks: list[Block]) -> list[np.ndarray]:
             found += [f"by {x}" for x in b.path[-1]]
         if len(b.path) > 1:
             found += [f"over {x}" for x in b.path[-2]]
+            for a, c in zip(b.path[-4:], b.path[-3:]):
+                found.append(f"step {a[0]}>{c[0]}")
         out.append(np.fromiter(map(_number, found), np.int64, len(found)))
     return out
 
@@ -242,14 +244,19 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
 
     def boxed(tags, names, inner):
         tag = pick(tags)
+        if tag == "p":  # holds no blocks
+            inner = re.sub(r"</?(p|div|h\d|li|ul|ol)\b[^>]*>", " ", inner)
         return f"<{tag}{attr(names)}>{inner}</{tag}>"
 
     def links(low=3, high=9):
         items = "".join(f"<li>{link()}{pick(['', '</li>', '</li>'])}" for _ in range(rng.randint(low, high)))
-        return pick([f"<ul>{items}</ul>", f"<ol>{items}</ol>", " | ".join(link() for _ in range(rng.randint(low, high)))])
+        return pick([f"<ul>{items}</ul>", f"<ol>{items}</ol>", pick([" | ", "<br>", " "]).join(link() for _ in range(rng.randint(low, high)))])
+
+    def listed(names):
+        return f"<{pick(['ul', 'ol'])}{attr(names)}>{''.join(f'<li>{link()}</li>' for _ in range(rng.randint(2, 7)))}</ul>"
 
     def menu():
-        return pick([lambda: f"<nav>{links()}</nav>", lambda: f"<div{attr(['menu', 'nav', 'navbar', 'topnav', 'breadcrumb', 'breadcrumbs', 'navigation', 'pagination'])}>{links()}</div>", lambda: f"<div>{links(5, 12)}</div>", lambda: f'<div role="navigation">{links()}</div>'])()
+        return pick([lambda: f"<nav>{links()}</nav>", lambda: listed(["menu", "nav", "breadcrumb", "breadcrumbs", "pagination", "toc", "navigation"]), lambda: f"<nav{attr(['main', 'site', 'top'])}>{links()}</nav>", lambda: f"<div{attr(['menu', 'nav', 'navbar', 'topnav', 'breadcrumb', 'breadcrumbs', 'navigation', 'pagination'])}>{links()}</div>", lambda: f"<div>{links(5, 12)}</div>", lambda: f'<div role="navigation">{links()}</div>'])()
 
     def head():
         inner = pick([f"<h1>{phrase(2)}</h1>", f"<div>{phrase(3)}</div>", f"<p>{sentence()}</p>", f"<h2>{link()}</h2>"]) + pick(["", menu()])
@@ -261,15 +268,19 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
 
     def side():
         inner = pick([f"<h3>{phrase(2)}</h3>{links()}", f"<p>{prose(3)}</p>", f"<h4>{phrase(2)}</h4><p>{sentence()}</p>{links(2, 5)}", f"<div>{sentence()}</div>"])
-        return pick([f"<aside>{inner}</aside>", f"<div{attr(['sidebar', 'side', 'related', 'widget', 'popular', 'recommended', 'share', 'social', 'tags', 'promo', 'toc'])}>{inner}</div>", f'<div role="complementary">{inner}</div>'])
+        if rng.random() < 0.2:
+            return listed(["tags", "related", "share", "social", "popular", "links"])
+        return pick([f"<aside>{inner}</aside>", f"<section{attr(['related', 'sidebar', 'recommended', 'more'])}>{inner}</section>", f"<div{attr(['sidebar', 'side', 'related', 'widget', 'popular', 'recommended', 'share', 'social', 'tags', 'promo', 'toc'])}>{inner}</div>", f'<div role="complementary">{inner}</div>'])
 
     def notice():
         inner = pick([f"<p>{prose(3)}</p>", prose(2), f"<p>{sentence()}</p><button>{phrase(1)}</button>"])
-        return boxed(["div", "section", "aside"], ["cookie", "cookies", "notice", "consent", "gdpr", "popup", "modal", "alert", "overlay", "banner", "privacy", "paywall", "warning", "message"], inner)
+        if rng.random() < 0.15:
+            return pick([f"<dialog>{inner}</dialog>", f'<div role="alert">{inner}</div>', f'<div role="dialog">{inner}</div>'])
+        return boxed(["div", "section", "aside", "p"], ["cookie", "cookies", "notice", "consent", "gdpr", "popup", "modal", "alert", "overlay", "banner", "privacy", "paywall", "warning", "message"], inner)
 
     def advert():
         inner = pick([prose(3), f"<p>{prose(3)}</p>", f"<a href='/x'>{prose(2)}</a>", sentence()])
-        return boxed(["div", "div", "aside", "section"], ["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "adsbox", "banner"], inner)
+        return boxed(["div", "div", "aside", "section", "p", "figure"], ["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "adsbox", "banner"], inner)
 
     def form():
         inner = pick([f"<label>{phrase(2)}</label><input><button>{phrase(1)}</button>", f"<p>{sentence()}</p><input type=text><select><option>{word()}<option>{word()}</select>", f"{phrase(3)} <input> <textarea>{phrase(2)}</textarea>"])
@@ -298,9 +309,13 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
                 return f"<ul>{''.join(f'<li>{keep(prose(2))}</li>' for _ in range(rng.randint(1, 4)))}</ul>"
             if kind < 0.22:
                 return f"<blockquote>{pick(['<p>', ''])}{keep(prose(4))}</blockquote>"
+            if kind < 0.23:
+                return f"<figure><img src=a><figcaption>{keep(sentence())}</figcaption></figure>"
             if kind < 0.24:
+                return f"<dl><dt>{keep(phrase(2))}</dt><dd>{keep(prose(2))}</dd></dl>"
+            if kind < 0.25:
                 return f"<table><tr><td>{keep(phrase(2))}</td><td>{keep(phrase(3))}</td></tr></table>"
-            if kind < 0.26:
+            if kind < 0.27:
                 return f"<pre>{keep(phrase(6))}</pre>"
             if kind < 0.30:
                 return f"<div>{keep(prose())}</div>"
@@ -310,9 +325,16 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
                 return f"<p>{text[:at]} <a href='/y'>{text[at + 1:]}</a></p>" if at > 0 else f"<p>{text}</p>"
             return f"<p>{pick(['', '', '', '<b>'])}{keep(prose(pick([1, 2, 6, 12])))}{pick(['</p>', '</p>', '', '<br>'])}"
 
+        def section(noisy):
+            if rng.random() < 0.8:
+                return part(noisy)
+            inner = "".join(part(noisy) for _ in range(rng.randint(1, 4)))
+            tag = pick(["section", "section", "div"])
+            return f"<{tag}{pick(['', '', attr(['section', 'chapter', 'paragraph', 'text', 'row'])])}>{inner}</{tag}>"
+
         noisy = rng.random() < 0.5
         title = keep(phrase(rng.randint(1, 10)))
-        body = pick([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<h2>{title}</h2>"]) + "".join(part(noisy) for _ in range(rng.randint(1, 14)))
+        body = pick([f"<h1>{title}</h1>"] * 4 + [f"<h2>{title}</h2>"] * 2 + [f"<header><h1>{title}</h1></header>"]) + "".join(section(noisy) for _ in range(rng.randint(1, 14)))
         if rng.random() < 0.2:
             body += remarks()
         shell = rng.random()
