@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,7 +37,9 @@ def session(app: str = "pulsemill", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in (SETTINGS | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def load_config(path: str) -> dict[str, str]:
@@ -49,3 +56,25 @@ def load_config(path: str) -> dict[str, str]:
 
 def config_for(env: str, folder: str = "config") -> dict[str, str]:
     return load_config(os.path.join(folder, f"{env}.env"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, so they need no path to it.
+
+    The driver's file server hands out the archive, as for `--py-files`.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="pulsemill-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/pulsemill.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)
