@@ -8,9 +8,10 @@ fingerprint is dealt to one group for every choice of r blocks and no link is lo
 fingerprints, so a group keeps about a thousand of them at any corpus size. Inside a group fingerprints are sorted by
 Gray rank and a tree is built over runs of neighbours: a node holds the bits that all below it share, less those that its
 ancestors hold already. A search adds up the differing bits from the root downwards and leaves a whole group as soon as
-the sum exceeds `distance`. Groups that are larger than `slice_rows` are cut into slices and each pair of slices is a
-group of its own, so no task gets an unbounded group. A group yields the edges of its own spanning forest, not its pairs,
-and the forests are joined by alternating large-star and small-star steps over tables.
+the sum exceeds `distance`. Groups that are larger than `slice_rows` are first thinned by classes that need no comparison
+(see `_hot_parts`) and then cut into slices; each pair of slices is a group of its own, so no task gets an unbounded group.
+A group yields the edges of its own spanning forest, not its pairs, and the forests are joined by alternating large-star
+and small-star steps over tables.
 
 Edge cases: null or empty texts and texts without words have fingerprint zero and link like any other; a null id never
 names a component unless no other id is in it; repeated rows each get a result row; an empty table gives no rows;
@@ -34,6 +35,7 @@ DISTANCE = 4
 SHINGLE = 4
 FANOUT = 8
 SLICE_ROWS = 8192
+PIVOTS = 8
 FRONTIER = 2_000_000
 BIT_ROWS = 65_536
 
@@ -182,19 +184,52 @@ def chosen_blocks(distinct: int) -> int:
     return 1 if distinct < 1 << 22 else 2 if distinct < 1 << 31 else 3 if distinct < 1 << 37 else 4
 
 
+def _hot_parts(keyed: DataFrame, hot: DataFrame, distance: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (fp, part) and sure edges (a, b) for the groups in `hot`.
+
+    Such a group is mostly near copies of one text, so most of its pairs are settled without a comparison: fingerprints
+    within half the distance of the group's majority bits all link to each other, and those within the distance of a
+    pivot link to it. Each of these classes is joined by a star. What is left is cut into slices, and slices meet in
+    pairs, but never two slices of one class.
+    """
+    key = ["choice", "bits"]
+    rows = keyed.join(hot, key)
+    bit = lambda k: F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))
+    sums = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(bit(k)).alias(f"n{k}") for k in range(64)], *[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    middle = F.lit(0).cast("long")
+    for k in range(64):
+        middle = middle.bitwiseOR(F.shiftleft(F.when(2 * F.col(f"n{k}") > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long"), k))
+    facts = stored(sums.select(*key, middle.alias("middle"), F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")), "hot-groups")
+    apart = lambda x: F.bit_count(F.col("fp").bitwiseXOR(x))
+    kind = F.when(apart(F.col("middle")) <= distance // 2, 1)
+    for k in range(PIVOTS):
+        kind = kind.when(apart(F.col("pivots")[k]) <= distance, k + 2)
+    known = stored(rows.join(facts, key).select("fp", *key, "pivots", kind.otherwise(0).alias("kind")), "hot-rows")
+
+    core = known.where("kind = 1").groupBy(*key).agg(F.min("fp").alias("first"))
+    sure = known.where("kind > 1").select(F.col("fp").alias("a"), F.col("pivots")[F.col("kind") - 2].alias("b"))
+    sure = sure.union(known.where("kind = 1").join(core, key).select("fp", "first")).where("a <> b")
+
+    sizes = known.groupBy(*key, "kind").agg(F.ceil(F.count("*") * 2 / slice_rows).cast("int").alias("slices"))
+    sizes = sizes.groupBy(*key).agg(F.collect_list(F.struct("kind", "slices")).alias("kinds"))  # at most PIVOTS + 2
+    met = known.join(sizes, key)
+    own = F.filter("kinds", lambda c: c["kind"] == F.col("kind"))[0]["slices"]
+    label = F.shiftleft(F.col("kind").cast("long"), 32) + F.pmod(F.xxhash64("fp"), own)
+    others = F.flatten(F.transform(F.filter("kinds", lambda c: (c["kind"] != F.col("kind")) | (c["kind"] == 0)), lambda c: F.transform(F.sequence(F.lit(0), c["slices"] - 1), lambda s: F.shiftleft(c["kind"].cast("long"), 32) + s)))
+    each = met.select("fp", *key, label.alias("mine"), F.explode(others).alias("other"))
+    return each.select("fp", F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other")).alias("part")), sure
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Spanning edges (a, b) between the distinct `fp` of `nodes`; their components are those of all links."""
     distinct = nodes.count()
     keyed = nodes.select("fp", _group_keys(F.col("fp"), distance, chosen_blocks(distinct)).alias("key")).select("fp", "key.choice", "key.bits")
-    large = keyed.groupBy("choice", "bits").count().where(F.col("count") > slice_rows)
-    large = large.select("choice", "bits", F.ceil(F.col("count") * 2 / slice_rows).cast("int").alias("slices"))
-    keyed = keyed.join(large, ["choice", "bits"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: s != own)
-    pairs = F.transform(others, lambda s: F.struct(F.least(s, own).alias("lo"), F.greatest(s, own).alias("hi")))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    dealt = keyed.select("fp", F.col("choice"), "bits", F.explode(F.when(F.col("slices").isNull(), whole).otherwise(pairs)).alias("slice"))
-    dealt = dealt.select("fp", F.xxhash64("choice", "bits", "slice.lo", "slice.hi").alias("part"))
+    hot = stored(keyed.groupBy("choice", "bits").count().where(F.col("count") > slice_rows).select("choice", "bits"), "hot-keys")
+    dealt = keyed.join(hot, ["choice", "bits"], "left_anti").select("fp", F.xxhash64("choice", "bits").alias("part"))
+    sure = None
+    if not hot.isEmpty():
+        more, sure = _hot_parts(keyed, hot, distance, slice_rows)
+        dealt = dealt.union(more)
 
     def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(codes, group):
@@ -212,7 +247,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_RO
         if len(held_codes):
             yield out(held_codes, held_group)
 
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(spanned, "a long, b long")
+    found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(spanned, "a long, b long")
+    return found if sure is None else found.union(sure)
 
 
 def joined_forests(edges: DataFrame) -> DataFrame:

@@ -64,6 +64,7 @@ def test_chains_and_hot_groups_are_sliced(spark):
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)) for b in base for _ in range(12)]
     hot = [int(base[0]) ^ i for i in range(200)]
+    hot += [int(base[1]) ^ sum(1 << int(k) for k in rng.choice(40, rng.integers(0, 5), replace=False)) for _ in range(300)]  # one ball, and a fringe
     codes = sorted(set(near + hot))
     nodes = spark.createDataFrame([(int(np.uint64(c).view(np.int64)),) for c in codes], "fp long")
     want = {}
@@ -80,7 +81,7 @@ def test_chains_and_hot_groups_are_sliced(spark):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     for c in codes:
         want.setdefault(root(c), set()).add(c)
-    for slice_rows in (16, 8192):
+    for slice_rows in (16, 100, 8192):
         got = {}
         for r in sd.fingerprint_components(nodes, slice_rows=slice_rows).collect():
             got.setdefault(r.label, set()).add(r.fp & (1 << 64) - 1)
