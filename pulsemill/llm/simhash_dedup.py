@@ -36,6 +36,7 @@ SHINGLE = 4
 FANOUT = 8
 SLICE_ROWS = 8192
 PIVOTS = 8
+SALTS = 16
 FRONTIER = 2_000_000
 BIT_ROWS = 65_536
 
@@ -99,6 +100,9 @@ class GrayIndex:
             else:
                 own = mask
             self.levels.append((pattern, own, starts))
+        self.last = [np.arange(len(codes))]  # last leaf below each node of a level
+        for _, _, starts in self.levels[1:]:
+            self.last.append(self.last[-1][np.r_[starts[1:], len(self.last[-1])] - 1])
 
     def search(self, a: int, b: int, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (i, j), i < j, of leaf positions of one group at `most` or fewer differing bits, for i in [a, b)."""
@@ -107,7 +111,6 @@ class GrayIndex:
         roots = np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]])
         node = np.searchsorted(roots, query, "right") - 1
         spent = np.bitwise_count((self.codes[query] ^ pattern[node]) & own[node]).astype(np.int16)
-        last = None
         for k in range(len(self.levels) - 1, 0, -1):
             starts = self.levels[k][2]
             pattern, own, _ = self.levels[k - 1]
@@ -118,22 +121,13 @@ class GrayIndex:
             at = np.repeat(np.cumsum(many) - many, many)
             child = np.repeat(starts[node], many) + np.arange(len(at)) - at
             query, spent = np.repeat(query, many), np.repeat(spent, many)
-            last = self._last(k - 1)
-            keep = last[child] > query
+            keep = self.last[k - 1][child] > query
             query, child, spent = query[keep], child[keep], spent[keep]
             spent = spent + np.bitwise_count((self.codes[query] ^ pattern[child]) & own[child])
             node = child
         keep = (spent <= most) & (node > query)
         return query[keep], node[keep]
 
-    def _last(self, k: int) -> np.ndarray:
-        """Last leaf below each node of level k."""
-        ends = np.arange(len(self.codes))
-        for level in range(1, k + 1):
-            starts = self.levels[level][2]
-            ends = ends[np.r_[starts[1:], len(ends)] - 1]
-        return ends
-
 
 def forest(codes: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(code, smallest code of its component in its group) for all codes that are not the smallest themselves."""
@@ -155,8 +149,8 @@ def forest(codes: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray,
             while (parent[parent] != parent).any():
                 parent = parent[parent]
         a = b
-    # the smallest code of a component as its root: groups then agree on roots more often
-    by = np.lexsort((index.codes, parent))
+    # the smallest code of a component, as a signed number like in SQL, as its root: groups then agree on roots more often
+    by = np.lexsort((index.codes.view(np.int64), parent))
     heads = np.flatnonzero(np.r_[True, parent[by][1:] != parent[by][:-1]]) if n else np.zeros(0, int)
     root = np.repeat(index.codes[by][heads], np.diff(np.r_[heads, n]))
     code = index.codes[by]
@@ -257,7 +251,10 @@ def joined_forests(edges: DataFrame) -> DataFrame:
     def large_star(e: DataFrame) -> DataFrame:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a root has as many edges as its component has nodes, so they are salted over SALTS copies of its row
+        salted = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(copies, ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small_star(e: DataFrame) -> DataFrame:
         low = e.groupBy("a").agg(F.min("b").alias("m"))
