@@ -11,7 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Settings the models rely on: one time zone, strict casts, Arrow for the spectrum, adaptive plans.
+#: Settings the models rely on: one time zone, strict casts, Arrow for the spectrum, adaptive plans. Lists of readings don't
+#: shrink before the shuffle, so their aggregation goes over to sorting, which spills, after a few groups.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -19,6 +20,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8",
 }
 
 DEFAULTS = {
