@@ -1,8 +1,8 @@
 """Katz back-off language model over the corpus, and its score of every document.
 
 P2(w|v) = d(c) c(vw) / c(v.) for pairs seen in training, else a(v) P1(w); P1(w) = d(c) c(w) / N for known words, and the
-mass that its discounts free for the unknown word. Counts up to K are discounted by Good-Turing, and a(v) is what the
-discounts of v free over the P1 mass of all words not seen after v, so each distribution sums to one.
+mass that its discounts free for the unknown word. Counts up to K are discounted by Good-Turing over smoothed
+counts of counts, and a(v) is what the discounts of v free over the P1 mass of all words not seen after v, so each distribution sums to one.
 
 Layout. Documents are tokenized once into chunks: distinct word hashes, token places, training counts. Every level then
 works by request and answer. A chunk sends its distinct grams with their training counts, a bucket adds the counts of all
@@ -81,22 +81,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 # ---- discounts
 
 
+def slope(n: np.ndarray) -> float:
+    """Of log n[r] over log r, r = 1..K + 1, by least squares; each r weighs n[r], as the variance of log n[r] is 1 / n[r]."""
+    r = np.flatnonzero(n[1 : K + 2]) + 1
+    if len(r) < 2:
+        return 0.0
+    x, y, w = np.log(r), np.log(n[r]), n[r] / n[r].sum()
+    x = x - w @ x
+    return float(w @ (x * y) / (w @ (x * x)))
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """d[0..K + 1] from counts of counts n[0..K + 1] (n[r]: grams seen r times); the last is 1 and stands for all over K.
 
-    Good-Turing in Katz's form. Where these counts of counts give no discount between 0 and 1, absolute discounting by
-    n1 / (n1 + 2 n2) takes its place for the level.
+    Good-Turing in Katz's form, over counts of counts smoothed to a power of r: copies raise single n[r], which as they are
+    give discounts outside 0..1. A power under -1 gives discounts between 0 and 1 for every r. A level whose counts of counts
+    don't fall that fast (most grams in copies, or under two different counts) has no Good-Turing estimate below its counts; it
+    is discounted by n1 / (n1 + 2 n2), or a half.
     """
     d = np.ones(K + 2)
     n = n.astype(float)
-    if (n[1 : K + 2] > 0).all():
-        tail = (K + 1) * n[K + 1] / n[1]
-        r = np.arange(1, K + 1)
-        d[1 : K + 1] = ((r + 1) * n[2 : K + 2] / (r * n[1 : K + 1]) - tail) / (1 - tail) if tail != 1 else 0
-        if (d[1 : K + 1] > 0).all() and (d[1 : K + 1] < 1).all():
-            return d
-    off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d[1 : K + 1] = 1 - off / np.arange(1, K + 1)
+    r = np.arange(1, K + 1)
+    b = slope(n)
+    if b < -1:
+        tail = (K + 1.0) ** (b + 1)
+        d[1 : K + 1] = (((r + 1) / r) ** (b + 1) - tail) / (1 - tail)
+    else:
+        d[1 : K + 1] = 1 - (n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5) / r
     return d
 
 

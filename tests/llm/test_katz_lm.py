@@ -78,6 +78,33 @@ def test_query_equals_brute_force(spark):
         assert total == pytest.approx(1)
 
 
+def good_turing(n):
+    """Discounts of counts 1..5 by the textbook, from a line through (log r, log n[r]) weighted by n[r]."""
+    b, a = np.polyfit(np.log(range(1, 7)), np.log(n[1:]), 1, w=np.sqrt(n[1:]))
+    s = [0, *(math.exp(a + b * math.log(r)) for r in range(1, 7))]
+    tail = 6 * s[6] / s[1]
+    return [((r + 1) * s[r + 1] / (r * s[r]) - tail) / (1 - tail) for r in range(1, 6)]
+
+
+def test_discounts_are_good_turing_with_copy_groups():
+    # words and pairs of sf0.01: n5 is raised by groups of copies
+    for n in ([0, 49663, 12919, 5197, 2729, 2383, 1067], [0, 193655, 25105, 6496, 2179, 2497, 618]):
+        d = kl.discounts(np.array(n))
+        assert d[1:6] == pytest.approx(good_turing(n)) and (d[[0, 6]] == 1).all()
+        assert (np.diff([0, *d[1:]]) > 0).all() and d[1] == pytest.approx(0.397 if n[1] == 49663 else 0.230, abs=1e-3)
+    # a power law is its own fit
+    n = 1e9 * np.arange(1, 7.0) ** -2
+    exact = [((r + 1) * n[r] / (r * n[r - 1]) - 6 * n[5] / n[0]) / (1 - 6 * n[5] / n[0]) for r in range(1, 6)]
+    assert kl.discounts(np.r_[0, n])[1:6] == pytest.approx(exact)
+
+
+def test_discounts_without_falling_counts_of_counts():
+    for n in ([0] * 7, [0, 5, 0, 0, 0, 0, 0], [0, 10, 100, 0, 0, 0, 0], [0, 0, 100, 0, 90, 0, 0]):
+        d = kl.discounts(np.array(n))
+        off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        assert d[1:6] == pytest.approx([1 - off / r for r in range(1, 6)])
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "a b a b a b"), (3, "a b a b a b"), (None, "a x"), (4, "A\tB\nc"), (5, "é É é"), (6, "b " * 3000), (9, "zz yy")]
     make = lambda rows: spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, chunk int, counts string")
