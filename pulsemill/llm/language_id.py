@@ -2,8 +2,9 @@
 
 Four pieces of evidence are multiplied: the likelihood of the text (byte 4-grams, hashed, per language), the probability
 of the declared markup language and of the address suffix given the language, and a host prior. The text model learns from
-the share of each language's declared documents, chosen by hash, that makes `max_rows`, over their whole texts. The other tables are grouped
-sums, over all rows, of the text model's posteriors: declared x language, suffix x language, and language by host,
+the share of each language's declared documents, chosen by hash, that makes `max_rows`, over their whole texts. Every
+declared language with a text to learn from is a class; weights are kept for the grams it was seen with only. Posteriors and
+tables have a number a class, so they grow with the number of languages. The other tables are grouped sums, over all rows, of the text model's posteriors: declared x language, suffix x language, and language by host,
 smoothed towards its suffix, which is smoothed towards all rows. Sums are combined before the shuffle, so one host with
 most rows costs no more than any other, and tables of hosts are joined, never collected.
 
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 from .common import byte_blocks, flat_text, stored, table
 
 MAX_ROWS = 2_000
-MAX_LANGUAGES = 64
 GRAM_BUCKETS = 1 << 16
 SCALE = 1024
 TEMPER = 0.1
 STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
 BLOCK = 1 << 20
+ENTRIES = 1 << 22  # weights looked up at once
+LETTER = r"[A-Za-z\x{80}-\x{10ffff}]"  # as in LOWERED
+BROADCAST_LANGUAGES = 500
 
 
 def _lowered() -> np.ndarray:
@@ -58,59 +61,94 @@ def _letters(block: np.ndarray) -> np.ndarray:
 
 
 class TextModel(NamedTuple):
+    """Log probabilities times SCALE, in whole numbers: of grams a language wasn't seen with, and by how much the others are over that."""
+
     languages: tuple[str, ...]
-    weights: np.ndarray  # (languages, buckets) int32: log probability times SCALE
+    unseen: np.ndarray  # (languages,)
+    start: np.ndarray  # (buckets + 1,): a bucket's first entry
+    place: np.ndarray  # (entries,): the language
+    over: np.ndarray  # (entries,)
+
+    @staticmethod
+    def of(languages: tuple[str, ...], gram: np.ndarray, count: np.ndarray) -> TextModel:
+        """From the counts of grams, numbered language * GRAM_BUCKETS + bucket."""
+        place, bucket = np.divmod(gram, GRAM_BUCKETS)
+        # add-one within a language
+        total = np.bincount(place, count, len(languages)) + GRAM_BUCKETS
+        scaled = lambda x: np.round(SCALE * np.log(x)).astype(np.int32)
+        unseen = scaled(1 / total)
+        order = np.lexsort((place, bucket))
+        start = np.r_[0, np.cumsum(np.bincount(bucket, minlength=GRAM_BUCKETS))]
+        return TextModel(languages, unseen, start, place[order].astype(np.int32), (scaled((count + 1.0) / total[place]) - unseen[place])[order])
 
     def likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows, languages) log likelihoods and (rows,) numbers of letter bytes."""
         flat, ends = flat_text(texts)
-        out = np.zeros((len(ends) - 1, len(self.languages)), np.int64)
+        n = len(self.languages)
+        out = np.zeros((len(ends) - 1, n), np.int64)
         letters = np.zeros(len(ends) - 1, np.int64)
         for a, b in byte_blocks(flat, ends, BLOCK):
             for at in range(ends[a], ends[b], 8 * BLOCK):
                 to = min(ends[b], at + 8 * BLOCK)
-                bounds = np.clip(ends[a : b + 1], at, to) - at
-                bucket = gram_buckets(flat[at:to])
                 seen = _letters(flat[at:to])
-                full = np.flatnonzero(np.diff(bounds))
-                starts = bounds[full]
-                letters[a + full] += np.add.reduceat(seen.astype(np.int64), starts)
-                for k in range(len(self.languages)):
-                    out[a + full, k] += np.add.reduceat(np.where(seen, self.weights[k].take(bucket), 0), starts, dtype=np.int64)
-        return out / SCALE, letters
+                row = np.repeat(np.arange(a, b), np.diff(np.clip(ends[a : b + 1], at, to)))[seen]
+                if not len(row):
+                    continue
+                letters[a:b] += np.bincount(row - a, minlength=b - a)
+                gram, count = np.unique(row * GRAM_BUCKETS + gram_buckets(flat[at:to])[seen], return_counts=True)
+                row, bucket = np.divmod(gram, GRAM_BUCKETS)
+                many = self.start[bucket + 1] - self.start[bucket]
+                upto = np.cumsum(many)
+                cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(ENTRIES, upto[-1], ENTRIES)), len(row)])
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    m = many[i:j]
+                    entry = np.repeat(self.start[bucket[i:j]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    low, high = row[i], row[j - 1] + 1
+                    cell = np.repeat((row[i:j] - low) * n, m) + self.place[entry]
+                    out[low:high] += np.bincount(cell, self.over[entry] * np.repeat(count[i:j], m), (high - low) * n).reshape(-1, n).astype(np.int64)
+        return (out + letters[:, None] * self.unseen) / SCALE, letters
 
 
 def trained(docs: DataFrame, text_col: str, declared_col: str, max_rows: int = MAX_ROWS) -> TextModel:
-    """Gram weights for the up to MAX_LANGUAGES commonest declared languages."""
+    """Gram weights for every declared language that has a text with letters."""
     rows = docs.select(F.lower(F.substring_index(F.trim(F.col(declared_col)), "-", 1)).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where(F.length("lang") > 0)
-    common = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = tuple(sorted(common))
+    rows = rows.where((F.length("lang") > 0) & F.col("text").rlike(LETTER)).withColumn("h", F.xxhash64("text"))
+    # copies are one text, so a language of few texts keeps them all
+    texts = {r["lang"]: r["texts"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()}
+    languages = tuple(sorted(texts))
     if not languages:
-        return TextModel(("und",), np.zeros((1, GRAM_BUCKETS), np.int32))
+        return TextModel.of(("und",), np.zeros(0, np.int64), np.zeros(0, np.int64))
     # of each language the share by hash that makes max_rows; no order, so no task that sees a whole language
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, max_rows / common[k]))])
-    sample = rows.withColumn("h", F.xxhash64("text")).where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 31)) < share[F.col("lang")] * (1 << 31))
-    sample = sample.dropDuplicates(["lang", "h"]).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(x, k, min(1.0, max_rows / max(1, texts[x]))) for k, x in enumerate(languages)], "lang string, place int, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 31)) < F.col("share") * (1 << 31))
+    sample = sample.dropDuplicates(["place", "h"]).select("place", "text")
 
     def counted(batches):
-        counts = np.zeros((len(languages), GRAM_BUCKETS), np.int64)
-        place = {x: k for k, x in enumerate(languages)}
+        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             flat, ends = flat_text(batch["text"])
-            for k, lang in enumerate(batch["lang"].to_pylist()):
+            parts, size = [grams], len(grams)
+            added = [counts]
+
+            def merge():
+                nonlocal parts, added, size
+                distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+                parts, added, size = [distinct], [np.bincount(at, np.concatenate(added), len(distinct)).astype(np.int64)], len(distinct)
+
+            for k, place in enumerate(batch["place"].to_pylist()):
                 for at in range(ends[k], ends[k + 1], 8 * BLOCK):
                     part = flat[at : min(ends[k + 1], at + 8 * BLOCK)]
-                    counts[place[lang]] += np.bincount(gram_buckets(part)[_letters(part)], minlength=GRAM_BUCKETS)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([counts[k].astype("<i8").tobytes() for k in range(len(languages))], pa.binary()), pa.array(range(len(languages)), pa.int32())], ["counts", "place"])
+                    gram, count = np.unique(gram_buckets(part)[_letters(part)], return_counts=True)
+                    parts.append(place * GRAM_BUCKETS + gram.astype(np.int64)), added.append(count)
+                    size += len(gram)
+                    if size > len(parts[0]) + ENTRIES:
+                        merge()
+            merge()
+            grams, counts = parts[0], added[0]
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "count"])
 
-    total = np.zeros((len(languages), GRAM_BUCKETS), np.int64)
-    for row in sample.repartition(4).mapInArrow(counted, "counts binary, place int").toLocalIterator():
-        total[row["place"]] += np.frombuffer(row["counts"], "<i8")
-    # add-one within a language
-    smooth = total + 1.0
-    return TextModel(languages, np.round(SCALE * np.log(smooth / smooth.sum(1, keepdims=True))).astype(np.int32))
+    got = sample.repartition(4).mapInArrow(counted, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).toArrow()
+    return TextModel.of(languages, got["gram"].to_numpy(), got["count"].to_numpy())
 
 
 def text_posterior(text: Column, model: TextModel) -> Column:
@@ -130,9 +168,18 @@ def text_posterior(text: Column, model: TextModel) -> Column:
     return of(text)
 
 
-def _sums(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    """Summed posteriors by group, as s0 .. s(n-1)."""
-    return rows.where(F.size("p") > 0).groupBy(*by).agg(*[F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)])
+def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Summed posteriors by group, as the array s."""
+    each = rows.where(F.size("p") > 0).select(*by, F.posexplode("p").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv")).select(*by, F.col("kv.v").alias("s"))
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
+def _smoothed(sums: Column, prior: Column) -> Column:
+    return F.zip_with(sums, prior, lambda x, p: (x + STRENGTH * p) / (_total(sums) + STRENGTH))
 
 
 def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str | Column = "source", suffix_col: str | Column | None = None, id_cols: list[str] | tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -147,28 +194,27 @@ def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lan
         docs.select(*[F.col(c).alias(f"id{k}") for k, c in enumerate(id_cols)], given.alias("declared"), none(as_column(host_col)).alias("host"), none(as_column(suffix_col)).alias("suffix"), text_posterior(F.col(text_col), model).alias("p")),
         "evidence",
     )
-    spread = lambda c: [F.col(f"{c}{k}") for k in range(n)]
-    everything = _sums(rows, [], n).select(F.array(*[F.coalesce(x, F.lit(0.0)) for x in spread("s")]).alias("s")).first()["s"]
+    found = _sums(rows, []).first()
+    everything = found["s"] if found and found["s"] else [0.0] * n
     total = sum(everything)
-    prior = [(x + 1.0) / (total + n) for x in everything]
+    prior = F.array(*[F.lit((x + 1.0) / (total + n)) for x in everything])
     # P(declared | language), with one pseudo-row spread over all values a declaration can have
     values = n + 2
-    said = _sums(rows, ["declared"], n).select("declared", F.array(*[F.log((F.col(f"s{k}") + 1.0) / F.lit(everything[k] + values)) for k in range(n)]).alias("said"))
+    said = _sums(rows, ["declared"]).select("declared", F.zip_with("s", F.array(*[F.lit(x + values) for x in everything]), lambda x, y: F.log((x + 1.0) / y)).alias("said"))
     # suffix: its likelihood, and the prior of hosts under it
-    by_suffix = _sums(rows, ["suffix"], n).withColumn("rows", sum(spread("s"), F.lit(0.0)))
-    by_suffix = by_suffix.select("suffix", F.array(*[(F.col(f"s{k}") + STRENGTH * prior[k]) / (F.col("rows") + STRENGTH) for k in range(n)]).alias("suffix_prior")).where("suffix <> ''")
-    by_host = _sums(rows, ["host", "suffix"], n).withColumn("rows", sum(spread("s"), F.lit(0.0))).where("host <> ''")
-    up = F.coalesce(F.col("suffix_prior"), F.array(*map(F.lit, prior)))
-    by_host = by_host.join(by_suffix, "suffix", "left").select("host", "suffix", F.array(*[(F.col(f"s{k}") + STRENGTH * up[k]) / (F.col("rows") + STRENGTH) for k in range(n)]).alias("host_prior"))
-    fused = rows.join(F.broadcast(said), "declared", "left").join(by_suffix, "suffix", "left").join(by_host, ["host", "suffix"], "left")  # at most MAX_LANGUAGES + 2 declarations
-    start = F.coalesce(F.col("host_prior"), F.col("suffix_prior"), F.array(*map(F.lit, prior)))
-    texts = F.when(F.size("p") > 0, F.col("p")).otherwise(F.array(*[F.lit(1.0)] * n))
+    by_suffix = _sums(rows, ["suffix"]).select("suffix", _smoothed(F.col("s"), prior).alias("suffix_prior")).where("suffix <> ''")
+    by_host = _sums(rows, ["host", "suffix"]).where("host <> ''").join(by_suffix, "suffix", "left")
+    by_host = by_host.select("host", "suffix", _smoothed(F.col("s"), F.coalesce(F.col("suffix_prior"), prior)).alias("host_prior"))
+    fused = rows.join(F.broadcast(said) if n <= BROADCAST_LANGUAGES else said, "declared", "left").join(by_suffix, "suffix", "left").join(by_host, ["host", "suffix"], "left")  # n + 2 declarations of n numbers at most
+    start = F.coalesce(F.col("host_prior"), F.col("suffix_prior"), prior)
+    texts = F.when(F.size("p") > 0, F.col("p")).otherwise(F.array_repeat(F.lit(1.0), n))
+    told = F.when(F.col("declared") != "", F.col("said"))
     parts = fused.select(
         *[f"id{k}" for k in range(len(id_cols))], F.size("p").alias("informed"), (F.col("declared") != "").alias("declares"), (F.col("host") != "").alias("hosted"), texts.alias("p"),
-        F.array(*[F.log(start[k]) + F.log(F.greatest(texts[k], F.lit(1e-300))) + F.when(F.col("declared") != "", F.coalesce(F.col("said")[k], F.lit(0.0))).otherwise(0.0) for k in range(n)]).alias("log"),
+        F.zip_with(F.zip_with(start, texts, lambda a, b: F.log(a) + F.log(F.greatest(b, F.lit(1e-300)))), F.coalesce(told, F.array_repeat(F.lit(0.0), n)), lambda a, b: a + b).alias("log"),
     )
     top = F.array_max("log")
-    norm = sum((F.exp(F.col("log")[k] - top) for k in range(n)), F.lit(0.0))
+    norm = F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     names = F.array(*map(F.lit, model.languages))
     pick = lambda c: names[F.array_position(F.col(c), F.array_max(c)).cast("int") - 1]
     informed = F.col("informed") > 0

@@ -145,6 +145,49 @@ def test_posterior_by_hand(spark):
         assert got.language == langs[want.argmax()] and got.posterior == pytest.approx(want.max(), rel=1e-6)
 
 
+def many_languages(spark, most=80):
+    """Language k is written in its own words; the later ones have fewer documents, and codes without letters have none to learn."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(most):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 60)), f"l{k:02d}", f"h{k % 7}") for i in range(3 + (most - k) // 20)]
+    rows += [(10_000 + i, "12 34 !!", f"junk{i}", "h0") for i in range(100)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rows
+
+
+def test_every_declared_language_is_a_class(spark):
+    docs, rows = many_languages(spark)
+    got = {r.doc_id: r for r in li.identified(docs).collect()}
+    real = [(d, lang) for d, _, lang, _ in rows if d < 10_000]
+    assert li.trained(docs, "text", "lang").languages == tuple(sorted({lang for _, lang in real}))
+    assert all(got[d].language == got[d].text_language == lang and got[d].posterior > 0.5 for d, lang in real)
+    assert {r.doc_id for r in li.kept(docs).collect()} == {d for d, _ in real}
+
+
+def test_a_language_of_copies_is_learned(spark):
+    docs = spark.createDataFrame([(k, EN, "en") for k in range(300)] + [(1000 + k, f"{DE} {k}", "de") for k in range(300)], "doc_id long, text string, lang string")
+    for most in (2, 5):
+        model = li.trained(docs, "text", "lang", most)
+        score, _ = model.likelihoods(pa.array([EN]))
+        assert model.languages == ("de", "en") and score[0, 1] > score[0, 0]
+
+
+def test_likelihoods_by_hand(spark, monkeypatch):
+    docs, rows = many_languages(spark, 5)
+    model = li.trained(docs, "text", "lang")
+    flat = lambda t: np.frombuffer(t.encode(), np.uint8)
+    grams = lambda t: np.bincount(li.gram_buckets(flat(t))[li._letters(flat(t))], minlength=li.GRAM_BUCKETS)
+    weight = np.stack([sum(grams(t) for _, t, x, _ in rows if x == lang) for lang in model.languages]) + 1.0
+    weight = np.round(li.SCALE * np.log(weight / weight.sum(1, keepdims=True)))
+    texts = [rows[0][1], "", "12", rows[-101][1] + " unseen words", rows[4][1]]
+    whole = model.likelihoods(pa.array(texts))[0]
+    for entries in (li.ENTRIES, 7):
+        monkeypatch.setattr(li, "ENTRIES", entries)
+        assert all((model.likelihoods(pa.array([t]))[0][0] == weight @ grams(t) / li.SCALE).all() for t in texts)
+        assert (model.likelihoods(pa.array(texts))[0] == whole).all()
+
+
 def test_likelihoods_do_not_depend_on_the_batch(spark, monkeypatch):
     model = li.trained(evidence(spark), "text", "lang")
     texts = [EN, None, DE * 50, "", "é"]
