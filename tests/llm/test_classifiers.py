@@ -77,6 +77,14 @@ def test_features_do_not_depend_on_the_batch(monkeypatch):
     assert (np.concatenate([qc.features_of(pa.array([t], pa.string())) for t in texts]) == whole).all()
 
 
+def test_top_word_is_the_share_of_the_most_frequent_word():
+    at = qc.FEATURES.index("top_word")
+    for n in (1, 5, 63, 64, 65, 5000):
+        words = ["a", "b", "c", "d"][: n - 1] + ["frequent"] * (n - min(4, n - 1))
+        for text in (" ".join(words), "\n".join(reversed(words))):
+            assert qc.features_of(pa.array([text]))[0, at] == np.float32(words.count("frequent") / n)
+
+
 def test_languages(spark):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op1_language_id"](spark, SF).collect()
