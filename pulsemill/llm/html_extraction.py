@@ -91,7 +91,7 @@ class _Blocks(HTMLParser):
         words = [f"tag:{tag}"]
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
-                for word in value.lower().split()[:8]:
+                for word in value.lower().split():
                     words.append(f"{name}:{word}")
                     pieces = re.split(r"[-_]", word)
                     words += [f"part:{x}" for x in pieces]
@@ -148,7 +148,7 @@ def features(blocks: list[Block]) -> list[np.ndarray]:
             found.append("first")
         if k == len(blocks) - 1:
             found.append("last")
-        low = b.text[:200].lower()
+        low = b.text.lower()
         if "©" in low or "copyright" in low or "all rights" in low:
             found.append("copyright")
         if any(c.isdigit() for c in low) and words < 8:
@@ -240,7 +240,16 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
     prose = lambda most=12: " ".join(sentence() for _ in range(rng.randint(1, most)))
     pick = rng.choice
     link = lambda: f'<a href="/{word()}">{phrase(rng.randint(1, 3))}</a>'
-    attr = lambda words: pick([f' class="{pick(words)}"', f' id="{pick(words)}"', f' class="{word()} {pick(words)}"', f' class="{pick(words)}-{pick(["box", "wrap", "area", "list", "1"])}"'])
+    utility = ["flex", "flex-col", "p-4", "m-2", "w-full", "bg-x", "text-y", "rounded", "grid", "mx-auto", "items-center", "gap-3", "h-8", "shadow", "relative", "block", "font-bold", "md:w-64", "border", "leading-6"]
+
+    def styled(words):
+        """Many class words, the telling one anywhere."""
+        many = rng.sample(utility, rng.randint(6, 14))
+        if words:
+            many.insert(pick([rng.randint(0, len(many)), len(many)]), pick(words))
+        return f' class="{" ".join(many)}"'
+
+    attr = lambda words: styled(words) if rng.random() < 0.15 else pick([f' class="{pick(words)}"', f' id="{pick(words)}"', f' class="{word()} {pick(words)}"', f' class="{pick(words)}-{pick(["box", "wrap", "area", "list", "1"])}"'])
 
     def boxed(tags, names, inner):
         tag = pick(tags)
@@ -263,7 +272,7 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
         return pick([f"<header>{inner}</header>", f"<div{attr(['header', 'masthead', 'banner', 'top', 'site-header', 'logo'])}>{inner}</div>", f'<div role="banner">{inner}</div>'])
 
     def foot():
-        inner = pick([f"&copy; {word()}.example {pick(['', '&middot; '])}{sentence()}", f"<p>&copy; {rng.randint(1990, 2030)} {phrase(3)}</p>", f"<p>{prose(3)}</p>{links(2, 5)}", f"copyright {phrase(2)}. {sentence()}", sentence(), prose(3)])
+        inner = pick([f"&copy; {word()}.example {pick(['', '&middot; '])}{sentence()}", f"<p>&copy; {rng.randint(1990, 2030)} {phrase(3)}</p>", f"<p>{prose(3)}</p>{links(2, 5)}", f"copyright {phrase(2)}. {sentence()}", f"<p>{' '.join(sentence() for _ in range(rng.randint(6, 12)))} {pick(['&copy;', 'Copyright', 'All rights reserved'])} {phrase(3)}.</p>", sentence(), prose(3)])
         return pick([f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", f"<div{attr(['footer', 'copyright', 'bottom', 'site-footer', 'legal', 'colophon'])}>{inner}</div>", f'<div role="contentinfo">{inner}</div>'])
 
     def side():
@@ -298,6 +307,11 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
             main.append(text)
             return text
 
+        if rng.random() < 0.03:  # the text and nothing else
+            text = keep(pick([prose(), phrase(rng.randint(40, 200))]))
+            yield f"{pick(['<article>', '<main>', f'<div{attr(["content", "post", "text"])}>'])}<p>{text}", main
+            continue
+
         def part(noisy=True):
             kind = rng.random()
             if noisy and kind < 0.06:
@@ -317,8 +331,10 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tu
                 return f"<table><tr><td>{keep(phrase(2))}</td><td>{keep(phrase(3))}</td></tr></table>"
             if kind < 0.27:
                 return f"<pre>{keep(phrase(6))}</pre>"
+            if kind < 0.28:
+                return f"<p>{keep(f'{prose(6)} {phrase(3)} copyright {prose(4)}')}</p>"
             if kind < 0.30:
-                return f"<div>{keep(prose())}</div>"
+                return f"<div{pick(['', styled([])])}>{keep(prose())}</div>"
             if kind < 0.36:
                 text = keep(prose(4))
                 at = text.find(" ")

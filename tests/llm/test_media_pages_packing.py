@@ -124,6 +124,30 @@ def test_generated_layouts_it_has_not_seen():
     assert same / n > 0.95
 
 
+MANY = "flex flex-col p-4 m-2 w-full bg-x text-y rounded"
+
+
+def test_all_words_of_attributes_are_features():
+    for name in ("class", "id", "role"):
+        (block,) = hx.blocks_of(f'<div {name}="{MANY} reader-comments">Some words.</div>')
+        assert {f"{name}:reader-comments", "part:comments", f"{name}:flex"} <= set(block.path[-1])
+
+
+def test_marks_are_found_in_the_whole_block():
+    have = lambda text, feature: hx._number(feature) in hx.features(hx.blocks_of(f"<div>{text}</div>"))[0]
+    for mark in ("&copy; 2020", "Copyright", "All rights reserved"):
+        assert have(f"{'legal words ' * 40}{mark}", "copyright") and not have("legal words " * 40, "copyright")
+    assert have(f"{'x' * 300} 7", "short with digits") and not have("x" * 300, "short with digits")
+
+
+def test_late_class_words_decide():
+    prose = "<p>The first sentence of the article is here. The second one follows it, and is longer than that.</p>" * 3
+    for telling in ("comments", "advertisement", "cookie"):
+        left_out = f'<div class="{MANY} {telling}"><p>Nobody asked for this text, which is like any other. It goes on for a while.</p></div>'
+        page = f'<html><body><div class="{MANY} content"><h1>A title</h1>{prose}</div>{left_out}</body></html>'
+        assert hx.main_text(page, hx.default_field()) == "A title " + " ".join(re.findall("<p>(.*?)</p>", prose))
+
+
 def test_viterbi_and_likelihood_by_enumeration():
     rng = np.random.default_rng(0)
     x = [np.array([k, 10 + k % 3]) for k in range(6)]
