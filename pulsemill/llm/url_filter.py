@@ -2,9 +2,11 @@
 
 Blocklists change: an entry (list, kind, pattern) is added and removed on dates. The dated entries of one pattern, in
 order, become validity intervals, each ending where the next begins. A capture is evaluated as of its own fetch time: its
-keys (every suffix of the host by label, and every prefix of host and path by segment) meet the intervals in an
-equality join on the key, with the interval test as a residual. All lists and all keys are kept; a hot host only means many
-rows under few intervals, which the adaptive skew join splits. The lists are broadcast by Spark itself if they are small.
+keys (suffixes of the host by label, and prefixes of host and path by segment) meet the intervals in an equality join on
+the key, with the interval test as a residual. Only keys of as many labels or segments as some entry has are made, as no
+other can meet one, so a long url makes few; the numbers of labels and segments that occur are at most the root of twice
+the list's size. The intervals are broadcast if they are few by count; otherwise the join is salted, so a hot host's rows
+go to many tasks.
 
 Edge cases: null or unparsable urls and null fetch times are evaluated as not blocked; several entries of one pattern on
 one date: the removal is last; an entry with a null date or pattern is ignored; repeated captures each get a row; ports,
@@ -17,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import BROADCAST_ROWS, cleaned, stored, table
+
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -28,14 +32,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def url_keys(url: Column) -> Column:
-    """array<struct<kind, key>>: 'host' suffixes and 'path' prefixes; empty for urls without a host."""
-    host, labels = host_of(url), F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("host").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
+def url_keys(url: Column, labels: list[int], segments: list[int]) -> Column:
+    """array<struct<kind, key>>: 'host' suffixes and 'path' prefixes of the given numbers of parts; empty for urls without a host."""
+    host, names = host_of(url), F.split(host_of(url), r"\.")
     parts = F.array_remove(F.split(path_of(url), "/"), "")
-    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("path").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("key")))
-    empty = F.array().cast("array<struct<kind:string,key:string>>")
-    return F.when(host == "", empty).otherwise(F.concat(hosts, F.when(F.size(parts) > 0, paths).otherwise(empty)))
+    some = lambda numbers, of: F.filter(F.array(*map(F.lit, numbers)).cast("array<int>"), lambda n: n <= F.size(of))
+    hosts = F.transform(some(labels, names), lambda n: F.struct(F.lit("host").alias("kind"), F.array_join(F.slice(names, F.size(names) - n + 1, n), ".").alias("key")))
+    paths = F.transform(some(segments, parts), lambda n: F.struct(F.lit("path").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")).alias("key")))
+    return F.when(host == "", F.array().cast("array<struct<kind:string,key:string>>")).otherwise(F.concat(hosts, paths))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -49,12 +53,18 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """capture_id, url, blocked, n_rules and rules (sorted 'list:kind:key', joined by blanks) of captures (capture_id, url, day)."""
     rows = captures.select("capture_id", "url", "day", F.monotonically_increasing_id().alias("rid"))
-    asked = rows.select("rid", "capture_id", "url", "day", F.explode_outer(url_keys(F.col("url"))).alias("k")).select("rid", "capture_id", "url", "day", "k.kind", "k.key")
-    held = intervals(entries).select("list", F.col("kind").alias("of_kind"), F.col("key").alias("of_key"), "since", "until")
-    active = (F.col("kind") == F.col("of_kind")) & (F.col("key") == F.col("of_key")) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
+    held = stored(intervals(entries), "intervals")
+    parts = held.select("kind", (F.length("key") - F.length(F.replace("key", F.when(F.col("kind") == "host", ".").otherwise("/"), F.lit("")))).alias("n")).distinct().collect()
+    labels, segments = sorted(r["n"] + 1 for r in parts if r["kind"] == "host"), sorted(r["n"] for r in parts if r["kind"] == "path")
+    asked = rows.select("rid", "capture_id", "url", "day", F.explode_outer(url_keys(F.col("url"), labels, segments)).alias("k")).select("rid", "capture_id", "url", "day", "k.kind", "k.key")
+    few = held.count() <= BROADCAST_ROWS
+    salts = F.array(F.lit(0)) if few else F.sequence(F.lit(0), F.lit(SALTS - 1))
+    held = held.select("list", F.col("kind").alias("of_kind"), F.col("key").alias("of_key"), "since", "until", F.explode(salts).alias("of_salt"))
+    asked = asked.withColumn("salt", F.lit(0) if few else F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    active = (F.col("kind") == F.col("of_kind")) & (F.col("key") == F.col("of_key")) & (F.col("salt") == F.col("of_salt")) & (F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     rule = F.when(F.col("list").isNotNull(), F.concat_ws(":", "list", "kind", "key"))
-    met = asked.join(held, active, "left").groupBy("rid", "capture_id", "url").agg(F.array_join(F.array_sort(F.collect_set(rule)), " ").alias("rules"), F.countDistinct(rule).alias("n_rules"))
-    return met.select("capture_id", "url", (F.col("n_rules") > 0).alias("blocked"), "n_rules", "rules")
+    met = asked.join(F.broadcast(held) if few else held, active, "left").groupBy("rid", "capture_id", "url").agg(F.array_sort(F.collect_set(rule)).alias("r"))
+    return met.select("capture_id", "url", (F.size("r") > 0).alias("blocked"), F.size("r").cast("long").alias("n_rules"), F.array_join("r", " ").alias("rules"))
 
 
 FIRST_DAY = "2024-01-01"
@@ -69,11 +79,13 @@ def page_entries(pages: DataFrame) -> DataFrame:
     """The data have no lists either; they follow from digests of the pages' hosts.
 
     A fifth of the hosts is listed, removed after 60 days and listed again after 120; a tenth of the domains (the host less
-    its first label) is listed to the end; a third of the first path segments is listed for 90 days.
+    its first label, if more than one is left) is listed to the end; a third of the first path segments is listed for 90 days.
     """
     host = host_of(F.col("url"))
     first = F.regexp_extract(path_of(F.col("url")), "^/+([^/]+)", 1)
-    names = pages.select(host.alias("host"), F.regexp_replace(host, r"^[^.]*\.", "").alias("domain"), F.when(first != "", F.concat(host, F.lit("/"), first)).alias("path")).where("host <> ''").distinct()
+    rest = F.regexp_replace(host, r"^[^.]*\.", "")
+    names = pages.select(host.alias("host"), F.when(rest.contains("."), rest).alias("domain"), F.when(first != "", F.concat(host, F.lit("/"), first)).alias("path")).where("host <> ''").distinct()
+    names = stored(names, "names")
     number = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("int")
     day = lambda n, after: F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod(F.shiftright(n, 5), F.lit(240)) + after)
 
@@ -102,7 +114,7 @@ names AS (
 keys AS (
   SELECT list, kind, key, share, CAST(('0x' || substr(md5(key), 1, 6)) AS INTEGER) AS n FROM (
     SELECT DISTINCT 'adverts' AS list, 'host' AS kind, host AS key, 5 AS share FROM names
-    UNION SELECT DISTINCT 'malware', 'host', domain, 10 FROM names
+    UNION SELECT DISTINCT 'malware', 'host', domain, 10 FROM names WHERE domain LIKE '%.%'
     UNION SELECT DISTINCT 'spam', 'path', p, 3 FROM names WHERE p IS NOT NULL)),
 spans AS (
   SELECT list, kind, key, DATE '2024-01-01' + CAST((n >> 5) % 240 + a AS INTEGER) AS since, CASE WHEN b IS NOT NULL THEN DATE '2024-01-01' + CAST((n >> 5) % 240 + b AS INTEGER) END AS until
@@ -121,6 +133,10 @@ FROM captures LEFT JOIN met USING (rid) GROUP BY rid, capture_id, url
 """
 
 
-def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+@cleaned
+def filtered_pages(pages: DataFrame) -> DataFrame:
     return filtered(page_captures(pages), page_entries(pages))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered_pages(table(spark, sf_dir, "pages"))
