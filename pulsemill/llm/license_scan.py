@@ -1,31 +1,35 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-A template is its set of 5-word shingles. Templates are grouped by size into classes of up to m = 1, 2, 4, ... shingles; the
-windows of a class are 2m shingles long and begin every m, so each stretch of m shingles lies whole in some window. A
-window without any shingle of any template shares nothing with one, so only shingles of the template vocabulary are kept
-(a semi-join with a list that grows with the templates alone). Over those, each window gets `BANDS` bands of one
-MinHash each. A template has over m / 2 shingles; a window that holds 0.8 of them among at most 2m has a Jaccard similarity
-of at least 0.4m / 2.1m > 0.19 and meets it in some band with a probability of over 1 - 0.81^96 > 1 - 2e-9. Retrieved pairs
-are verified by counting the template's distinct shingles in the window.
-
-Edge cases: null texts and texts or templates under 5 words have no shingles and no matches; several matches of one template in a document are one row, with the
-best containment and the first window that has it; documents are told apart by id and text, so repeated rows give
-equal rows; a match of one template never hides another's; other columns are never read.
+A template is its set of n 5-word shingles, and m the power of two from n on. A document has it if some stretch of 2m of
+its shingles, wherever it begins, holds 0.8 of them. Windows of a class m are 3m shingles long and begin every m, so each
+such stretch lies whole in a window. A window gets `BANDS` bands of one MinHash each over all its shingles. Of the at most
+3m it shares 0.8n with the template, so their Jaccard similarity is at least 0.4m / 3.1m > 0.129, and they meet in some
+band with a probability of over 1 - 0.871^160 > 1 - 3e-10. Retrieved templates are verified by counting distinct shingles
+over all stretches of the document, as running sums of where each shingle begins and ends to count.
+
+Bands are only computed for windows that can hold a template: a first pass over the texts marks the shingles that any
+template has (a semi-join with a list that grows with the templates alone), and a window with fewer of those than 0.8 of
+the smallest template of its class can't. So the second pass reads few texts, and only they are ever moved.
+
+Edge cases: null texts and texts or templates under 5 words have no shingles and no matches; several matches of one
+template in a document are one row, with the best containment and the first shingle of the template in the first stretch
+that has it; documents are told apart by two hashes of id and text, so repeated rows give equal rows; a match of one
+template never hides another's; other columns are never read.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import bounded, cleaned, row_keys, stored, table, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 96
-BROADCAST_ROWS = 200_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BANDS = 160
 
 #: Common license notices, as their publishers word them.
 TEMPLATES = (
@@ -42,12 +46,22 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("EPL-2.0-header", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-endorsement", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
+#: Whole texts of licenses lie beside this module, one a file, as their publishers give them.
+WHOLE_TEXTS = Path(__file__).parent / "licenses"
 
 
-def words_of(text: Column) -> Column:
-    """A-Z lower-cased; runs of digits, letters and all that isn't ASCII."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN_WORDS), "")
+def templates() -> list[tuple[str, str]]:
+    """Names and texts: the notices above and the whole license texts."""
+    return [*TEMPLATES, *((f"{p.stem}-whole", p.read_text(encoding="utf-8")) for p in sorted(WHOLE_TEXTS.glob("*.txt")))]
 
 
 def shingle_rows(rows: DataFrame, words: str, *keep: str) -> DataFrame:
@@ -57,62 +71,79 @@ def shingle_rows(rows: DataFrame, words: str, *keep: str) -> DataFrame:
     return each.select(*keep, "pos", F.xxhash64("w0", *[F.element_at(words, F.col("pos") + k + 1) for k in range(1, SHINGLE)]).alias("s"))
 
 
-def template_shingles(templates: DataFrame) -> DataFrame:
-    """name, s, n (distinct shingles of the template) and m, its class; stored. Templates are given as name and text."""
-    words = templates.select("name", words_of(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
-    each = shingle_rows(words, "w", "name").select("name", "s").distinct()
-    sizes = each.groupBy("name").agg(F.count("*").alias("n"))
-    return stored(each.join(sizes, "name").withColumn("m", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")), "templates")
+def shingles_of(words: Column) -> Column:
+    """The same hashes as an array; `words` has at least 5."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(SHINGLE)]))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A stored table with a broadcast hint if it is small, by count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def least_hashes(shingles: Column) -> Column:
+    """The MinHash of each band over an array of shingle hashes."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k))))
 
 
-def bands(rows: DataFrame, *by: str) -> DataFrame:
-    """`by`, band and low: the MinHash of each band over the shingles of each group."""
-    lows = rows.groupBy(*by).agg(*[F.min(F.xxhash64(F.col("s"), F.lit(k))).alias(f"b{k}") for k in range(BANDS)])
-    return lows.select(*by, F.posexplode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band", "low"))
+def template_shingles(given: DataFrame) -> DataFrame:
+    """name, s, n (distinct shingles of the template) and m, its class; stored. Templates are given as name and text."""
+    words = given.select("name", words_of(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
+    each = shingle_rows(words, "w", "name").select("name", "s").distinct()
+    sizes = each.groupBy("name").agg(F.count("*").alias("n"))
+    return stored(each.join(sizes, "name").withColumn("m", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")), "templates")
 
 
-def scanned(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, license, containment and first_word for each template contained in a row of `docs`."""
-    shingles = template_shingles(templates)
+def retrieved(docs: DataFrame, near: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b, name): templates that meet a window of a text in a band; `near` has the template shingles of the texts."""
+    classes = shingles.groupBy("m").agg(F.ceil(CONTAINMENT * F.min("n")).alias("least"))
+    of_class = shingles.select("s", "m").distinct()
+    begins = F.explode(F.array(*[F.floor(F.col("pos") / F.col("m")) - d for d in range(3)]))
+    windows = near.join(bounded(of_class), "s").select("a", "b", "m", "s", begins.alias("win")).where("win >= 0")
+    held = windows.groupBy("a", "b", "m", "win").agg(F.countDistinct("s").alias("hits")).join(F.broadcast(classes), "m")  # a row a power of two
+    held = stored(held.where(F.col("hits") >= F.col("least")).select("a", "b", "m", "win"), "windows")
+    rows = docs.select("text", *row_keys()).join(bounded(held.select("a", "b").distinct()), ["a", "b"], "left_semi")
+    texts = rows.dropDuplicates(["a", "b"]).select("a", "b", words_of(F.col("text")).alias("w"))
+    part = F.slice("w", (F.col("win") * F.col("m") + 1).cast("int"), F.col("m") * 3 + (SHINGLE - 1))
+    met = texts.join(held, ["a", "b"]).select("a", "b", "m", part.alias("part"))
+    lows = met.select("a", "b", "m", F.posexplode(least_hashes(shingles_of(F.col("part")))).alias("band", "low"))
+    own = shingles.groupBy("name", "m").agg(F.collect_list("s").alias("all"))  # one template's
+    bands = stored(own.select("name", "m", F.posexplode(least_hashes(F.col("all"))).alias("band", "low")), "bands")
+    return lows.join(bounded(bands), ["m", "band", "low"]).select("a", "b", "name").distinct()
+
+
+def best_stretches(hits: DataFrame) -> DataFrame:
+    """a, b, name, containment, first_word from the places (pos) of a template's shingles (s) in a text, with n and m."""
+    key = ["a", "b", "name"]
+    before = F.coalesce(F.lag("pos").over(Window.partitionBy(*key, "s").orderBy("pos")), F.lit(-1))
+    # a shingle counts in the stretches that begin after its last place, at most 2m before this one
+    since = hits.select(*key, "n", "pos", (F.greatest(before, F.col("pos") - 2 * F.col("m")) + 1).alias("since"))
+    steps = since.select(*key, "n", F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("d")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.groupBy(*key, "n", "x.at").agg(F.sum("x.d").alias("d"))
+    counted = steps.withColumn("c", F.sum("d").over(Window.partitionBy(*key).orderBy("at")))
+    best = counted.groupBy(*key, "n").agg(F.min(F.struct((-F.col("c")).alias("less"), "at")).alias("x")).select(*key, "n", (-F.col("x.less")).alias("c"), "x.at")
+    best = best.where(F.col("c") >= CONTAINMENT * F.col("n"))
+    first = hits.select(*key, "pos").join(best, key).where("pos >= at").groupBy(*key, "n", "c").agg(F.min("pos").cast("long").alias("first_word"))
+    return first.select(*key, (F.col("c") / F.col("n")).alias("containment"), "first_word")
+
+
+@cleaned
+def scanned(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """doc_id, license, containment and first_word for each template (name, text) that a row of `docs` has."""
+    docs = docs.select("doc_id", "text")
+    shingles = template_shingles(given)
     vocabulary = stored(shingles.select("s").distinct(), "vocabulary")
-    classes = [r["m"] for r in shingles.select("m").distinct().orderBy("m").collect()]  # at most 64, as m doubles
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
-    near = stored(shingle_rows(rows, "w", "doc_id", "h").join(bounded(vocabulary), "s", "left_semi").select("doc_id", "h", "pos", "s"), "near").distinct()
-    if not classes:
-        return near.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.col("pos").cast("long").alias("first_word")).where("false")
-    spans = F.array(*[F.struct(F.lit(m).alias("m"), (F.floor(F.col("pos") / m) - d).cast("long").alias("win")) for m in classes for d in (0, 1)])
-    windows = near.select("doc_id", "h", "pos", "s", F.inline(spans)).where("win >= -1")
-    of_templates = bands(shingles, "name", "m").withColumnRenamed("m", "of_m").select("name", "of_m", F.col("band").alias("of_band"), F.col("low").alias("of_low"))
-    of_templates = stored(of_templates, "bands")
-    met = bands(windows.select("doc_id", "h", "m", "win", "s"), "doc_id", "h", "m", "win")
-    found = met.join(bounded(of_templates), (F.col("m") == F.col("of_m")) & (F.col("band") == F.col("of_band")) & (F.col("low") == F.col("of_low")))
-    found = found.select("doc_id", "h", "m", "win", "name").distinct()
-    asked = found.join(bounded(shingles.select("name", "s", "n")), "name")
-    # against the kept shingles themselves: a window holds those of its own block of m and of the next
-    held = near.select(*[F.col(c).alias(f"{c}_") for c in near.columns])
-    inside = F.floor(F.col("pos_") / F.col("m")) - F.col("win")
-    same = [asked.doc_id.eqNullSafe(held.doc_id_), asked.h == held.h_, asked.s == held.s_, (inside == 0) | (inside == 1)]
-    each = asked.join(held, same).groupBy("doc_id", "h", "name", "n", "win").agg(F.countDistinct("s").alias("hits"), F.min("pos_").alias("pos"))
-    each = each.where(F.col("hits") >= CONTAINMENT * F.col("n"))
-    best = each.groupBy("doc_id", "h", "name").agg(F.min(F.struct((-F.col("hits") / F.col("n")).alias("less"), "pos")).alias("x"))
-    best = best.select(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), F.col("name").alias("license"), (-F.col("x.less")).alias("containment"), F.col("x.pos").cast("long").alias("first_word"))
-    keys = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    return keys.join(best, keys.doc_id.eqNullSafe(best.id_) & (keys.h == best.h_)).select("doc_id", "license", "containment", "first_word")
+    rows = docs.select(*row_keys(), words_of(F.col("text")).alias("w"))
+    near = stored(shingle_rows(rows, "w", "a", "b").join(bounded(vocabulary), "s", "left_semi").select("a", "b", "pos", "s"), "near").distinct()
+    asked = stored(retrieved(docs, near, shingles), "retrieved")
+    hits = near.join(bounded(shingles), "s").join(bounded(asked), ["a", "b", "name"], "left_semi")
+    best = stored(best_stretches(hits), "best")
+    return docs.select("doc_id", *row_keys()).join(bounded(best), ["a", "b"]).select("doc_id", F.col("name").alias("license"), "containment", "first_word")
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "name string, text string")
+    return spark.createDataFrame(templates(), "name string, text string")
 
 
 ORACLE = (
     r"""
 WITH given(name, text) AS (VALUES """
-    + ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES)
+    + ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates())
     + r"""),
 tw AS (SELECT name, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM given),
 ts AS (SELECT DISTINCT name, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT name, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
@@ -124,8 +155,9 @@ near AS (
   SELECT rid, i - 1 AS pos, name, n, m, g.s FROM (
     SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)) g
   JOIN ts USING (s) JOIN tn USING (name)),
-spread AS (SELECT rid, name, n, s, pos, pos // m - d AS win FROM near, (VALUES (0), (1)) AS v(d)),
-held AS (SELECT rid, name, n, win, count(DISTINCT s) AS hits, min(pos) AS pos FROM spread GROUP BY rid, name, n, win HAVING count(DISTINCT s) >= 0.8 * n),
+held AS (
+  SELECT a.rid, a.name, a.n, a.pos, count(DISTINCT b.s) AS hits FROM near a JOIN near b ON a.rid = b.rid AND a.name = b.name AND b.pos >= a.pos AND b.pos < a.pos + 2 * a.m
+  GROUP BY a.rid, a.name, a.n, a.pos HAVING count(DISTINCT b.s) >= 0.8 * a.n),
 best AS (SELECT rid, name, min(struct_pack(less := -hits / n, pos := pos)) AS x FROM held GROUP BY rid, name)
 SELECT doc_id, name AS license, -x.less AS containment, CAST(x.pos AS BIGINT) AS first_word FROM best JOIN docs USING (rid)
 """
