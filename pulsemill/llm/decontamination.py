@@ -1,18 +1,21 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The index holds a posting (term, document, position) for every occurrence of a benchmark term in the documents, over whole
-texts, as a stored table. A benchmark item becomes its windows of `window` words. For each window the two rarest terms are
-looked up; their posting lists, shifted by the terms' offsets, are intersected on (window, document, start). What is
-left is compared word for word with the document, so matches are exact. `proximity_matches` joins the same shifted lists
-with some slack instead.
-
-Sizes. The term list, windows and term counts grow with the benchmark alone; they are broadcast only if they are under
+The index holds a posting (term, text, position) for every occurrence of a benchmark term in the documents, over whole
+texts, and a posting of its end for each document, whose position is the number of words; it is a stored table. A benchmark
+item becomes its windows of `window` words. For each window the two rarest terms are looked up; their posting lists,
+shifted by the terms' offsets, are intersected on (window, text, start). What is left is compared word for word with the
+texts concerned, so matches are exact. `proximity_matches` intersects the shifted lists with some slack, and counts the
+window's words near their places.
+
+Sizes. The term list, windows and term counts grow with the benchmark alone; they are broadcast only if they have under
 `BROADCAST_ROWS` rows, by count, and shuffled otherwise. Lists of hot terms are never gathered: the lookups are joins over
-the postings where they lie, and a document's candidates are at most what its own text holds.
+the postings where they lie, or, if the windows are too many for that, salted joins. Of the texts only those with
+candidates move, if these are few by count; a text's candidates are at most what it holds itself. Texts are told apart by
+two hashes of id and text; equal rows give equal candidates, which become one before anything is gathered.
 
 Edge cases: null and empty texts have no words and no hits; items without words have no window; items under `window` words
-are one window; equal windows of several items count for each; documents are told apart by id and text, so repeated rows
-get equal results; null ids match as equal; other columns are never read, whatever their names.
+are one window; equal windows of several items count for each; repeated rows get equal results; null ids are ids like any
+other; other columns are never read, whatever their names, and `kept` returns them as they are.
 """
 
 from __future__ import annotations
@@ -21,31 +24,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import BROADCAST_ROWS, bounded, by_position, cleaned, named_back, row_keys, stored, table, words_of
 
 WINDOW = 10
-BROADCAST_ROWS = 200_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def words_of(text: Column) -> Column:
-    """A-Z lower-cased; runs of digits, letters and all that isn't ASCII."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN_WORDS), "")
-
+SALTS = 32
+WHOLE = " "  # stands for the end of a text; no word has a blank
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A stored table with a broadcast hint if it is small, by count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """wid, phrase, size, items (ids as strings) for each distinct window; stored."""
+def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(wid, phrase, size) for each distinct window, and (wid, item) for each item that has it, ids as strings; both stored."""
     words = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     each = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("w"))
-    found = each.groupBy(F.array_join("w", " ").alias("phrase"), F.size("w").alias("size")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return stored(found.select(F.xxhash64("phrase", "size").alias("wid"), "phrase", "size", "items"), "windows")
+    each = each.select("item", F.array_join("w", " ").alias("phrase"), F.size("w").alias("size"))
+    owners = stored(each.select(F.xxhash64("phrase", "size").alias("wid"), "phrase", "size", "item").distinct(), "windows")
+    return stored(owners.select("wid", "phrase", "size").distinct(), "phrases"), owners.select("wid", "item")
 
 
 def window_terms(windows: DataFrame) -> DataFrame:
@@ -54,89 +47,127 @@ def window_terms(windows: DataFrame) -> DataFrame:
     return split.select("wid", "size", "place", F.xxhash64("word").alias("term"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
+def postings(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored index, as (term, a, b, pos) for each occurrence of a window's term, and (doc_id, a, b, n_words) for each row."""
+    spark = docs.sparkSession
+    whole = F.xxhash64(F.lit(WHOLE))
+    terms = window_terms(windows).select("term").union(spark.range(1).select(whole.alias("term"))).distinct()
+    split = docs.select("doc_id", *row_keys(), F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(WHOLE)))).alias("pos", "word"))
+    rows = split.select(F.xxhash64("word").alias("term"), F.when(F.col("word") == WHOLE, F.col("doc_id")).alias("doc_id"), "a", "b", "pos")
+    index = stored(rows.join(bounded(stored(terms, "terms")), "term", "left_semi"), "postings")
+    ends = index.where(F.col("term") == whole).select("doc_id", "a", "b", F.col("pos").cast("long").alias("n_words"))
+    return index.where(F.col("term") != whole).select("term", "a", "b", "pos"), ends
+
 
+def ranked_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """wid, size, place, term, n, rank: each window's words by falling rarity; n, its occurrences in the documents, may be 0."""
+    counts = bounded(stored(index.groupBy("term").agg(F.count("*").alias("n")), "counts"))  # a row a benchmark term
+    terms = window_terms(windows).join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return terms.withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("n", "place")))
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: term, doc_id, h, pos for each occurrence of one of `terms`; stored."""
-    split = keyed(docs).select("doc_id", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    return stored(split.select(F.xxhash64("word").alias("term"), "doc_id", "h", "pos").join(bounded(terms), "term", "left_semi"), "postings")
 
+def shifted(index: DataFrame, lists: DataFrame, *more: str) -> DataFrame:
+    """Starts (a, b, start) that the postings of each row of `lists` (wid, term, place) allow; `lists` is stored."""
+    if lists.count() <= BROADCAST_ROWS:
+        at = index.join(F.broadcast(lists), "term")
+    else:  # a hot term's postings go to SALTS tasks
+        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        at = index.withColumn("salt", F.pmod(F.xxhash64("a", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    return at.select("wid", "a", "b", (F.col("pos") - F.col("place")).alias("start"), *more)
 
-def rarest_terms(windows: DataFrame, index: DataFrame, most: int) -> DataFrame:
-    """The terms of each window by falling rarity, up to rank `most`; windows with a term that never occurs are gone. Stored."""
-    counts = bounded(stored(index.groupBy("term").agg(F.count("*").alias("n")), "counts"))  # a row a benchmark term
-    by = Window.partitionBy("wid")
-    ranked = window_terms(windows).join(counts, "term", "left").withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(by))
-    ranked = ranked.where("least > 0").withColumn("rank", F.row_number().over(by.orderBy("n", "place")))
-    return stored(ranked.where(F.col("rank") <= most).select("wid", "size", "term", "place", "rank", "n"), "rarest")
 
+def candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(wid, a, b, start): the intersection of the shifted lists of each window's two rarest terms."""
+    ranked = ranked_terms(windows, index).withColumn("least", F.min("n").over(Window.partitionBy("wid")))
+    rarest = stored(ranked.where("least > 0 AND rank <= 2").select("wid", "size", "term", "place", "rank"), "rarest")
+    first = shifted(index, rarest.where("rank = 1"), "size").where("start >= 0")
+    second = shifted(index, rarest.where("rank = 2")).where("start >= 0")
+    both = first.where("size > 1").join(second, ["wid", "a", "b", "start"], "left_semi")
+    return both.union(first.where("size = 1").select(both.columns)).select("wid", "a", "b", "start").distinct()
 
-def shifted(index: DataFrame, rarest: DataFrame, rank: int) -> DataFrame:
-    """Starts (wid, size, doc_id, h, start) that the terms of one rank allow."""
-    at = index.join(bounded(rarest.where(F.col("rank") == rank)), "term")
-    return at.select("wid", "size", "doc_id", "h", (F.col("pos") - F.col("place")).alias("start")).where("start >= 0")
 
+def texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of the stored `lists` (a, b and others) with the words w of their text."""
+    rows = docs.select("text", *row_keys()).join(bounded(lists.select("a", "b")), ["a", "b"], "left_semi")
+    texts = rows.dropDuplicates(["a", "b"]).select("a", "b", words_of(F.col("text")).alias("w"))
+    return texts.join(lists, ["a", "b"])
 
-def candidates(index: DataFrame, rarest: DataFrame) -> DataFrame:
-    """Intersection of the shifted lists of the two rarest terms of each window."""
-    first, second = shifted(index, rarest, 1), shifted(index, rarest, 2).drop("size")
-    same = [first.wid == second.wid, first.doc_id.eqNullSafe(second.doc_id), first.h == second.h, first.start == second.start]
-    both = first.where("size > 1").join(second, same, "left_semi")
-    return both.union(first.where("size = 1"))
 
+def exact_hits(docs: DataFrame, index: DataFrame, windows: DataFrame) -> DataFrame:
+    """a, b, hits (array of start, size, wid) for the texts that hold a window; stored."""
+    near = candidates(index, windows).join(bounded(windows), "wid")
+    lists = stored(near.groupBy("a", "b").agg(F.collect_list(F.struct("start", "size", "wid", "phrase")).alias("near")), "candidates")
+    same = F.filter("near", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["size"]), " ") == c["phrase"])
+    hits = F.transform(same, lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), c["wid"].alias("wid")))
+    return stored(texts_of(docs, lists).select("a", "b", hits.alias("hits")).where(F.size("hits") > 0), "hits")
 
+
+@cleaned
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of `docs`."""
-    windows = item_windows(items, window)
-    terms = stored(window_terms(windows).select("term").distinct(), "terms")
-    index = postings(docs, terms)
-    rarest = rarest_terms(windows, index, 2)
-    near = candidates(index, rarest).join(bounded(windows.select("wid", "phrase", "items")), "wid")
-    near = near.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "size", "phrase", "items")).alias("near"))
-    near = near.select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "near")
-    rows = keyed(docs)
-    joined = rows.join(near, rows.doc_id.eqNullSafe(near.near_id) & (rows.h == near.near_h), "left").select("doc_id", words_of(F.col("text")).alias("w"), "near")
-    exact = F.filter("near", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["size"]), " ") == c["phrase"])
-    hits = joined.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("near").isNotNull(), exact).alias("hits"))
+    docs = docs.select("doc_id", "text")
+    windows, owners = item_windows(items, window)
+    index, ends = postings(docs, windows)
+    hits = exact_hits(docs, index, windows)
     spots = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    none = F.coalesce(F.size("hits"), F.lit(0)) <= 0
-    out = hits.select(
-        "doc_id", "n_words", F.when(none, F.lit(0)).otherwise(F.size(spots)).cast("long").alias("n_hit"),
-        F.when(none, F.array().cast("array<string>")).otherwise(names).alias("names"),
+    held = hits.select("a", "b", F.explode(F.array_distinct(F.col("hits.wid"))).alias("wid")).join(owners, "wid").select("a", "b", "item").distinct()
+    names = held.groupBy("a", "b").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    found = hits.select("a", "b", F.size(spots).cast("long").alias("n_hit")).join(names, ["a", "b"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return ends.join(found, ["a", "b"], "left").select(
+        "doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
-    return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 5, window: int = WINDOW) -> DataFrame:
-    """(doc_id, wid, start): windows whose two rarest terms occur with their distance off by at most `slack` words."""
-    windows = item_windows(items, window)
-    index = postings(docs, stored(window_terms(windows).select("term").distinct(), "terms"))
-    rarest = rarest_terms(windows, index, 2)
-    cell = lambda c: F.floor(c / (slack + 1))
-    first = shifted(index, rarest, 1).withColumn("cell", cell(F.col("start")))
-    second = shifted(index, rarest, 2).select("wid", "doc_id", "h", F.col("start").alias("other"), F.explode(F.sequence(cell(F.col("start")) - 1, cell(F.col("start")) + 1)).alias("cell"))
-    same = [first[c].eqNullSafe(second[c]) for c in ("wid", "doc_id", "h", "cell")]
-    found = first.join(second, [*same, F.abs(first.start - second.other) <= slack], "left_semi")
-    return found.union(first.where("size = 1")).select("doc_id", "wid", "start").distinct()
 
 
 def kept(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of `docs` without any window of `items`, all columns."""
-    windows = item_windows(items)
-    terms = stored(window_terms(windows).select("term").distinct(), "terms")
-    index = postings(docs, terms)
-    near = candidates(index, rarest_terms(windows, index, 2)).join(bounded(windows.select("wid", "phrase")), "wid")
-    near = near.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("near"))
-    rows = keyed(docs)
-    joined = near.select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "near").join(rows, rows.doc_id.eqNullSafe(F.col("near_id")) & (rows.h == F.col("near_h")))
-    joined = joined.select("near_id", "near_h", "near", words_of(F.col("text")).alias("w"))
-    hit = joined.where(F.exists("near", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["size"]), " ") == c["phrase"])).select("near_id", "near_h").distinct()
-    names = docs.columns
-    marked = docs.withColumn("__h", F.xxhash64("text"))
-    return marked.join(stored(hit, "hit"), marked.doc_id.eqNullSafe(F.col("near_id")) & (marked["__h"] == F.col("near_h")), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    windows, _ = item_windows(items)
+    rows = docs.select("doc_id", "text")
+    index, _ = postings(rows, windows)
+    hits = exact_hits(rows, index, windows).select("a", "b")
+    held = docs.select(*by_position(docs), *row_keys())
+    return held.join(bounded(hits), ["a", "b"], "left_anti").select(*named_back(docs.columns))
+
+
+@cleaned
+def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 2, least: float = 0.8, window: int = WINDOW) -> DataFrame:
+    """doc_id, phrase, start, n_near: windows of which enough words lie near their places in a text, the best start of each.
+
+    Of a window of s words ceil(least * s) must be near; words that no document has count as missing. A start is where a
+    posting of one of the rarest words puts the phrase, and a word is near if it occurs at most `slack` words from its
+    place from there. If m words may miss, two at least of the m + 2 rarest are near in any match, so the shifted lists of
+    those are intersected, and only what is left is counted. Of several starts the one with most words near is given, then
+    the first; it may be negative if the first words miss.
+    """
+    docs = docs.select("doc_id", "text")
+    windows, _ = item_windows(items, window)
+    index, ends = postings(docs, windows)
+    need = F.ceil(F.round(F.lit(float(least)) * F.col("size"), 9)).cast("int")
+    lists = ranked_terms(windows, index).withColumn("need", F.greatest(need, F.lit(1))).where("n > 0 AND rank <= size - need + 2")
+    lists = stored(lists.select("wid", "term", "place", "rank", "size", "need"), "rarest")
+    cell = lambda c: F.floor(c / (slack + 1))
+    starts = stored(shifted(index, lists, "rank", "size", "need").distinct(), "starts")
+    one = starts.withColumn("cell", cell(F.col("start")))
+    spread = F.sequence(cell(F.col("start")) - 1, cell(F.col("start")) + 1)
+    other = starts.select("wid", "a", "b", F.col("start").alias("other"), F.col("rank").alias("other_rank"), F.explode(spread).alias("cell"))
+    close = (F.abs(F.col("start") - F.col("other")) <= slack) & (F.col("rank") != F.col("other_rank"))
+    same = [one[c] == other[c] for c in ("wid", "a", "b", "cell")]
+    pairs = one.where("need > 1").join(other, [*same, close], "left_semi").drop("cell")
+    near = pairs.union(starts.where("need = 1").select(pairs.columns)).select("wid", "a", "b", "start", "need").distinct()
+    near = near.join(bounded(windows), "wid").groupBy("a", "b").agg(F.collect_list(F.struct("start", "size", "need", "wid", "phrase")).alias("near"))
+    rows = texts_of(docs, stored(near, "candidates"))
+
+    def counted(c: Column) -> Column:
+        words = F.split(c["phrase"], " ")
+        low = lambda i: F.greatest(c["start"] + i - slack, F.lit(0))
+        width = lambda i: F.greatest(c["start"] + i + slack + 1 - low(i), F.lit(0))
+        there = F.filter(F.sequence(F.lit(0), c["size"] - 1), lambda i: F.array_contains(F.slice("w", low(i) + 1, width(i)), F.get(words, i)))
+        return F.struct((-F.size(there)).alias("fewer"), c["start"].alias("start"), c["need"].alias("need"), c["wid"].alias("wid"), c["phrase"].alias("phrase"))
+
+    each = rows.select("a", "b", F.explode(F.transform("near", counted)).alias("c")).where(F.col("c.fewer") <= -F.col("c.need"))
+    best = each.groupBy("a", "b", "c.wid").agg(F.min("c").alias("c"))
+    told = best.select("a", "b", "c.phrase", F.col("c.start").cast("long").alias("start"), (-F.col("c.fewer")).cast("long").alias("n_near"))
+    return ends.join(told, ["a", "b"]).select("doc_id", "phrase", "start", "n_near")
 
 
 ORACLE = r"""
@@ -164,3 +195,8 @@ FROM docs LEFT JOIN spots USING (rid) LEFT JOIN named USING (rid)
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-passages of the benchmark: eight of ten words within two words of their places."""
+    return proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

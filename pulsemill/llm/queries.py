@@ -23,5 +23,6 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
     "language_pages": language_pages,
+    "benchmark_proximity": decontamination.benchmark_proximity,
 }
 ORACLE_SQL = {"op5_url_filter": url_filter.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_license_scan": license_scan.ORACLE}
