@@ -8,10 +8,12 @@ fingerprint is dealt to one group for every choice of r blocks and no link is lo
 fingerprints, so a group keeps about a thousand of them at any corpus size. Inside a group fingerprints are sorted by
 Gray rank and a tree is built over runs of neighbours: a node holds the bits that all below it share, less those that its
 ancestors hold already. A search adds up the differing bits from the root downwards and leaves a whole group as soon as
-the sum exceeds `distance`. Groups that are larger than `slice_rows` are first thinned by classes that need no comparison
-(see `_hot_parts`) and then cut into slices; each pair of slices is a group of its own, so no task gets an unbounded group.
-A group yields the edges of its own spanning forest, not its pairs, and the forests are joined by alternating large-star
-and small-star steps over tables.
+the sum exceeds `distance`. A group of over `slice_rows` fingerprints is cut by its other bits in the same way, as a linked
+pair agrees on one of `distance + 1` blocks of those too, and again if need be, after the classes that need no comparison
+are taken off (see `_classes`); so the rows dealt grow with the fingerprints, not with their pairs. Only what agrees on
+nearly all bits that way and is still too large is cut into slices, and each pair of slices is a group of its own. No task
+gets an unbounded group. A group yields the edges of its own spanning forest, not its pairs, and the forests are joined by
+alternating large-star and small-star steps over tables; the rows of a hub are joined by broadcast, where they lie.
 
 Edge cases: null or empty texts and texts without words have fingerprint zero and link like any other; a null id never
 names a component unless no other id is in it; repeated rows each get a result row; an empty table gives no rows;
@@ -21,6 +23,7 @@ columns other than the id and text are never read by `components`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -29,14 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_bytes
+from .common import bounded, by_position, cleaned, named_back, stored, table, text_bytes, with_least, workspace
 
 DISTANCE = 4
 SHINGLE = 4
 FANOUT = 8
 SLICE_ROWS = 8192
 PIVOTS = 8
-SALTS = 16
+CUTS = 3  # how often a group is cut by further bits
 FRONTIER = 2_000_000
 BIT_ROWS = 65_536
 
@@ -158,19 +161,24 @@ def forest(codes: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray,
     return code[apart], root[apart]
 
 
-def _group_keys(code: Column, distance: int, chosen: int) -> Column:
-    """One key for each choice of `chosen` out of distance + chosen bit blocks."""
-    blocks = distance + chosen
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = []
-    for n, picked in enumerate(combinations(range(blocks), chosen)):
-        key = F.lit(0).cast("long")
-        for k in picked:
-            width = edges[k + 1] - edges[k]
-            part = F.shiftrightunsigned(code, edges[k]).bitwiseAND(F.lit((1 << width) - 1))
-            key = F.shiftleft(key, width).bitwiseOR(part)
-        keys.append(F.struct(F.lit(n).alias("choice"), key.alias("bits")))
-    return F.explode(F.array(*keys))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _runs(bits: list[int], parts: int) -> list[int]:
+    """The bit numbers as masks of `parts` runs."""
+    cuts = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << x for x in bits[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+
+def group_masks(distance: int, chosen: int) -> list[int]:
+    """A mask for each choice of `chosen` out of distance + chosen bit blocks; linked codes are equal under one at least."""
+    return [sum(picked) for picked in combinations(_runs(list(range(64)), distance + chosen), chosen)]
+
+
+def finer_masks(mask: int, distance: int) -> list[int]:
+    """The mask with one of distance + 1 runs of the other bits; linked codes that are equal under it are so under one of these."""
+    return [mask | run for run in _runs([k for k in range(64) if not mask >> k & 1], distance + 1)]
 
 
 def chosen_blocks(distinct: int) -> int:
@@ -178,52 +186,78 @@ def chosen_blocks(distinct: int) -> int:
     return 1 if distinct < 1 << 22 else 2 if distinct < 1 << 31 else 3 if distinct < 1 << 37 else 4
 
 
-def _hot_parts(keyed: DataFrame, hot: DataFrame, distance: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (fp, part) and sure edges (a, b) for the groups in `hot`.
+def _classes(rows: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (fp, mask, bits) of hot groups with their class, null for none, and sure edges (a, b) that join each class; stored.
 
-    Such a group is mostly near copies of one text, so most of its pairs are settled without a comparison: fingerprints
-    within half the distance of the group's majority bits all link to each other, and those within the distance of a
-    pivot link to it. Each of these classes is joined by a star. What is left is cut into slices, and slices meet in
-    pairs, but never two slices of one class.
+    Such a group may be near copies of one text, so many of its pairs are settled without a comparison: fingerprints within
+    half the distance of the group's majority bits all link to each other, and those within the distance of a pivot link
+    to it. Each of these classes is joined by a star around its smallest member, so hubs are always on one side.
     """
-    key = ["choice", "bits"]
-    rows = keyed.join(hot, key)
+    key = ["mask", "bits"]
     bit = lambda k: F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))
     sums = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(bit(k)).alias(f"n{k}") for k in range(64)], *[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
     middle = F.lit(0).cast("long")
     for k in range(64):
         middle = middle.bitwiseOR(F.shiftleft(F.when(2 * F.col(f"n{k}") > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long"), k))
-    facts = stored(sums.select(*key, middle.alias("middle"), F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")), "hot-groups")
+    facts = stored(sums.select(*key, middle.alias("middle"), F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")), "hot-facts")
     apart = lambda x: F.bit_count(F.col("fp").bitwiseXOR(x))
     kind = F.when(apart(F.col("middle")) <= distance // 2, 1)
     for k in range(PIVOTS):
         kind = kind.when(apart(F.col("pivots")[k]) <= distance, k + 2)
-    known = stored(rows.join(facts, key).select("fp", *key, "pivots", kind.otherwise(0).alias("kind")), "hot-rows")
-
-    core = known.where("kind = 1").groupBy(*key).agg(F.min("fp").alias("first"))
-    sure = known.where("kind > 1").select(F.col("fp").alias("a"), F.col("pivots")[F.col("kind") - 2].alias("b"))
-    sure = sure.union(known.where("kind = 1").join(core, key).select("fp", "first")).where("a <> b")
-
-    sizes = known.groupBy(*key, "kind").agg(F.ceil(F.count("*") * 2 / slice_rows).cast("int").alias("slices"))
-    sizes = sizes.groupBy(*key).agg(F.collect_list(F.struct("kind", "slices")).alias("kinds"))  # at most PIVOTS + 2
+    told = rows.join(bounded(facts), key).select("fp", *key, kind.alias("kind"), F.get("pivots", kind - 2).alias("pivot"))
+    known = stored(told.select("fp", *key, F.when(F.col("kind").isNotNull(), F.xxhash64(*key, "kind")).alias("class"), "pivot"), "hot-rows")
+    heads = stored(known.where("class IS NOT NULL").groupBy("class").agg(F.min("fp").alias("b"), F.first("pivot").alias("pivot")), "heads")  # PIVOTS + 1 a hot group at most
+    stars = known.join(bounded(heads.select("class", "b")), "class").select(F.col("fp").alias("a"), "b")
+    sure = stars.union(heads.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), "b")).where("a <> b")
+    return known.select("fp", *key, "class"), sure
+
+
+def _slices(known: DataFrame, slice_rows: int) -> DataFrame:
+    """Rows (fp, part) in which every two fingerprints of a group meet that aren't of one class."""
+    key = ["mask", "bits"]
+    known = known.withColumn("class", F.coalesce("class", F.lit(0)))
+    sizes = known.groupBy(*key, "class").agg(F.ceil(F.count("*") * 2 / slice_rows).cast("int").alias("slices"))
+    sizes = sizes.groupBy(*key).agg(F.collect_list(F.struct("class", "slices")).alias("all"))  # a group's classes: a few, PIVOTS + 1 for each cut
     met = known.join(sizes, key)
-    own = F.filter("kinds", lambda c: c["kind"] == F.col("kind"))[0]["slices"]
-    label = F.shiftleft(F.col("kind").cast("long"), 32) + F.pmod(F.xxhash64("fp"), own)
-    others = F.flatten(F.transform(F.filter("kinds", lambda c: (c["kind"] != F.col("kind")) | (c["kind"] == 0)), lambda c: F.transform(F.sequence(F.lit(0), c["slices"] - 1), lambda s: F.shiftleft(c["kind"].cast("long"), 32) + s)))
-    each = met.select("fp", *key, label.alias("mine"), F.explode(others).alias("other"))
-    return each.select("fp", F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other")).alias("part")), sure
+    own = F.filter("all", lambda c: c["class"] == F.col("class"))[0]["slices"]
+    mine = F.xxhash64("class", F.pmod(F.xxhash64("fp"), own))
+    others = F.flatten(F.transform(F.filter("all", lambda c: (c["class"] != F.col("class")) | (c["class"] == 0)), lambda c: F.transform(F.sequence(F.lit(0), c["slices"] - 1), lambda s: F.xxhash64(c["class"], s.cast("long")))))
+    each = met.select("fp", *key, mine.alias("mine"), F.explode(others).alias("other"))
+    return each.select("fp", F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
+
+
+def dealt(nodes: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_ROWS, cuts: int = CUTS) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows (fp, part) in which linked fingerprints meet, and edges (a, b) already known; lists of tables."""
+    spark = nodes.sparkSession
+    masks = group_masks(distance, chosen_blocks(nodes.count()))
+    rows = nodes.select("fp", F.lit(None).cast("long").alias("class"), F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    parts, sure = [], []
+    for cut in range(cuts + 1):
+        rows = rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        if cut:
+            rows = stored(rows, "finer")
+        sizes = rows.groupBy("mask", "bits").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.count("class").alias("classed"))
+        settled = (F.col("classed") == F.col("n")) & (F.col("low") == F.col("high"))  # one class: nothing to find
+        odd = stored(sizes.where(settled | (F.col("n") > slice_rows)).select("mask", "bits", settled.alias("settled")) if cut else sizes.where(F.col("n") > slice_rows).select("mask", "bits", F.lit(False).alias("settled")), "hot-keys")
+        parts.append(rows.join(bounded(odd), ["mask", "bits"], "left_anti").select("fp", F.xxhash64("mask", "bits").alias("part")))
+        hot = odd.where("NOT settled").select("mask", "bits")
+        if hot.isEmpty():
+            break
+        known, edges = _classes(rows.join(bounded(hot), ["mask", "bits"]).select("fp", "mask", "bits").distinct(), distance)
+        sure.append(edges)
+        if cut == cuts:
+            parts.append(_slices(known, slice_rows))
+            break
+        finer = [(_signed(m), _signed(f)) for m in masks for f in finer_masks(m, distance)]
+        masks = sorted({f for m in masks for f in finer_masks(m, distance)})
+        table_of = F.broadcast(spark.createDataFrame(finer, "mask long, finer long"))  # distance + 1 rows for each mask: thousands at most
+        rows = known.join(table_of, "mask").select("fp", "class", F.col("finer").alias("mask"))
+    return parts, sure
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_ROWS, cuts: int = CUTS) -> DataFrame:
     """Spanning edges (a, b) between the distinct `fp` of `nodes`; their components are those of all links."""
-    distinct = nodes.count()
-    keyed = nodes.select("fp", _group_keys(F.col("fp"), distance, chosen_blocks(distinct)).alias("key")).select("fp", "key.choice", "key.bits")
-    hot = stored(keyed.groupBy("choice", "bits").count().where(F.col("count") > slice_rows).select("choice", "bits"), "hot-keys")
-    dealt = keyed.join(hot, ["choice", "bits"], "left_anti").select("fp", F.xxhash64("choice", "bits").alias("part"))
-    sure = None
-    if not hot.isEmpty():
-        more, sure = _hot_parts(keyed, hot, distance, slice_rows)
-        dealt = dealt.union(more)
+    parts, sure = dealt(nodes, distance, slice_rows, cuts)
 
     def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(codes, group):
@@ -241,24 +275,24 @@ def links(nodes: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_RO
         if len(held_codes):
             yield out(held_codes, held_group)
 
-    found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(spanned, "a long, b long")
-    return found if sure is None else found.union(sure)
+    met = reduce(DataFrame.union, parts)
+    found = met.repartition("part").sortWithinPartitions("part").mapInArrow(spanned, "a long, b long")
+    return reduce(DataFrame.union, sure, found)
 
 
 def joined_forests(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, for all nodes but the smallest."""
 
-    def large_star(e: DataFrame) -> DataFrame:
+    def star(e: DataFrame, n: int) -> DataFrame:
+        """Edges (a, b) with m, the smallest b of their a."""
+        return with_least(e, "a", e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), n)
+
+    def large_star(e: DataFrame, n: int) -> DataFrame:
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # a root has as many edges as its component has nodes, so they are salted over SALTS copies of its row
-        salted = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return salted.join(copies, ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-    def small_star(e: DataFrame) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        out = e.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
+        return star(both, 2 * n).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+
+    def small_star(e: DataFrame, n: int) -> DataFrame:
+        out = star(e, n).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
         return out.select("x.a", "x.b").where("a != b").distinct()
 
     def state(e: DataFrame):
@@ -267,42 +301,49 @@ def joined_forests(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = state(now)
     while seen[0]:
-        now = stored(small_star(large_star(now)), "edges")
+        now = stored(small_star(large_star(now, seen[0]), seen[0]), "edges")
         last, seen = seen, state(now)
         if seen == last:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def fingerprint_components(prints: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_ROWS) -> DataFrame:
+@cleaned
+def fingerprint_components(prints: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_ROWS, cuts: int = CUTS) -> DataFrame:
     """(fp, label) for each distinct fingerprint of the stored table `prints`; label is the component's smallest fingerprint."""
     nodes = stored(prints.select("fp").distinct(), "nodes")
-    labels = joined_forests(links(nodes, distance, slice_rows))
+    labels = joined_forests(links(nodes, distance, slice_rows, cuts))
     return nodes.join(labels, nodes.fp == labels.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
+@cleaned
 def components(docs: DataFrame, distance: int = DISTANCE, slice_rows: int = SLICE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: its id, `fp` as long, and `component_id`, the smallest id that links reach from it."""
     prints = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "prints")
     labelled = fingerprint_components(prints, distance, slice_rows)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    named = least.join(labelled, "fp")
-    roots = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_print = stored(named.join(roots, "label").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp", "left").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    named = stored(least.join(labelled, "fp"), "named")
+    rows = prints.count()
+    roots = named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    by_print = with_least(named.select("fp", "label", F.col("n").alias("copies")), "label", roots, rows).select("fp", "component_id", F.col("copies").alias("n"))
+    found = with_least(prints, "fp", stored(by_print, "components"), rows)
+    return found.select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component: the one of the smallest id (nulls last), the first of equal ids."""
+    """`docs` with one row of each component: the one of the smallest id (nulls last), the first of equal ids.
+
+    Only keys move: the rows that go are joined to the stored rows, by broadcast if they are few by count.
+    """
     names = docs.columns
-    held = stored(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], fingerprint_column(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("rid")), "held")
-    ident = f"c{names.index(id_col)}"
-    prints = held.select(F.col(ident).alias("doc_id"), "fp", "rid")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    least = prints.groupBy("fp").agg(F.min(rank).alias("least"))
-    chosen = least.join(fingerprint_components(prints, distance), "fp").groupBy("label").agg(F.min("least").alias("least")).select("least.rid")
-    kept = held.join(chosen, "rid", "left_semi")
-    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
+    held = stored(docs.select(*by_position(docs), fingerprint_column(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("rid")), "held")
+    prints = held.select(F.col(f"c{names.index(id_col)}").alias("doc_id"), "fp", "rid")
+    with workspace(docs.sparkSession):
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+        least = prints.groupBy("fp").agg(F.min(rank).alias("least"))
+        chosen = least.join(fingerprint_components(prints, distance), "fp").groupBy("label").agg(F.min("least").alias("least")).select("least.rid")
+        gone = stored(prints.select("rid").join(chosen, "rid", "left_anti"), "gone", outer=True)
+    return held.join(bounded(gone), "rid", "left_anti").select(*named_back(names))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,13 +81,54 @@ def test_chains_and_hot_groups_are_sliced(spark):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     for c in codes:
         want.setdefault(root(c), set()).add(c)
-    for slice_rows in (16, 100, 8192):
+    for slice_rows, cuts in ((16, 0), (16, 1), (16, 3), (100, 2), (8192, 3)):
         got = {}
-        for r in sd.fingerprint_components(nodes, slice_rows=slice_rows).collect():
+        for r in sd.fingerprint_components(nodes, slice_rows=slice_rows, cuts=cuts).collect():
             got.setdefault(r.label, set()).add(r.fp & (1 << 64) - 1)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_rows_dealt_grow_with_a_hot_group(spark):
+    """Fingerprints that agree on one block and on little else, and two tight groups far apart."""
+    rng = np.random.default_rng(7)
+    many = []
+    for n in (4000, 8000, 16000):
+        unlike = rng.integers(0, 1 << 51, n, dtype=np.int64) << 12
+        flips = (1 << rng.integers(20, 60, (n, 2))).sum(1)
+        two = np.where(np.arange(n) % 2, flips, flips ^ (0xFFFFFFF << 24))
+        for codes in (unlike, two):
+            nodes = sd.stored(spark.createDataFrame([(int(c),) for c in np.unique(codes)], "fp long"), "nodes")
+            parts, _ = sd.dealt(nodes, slice_rows=512)
+            many.append(sum(p.count() for p in parts) / nodes.count())
+    assert max(many) < 30, many  # rows dealt for each fingerprint
+
+
+def test_masks_keep_every_link():
+    rng = np.random.default_rng(8)
+    for chosen in (1, 2, 3):
+        masks = sd.group_masks(4, chosen)
+        finer = {m: sd.finer_masks(m, 4) for m in masks}
+        for _ in range(300):
+            apart = sum(1 << int(k) for k in rng.choice(64, 4, replace=False))
+            same = [m for m in masks if not apart & m]
+            assert same and all(any(not apart & f for f in finer[m]) for m in same)
+
+
+def test_hubs_are_joined_by_broadcast(spark):
+    star = [(k, 0) for k in range(1, 3000)] + [(k + 10_000, k) for k in range(1, 3000)] + [(50_000 + k, 90_000) for k in range(500)]
+    got = {r.node: r.label for r in sd.joined_forests(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {k: 0 for k in [*range(1, 3000), *range(10_001, 13_000)]} | {k: 50_000 for k in [*range(50_001, 50_500), 90_000]}
+
+
+def test_clashing_names(spark):
+    clash = ["__key", "__h", "near_id", "near_h", "media_type", "fp", "rid", "c0", "least", "label", "n"]
+    rows = [(d, t, *[f"{c}{d}" for c in clash]) for d, t in ((1, "a b c d e"), (2, "a b c d e"), (3, "quite other words in here"), (None, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in clash))
+    kept = sd.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[0] != 2), key=str)
+    assert ours(sd.components(docs)) == plain_components([r[:2] for r in rows])
+
+
 def test_every_block_choice_keeps_all_links(spark, monkeypatch):
     rng = np.random.default_rng(5)
     codes = [int(x) for x in rng.integers(0, 1 << 63, 30, dtype=np.uint64)]
