@@ -4,9 +4,11 @@ Four pieces of evidence are multiplied: the likelihood of the text (byte 4-grams
 of the declared markup language and of the address suffix given the language, and a host prior. The text model learns from
 the share of each language's declared documents, chosen by hash, that makes `max_rows`, over their whole texts. Every
 declared language with a text to learn from is a class; weights are kept for the grams it was seen with only. Posteriors and
-tables have a number a class, so they grow with the number of languages. The other tables are grouped sums, over all rows, of the text model's posteriors: declared x language, suffix x language, and language by host,
-smoothed towards its suffix, which is smoothed towards all rows. Sums are combined before the shuffle, so one host with
-most rows costs no more than any other, and tables of hosts are joined, never collected.
+tables have a number a class, so they grow with the number of languages. The other tables are grouped sums, over all rows,
+of the text model's posteriors: declared x language, suffix x language, and language by host, smoothed towards its suffix,
+which is smoothed towards all rows. From each sum a row's own posterior is taken off before the sum is used for that row,
+so no text counts twice. Sums are combined before the shuffle, so one host with most rows costs no more than any other;
+they are broadcast if they are small, by count, and joined by shuffle otherwise, never collected.
 
 Edge cases: a null or empty text, or one without letters, has no likelihood and is undetermined (`und`) unless another
 evidence is there, and is never kept by `kept`; null hosts, suffixes and declarations are evidence "none"; ties go to the
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, flat_text, stored, table
+from .common import bounded, by_position, byte_blocks, cleaned, flat_text, named_back, stored, table
 
 MAX_ROWS = 2_000
 GRAM_BUCKETS = 1 << 16
@@ -31,9 +33,9 @@ TEMPER = 0.1
 STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
 BLOCK = 1 << 20
-ENTRIES = 1 << 22  # weights looked up at once
+ENTRIES = 1 << 19  # weights looked up at once
+MERGE = 1 << 21  # grams held before equal ones are added up
 LETTER = r"[A-Za-z\x{80}-\x{10ffff}]"  # as in LOWERED
-BROADCAST_LANGUAGES = 500
 
 
 def _lowered() -> np.ndarray:
@@ -48,11 +50,24 @@ def _lowered() -> np.ndarray:
 LOWERED = _lowered()
 
 
-def gram_buckets(block: np.ndarray) -> np.ndarray:
-    """Hash bucket of the 4 bytes from each place on; the last 3 places wrap into blanks."""
-    b = np.concatenate([LOWERED[block], np.full(3, 32, np.uint32)])
-    n = len(block)
-    gram = b[:n] | b[1 : n + 1] << np.uint32(8) | b[2 : n + 2] << np.uint32(16) | b[3 : n + 3] << np.uint32(24)
+def gram_buckets(flat: np.ndarray, at: int = 0, to: int | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+    """Hash bucket of the 4 bytes from each place in [at, to) on; after the end of its text there are blanks.
+
+    `ends` are the places where texts end; without any, `flat` is one text.
+    """
+    to = len(flat) if to is None else to
+    n = to - at
+    b = np.full(n + 3, 32, np.uint32)
+    seen = LOWERED[flat[at : to + 3]]
+    b[: len(seen)] = seen
+    gram = b[:n].copy()
+    stops = np.zeros(0, int) if ends is None else ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, to + 3, "left")] - at
+    for j in (1, 2, 3):
+        after = b[j : n + j].copy()
+        for t in range(j):
+            over = stops - 1 - t
+            after[over[(over >= 0) & (over < n)]] = 32
+        gram |= after << np.uint32(8 * j)
     return gram * np.uint32(0x9E3779B1) >> np.uint32(16)
 
 
@@ -88,14 +103,14 @@ class TextModel(NamedTuple):
         out = np.zeros((len(ends) - 1, n), np.int64)
         letters = np.zeros(len(ends) - 1, np.int64)
         for a, b in byte_blocks(flat, ends, BLOCK):
-            for at in range(ends[a], ends[b], 8 * BLOCK):
-                to = min(ends[b], at + 8 * BLOCK)
+            for at in range(ends[a], ends[b], BLOCK):
+                to = min(ends[b], at + BLOCK)
                 seen = _letters(flat[at:to])
                 row = np.repeat(np.arange(a, b), np.diff(np.clip(ends[a : b + 1], at, to)))[seen]
                 if not len(row):
                     continue
                 letters[a:b] += np.bincount(row - a, minlength=b - a)
-                gram, count = np.unique(row * GRAM_BUCKETS + gram_buckets(flat[at:to])[seen], return_counts=True)
+                gram, count = np.unique(row * GRAM_BUCKETS + gram_buckets(flat, at, to, ends)[seen], return_counts=True)
                 row, bucket = np.divmod(gram, GRAM_BUCKETS)
                 many = self.start[bucket + 1] - self.start[bucket]
                 upto = np.cumsum(many)
@@ -136,18 +151,19 @@ def trained(docs: DataFrame, text_col: str, declared_col: str, max_rows: int = M
                 parts, added, size = [distinct], [np.bincount(at, np.concatenate(added), len(distinct)).astype(np.int64)], len(distinct)
 
             for k, place in enumerate(batch["place"].to_pylist()):
-                for at in range(ends[k], ends[k + 1], 8 * BLOCK):
-                    part = flat[at : min(ends[k + 1], at + 8 * BLOCK)]
-                    gram, count = np.unique(gram_buckets(part)[_letters(part)], return_counts=True)
+                for at in range(ends[k], ends[k + 1], BLOCK):
+                    to = min(ends[k + 1], at + BLOCK)
+                    gram, count = np.unique(gram_buckets(flat, at, to, ends)[_letters(flat[at:to])], return_counts=True)
                     parts.append(place * GRAM_BUCKETS + gram.astype(np.int64)), added.append(count)
                     size += len(gram)
-                    if size > len(parts[0]) + ENTRIES:
+                    if size > len(parts[0]) + MERGE:
                         merge()
             merge()
             grams, counts = parts[0], added[0]
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "count"])
 
-    got = sample.repartition(4).mapInArrow(counted, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).toArrow()
+    tasks = max(4, -(-len(languages) * max_rows // 2_000))  # the sample grows with the languages
+    got = sample.repartition(tasks).mapInArrow(counted, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).toArrow()
     return TextModel.of(languages, got["gram"].to_numpy(), got["count"].to_numpy())
 
 
@@ -168,72 +184,72 @@ def text_posterior(text: Column, model: TextModel) -> Column:
     return of(text)
 
 
-def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Summed posteriors by group, as the array s."""
-    each = rows.where(F.size("p") > 0).select(*by, F.posexplode("p").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
-    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv")).select(*by, F.col("kv.v").alias("s"))
-
-
-def _total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-
-
-def _smoothed(sums: Column, prior: Column) -> Column:
-    return F.zip_with(sums, prior, lambda x, p: (x + STRENGTH * p) / (_total(sums) + STRENGTH))
+def _sums(rows: DataFrame, by: list[str], name: str = "all") -> DataFrame:
+    """Summed posteriors by group, as the array `name`, and the number of texts, `name`_texts."""
+    each = rows.where(F.size("p") > 0).select(*by, F.posexplode("p").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    listed = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv"), F.max("n").alias(f"{name}_texts"))
+    return listed.select(*by, F.col("kv.v").alias(name), f"{name}_texts")
 
 
+@cleaned
 def identified(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str | Column = "source", suffix_col: str | Column | None = None, id_cols: list[str] | tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`id_cols`, language, posterior, text_language, text_posterior for each row of `docs`."""
+    """`id_cols`, language, posterior, text_language, text_posterior for each row of `docs`.
+
+    Without a `suffix_col` the suffix is what follows the last dot of the host, if it has one.
+    """
     model = trained(docs, text_col, declared_col)
     n = len(model.languages)
-    as_column = lambda c: F.lit(None).cast("string") if c is None else F.col(c) if isinstance(c, str) else c
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
     none = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    host = none(as_column(host_col))
+    suffix = F.when(host.contains("."), F.substring_index(host, ".", -1)).otherwise("") if suffix_col is None else none(as_column(suffix_col))
     declared = F.lower(F.substring_index(F.trim(F.col(declared_col)), "-", 1))
     given = F.when(declared.isin(*model.languages), declared).otherwise(F.when(F.length(declared) > 0, "other").otherwise(""))
-    rows = stored(
-        docs.select(*[F.col(c).alias(f"id{k}") for k, c in enumerate(id_cols)], given.alias("declared"), none(as_column(host_col)).alias("host"), none(as_column(suffix_col)).alias("suffix"), text_posterior(F.col(text_col), model).alias("p")),
-        "evidence",
-    )
+    rows = stored(docs.select(*[F.col(c).alias(f"id{k}") for k, c in enumerate(id_cols)], given.alias("declared"), host.alias("host"), suffix.alias("suffix"), text_posterior(F.col(text_col), model).alias("p")), "evidence")
     found = _sums(rows, []).first()
-    everything = found["s"] if found and found["s"] else [0.0] * n
-    total = sum(everything)
-    prior = F.array(*[F.lit((x + 1.0) / (total + n)) for x in everything])
+    everything = F.array(*[F.lit(float(x)) for x in (found["all"] if found and found["all"] else [0.0] * n)])
+    sums = lambda by, of, name: bounded(stored(_sums(rows.where(of), by, name), name), n)
+    fused = rows.join(sums(["declared"], F.lit(True), "said"), "declared", "left").join(sums(["suffix"], F.col("suffix") != "", "near"), "suffix", "left")
+    fused = fused.join(sums(["host", "suffix"], F.col("host") != "", "here"), ["host", "suffix"], "left").withColumn("all", everything)
+
+    informed = F.size("p") > 0
+    none_left = F.array_repeat(F.lit(0.0), n)
+    own = fused.withColumns({"own": F.when(informed, F.col("p")).otherwise(none_left), "ones": F.when(informed, 1).otherwise(0)})
+    # every sum without the row's own share
+    less = lambda c: F.zip_with(F.coalesce(c, none_left), F.col("own"), lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    texts_of = lambda c: F.coalesce(f"{c}_texts", F.lit(0)) - F.col("ones")
+    left = own.select("*", less("all").alias("all_less"), less("said").alias("said_less"), less("near").alias("near_less"), less("here").alias("here_less"))
+    smoothed = lambda c, prior: F.zip_with(f"{c}_less", prior, lambda x, p: (x + STRENGTH * p) / (F.greatest(texts_of(c), F.lit(0)) + STRENGTH))
+    prior = F.transform("all_less", lambda x: (x + 1.0) / (F.lit(float(found["all_texts"] if found and found["all_texts"] else 0)) - F.col("ones") + n))
+    start = left.withColumn("start", smoothed("here", smoothed("near", prior)))
     # P(declared | language), with one pseudo-row spread over all values a declaration can have
-    values = n + 2
-    said = _sums(rows, ["declared"]).select("declared", F.zip_with("s", F.array(*[F.lit(x + values) for x in everything]), lambda x, y: F.log((x + 1.0) / y)).alias("said"))
-    # suffix: its likelihood, and the prior of hosts under it
-    by_suffix = _sums(rows, ["suffix"]).select("suffix", _smoothed(F.col("s"), prior).alias("suffix_prior")).where("suffix <> ''")
-    by_host = _sums(rows, ["host", "suffix"]).where("host <> ''").join(by_suffix, "suffix", "left")
-    by_host = by_host.select("host", "suffix", _smoothed(F.col("s"), F.coalesce(F.col("suffix_prior"), prior)).alias("host_prior"))
-    fused = rows.join(F.broadcast(said) if n <= BROADCAST_LANGUAGES else said, "declared", "left").join(by_suffix, "suffix", "left").join(by_host, ["host", "suffix"], "left")  # n + 2 declarations of n numbers at most
-    start = F.coalesce(F.col("host_prior"), F.col("suffix_prior"), prior)
-    texts = F.when(F.size("p") > 0, F.col("p")).otherwise(F.array_repeat(F.lit(1.0), n))
-    told = F.when(F.col("declared") != "", F.col("said"))
-    parts = fused.select(
-        *[f"id{k}" for k in range(len(id_cols))], F.size("p").alias("informed"), (F.col("declared") != "").alias("declares"), (F.col("host") != "").alias("hosted"), texts.alias("p"),
-        F.zip_with(F.zip_with(start, texts, lambda a, b: F.log(a) + F.log(F.greatest(b, F.lit(1e-300)))), F.coalesce(told, F.array_repeat(F.lit(0.0), n)), lambda a, b: a + b).alias("log"),
+    said = F.zip_with("said_less", "all_less", lambda x, y: F.log((x + 1.0) / (y + (n + 2))))
+    told = F.when(F.col("declared") != "", said).otherwise(none_left)
+    texts = F.when(informed, F.col("p")).otherwise(F.array_repeat(F.lit(1.0), n))
+    parts = start.select(
+        *[f"id{k}" for k in range(len(id_cols))], informed.alias("informed"), (F.col("declared") != "").alias("declares"), (F.col("host") != "").alias("hosted"), texts.alias("p"),
+        F.zip_with(F.zip_with("start", texts, lambda a, b: F.log(a) + F.log(F.greatest(b, F.lit(1e-300)))), told, lambda a, b: a + b).alias("log"),
     )
     top = F.array_max("log")
     norm = F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     names = F.array(*map(F.lit, model.languages))
     pick = lambda c: names[F.array_position(F.col(c), F.array_max(c)).cast("int") - 1]
-    informed = F.col("informed") > 0
-    known = informed | F.col("declares") | F.col("hosted")
+    known = F.col("informed") | F.col("declares") | F.col("hosted")
     return parts.select(
         *[F.col(f"id{k}").alias(c) for k, c in enumerate(id_cols)],
         F.when(known, pick("log")).otherwise("und").alias("language"), F.when(known, 1 / norm).otherwise(0.0).alias("posterior"),
-        F.when(informed, pick("p")).otherwise("und").alias("text_language"), F.when(informed, F.array_max("p")).otherwise(0.0).alias("text_posterior"),
+        F.when(F.col("informed"), pick("p")).otherwise("und").alias("text_language"), F.when(F.col("informed"), F.array_max("p")).otherwise(0.0).alias("text_posterior"),
     )
 
 
 def kept(docs: DataFrame, least: float = MIN_POSTERIOR) -> DataFrame:
     """Rows of `docs` (doc_id, text, lang, source and any others) whose text has a language of at least posterior `least`."""
-    names = docs.columns
     told = ("doc_id", "text", "lang", "source")  # rows that agree on these get the same decision
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64(*told).alias("a"), F.hash(*told).alias("b")))
-    found = identified(keyed, id_cols=["__key"])
-    rejected = stored(found.where((F.col("text_language") == "und") | (F.col("posterior") < least)).select("__key").distinct(), "rejected")  # of a known size: few are broadcast, and the texts stay where they are
-    return keyed.join(rejected, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    held = docs.select(*by_position(docs), F.xxhash64(*told).alias("a"), F.xxhash64(*told[::-1]).alias("b"))
+    of = {c: f"c{docs.columns.index(c)}" for c in told}
+    found = identified(held, of["text"], of["lang"], of["source"], id_cols=["a", "b"])
+    rejected = stored(found.where((F.col("text_language") == "und") | (F.col("posterior") < least)).select("a", "b").distinct(), "rejected")
+    return held.join(bounded(rejected), ["a", "b"], "left_anti").select(*named_back(docs.columns))  # the texts stay where they are if few are rejected
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

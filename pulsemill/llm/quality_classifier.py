@@ -11,7 +11,6 @@ score is the smoothed share of label 1; repeated rows each get a row; other colu
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -59,15 +58,27 @@ def class_counts(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_triples(code: np.ndarray, distinct: int) -> int:
+    """Different runs of three among the words numbered 0 to distinct - 1."""
+    a, b, c = code[:-2], code[1:-1], code[2:]
+    if distinct < 1 << 21:
+        return len(np.unique((a * distinct + b) * distinct + c))
+    order = np.lexsort((c, b, a))  # three numbers don't fit in one
+    a, b, c = a[order], b[order], c[order]
+    return 1 + int(np.count_nonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
+
+
 def word_statistics(text: bytes) -> tuple[float, ...]:
     words = text.split()
     n = len(words)
     if not n:
         return (0.0,) * 14
     sizes = np.fromiter(map(len, words), np.int64, n)
-    distinct = Counter(words)
-    triples = len(set(zip(words, words[1:], words[2:]))) / (n - 2) if n > 2 else 1.0
-    top = max(distinct.values()) / n
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    distinct = len(number)
+    code = np.fromiter(map(number.__getitem__, words), np.int64, n)
+    triples = distinct_triples(code, distinct) / (n - 2) if n > 2 else 1.0
+    top = np.bincount(code).max() / n
     last = np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)
     first = np.frombuffer(b"".join([w[:1] for w in words]), np.uint8)
     second = np.frombuffer(b"".join([w[1:2] or b" " for w in words]), np.uint8)
@@ -77,7 +88,7 @@ def word_statistics(text: bytes) -> tuple[float, ...]:
     lines = [x for x in text.split(b"\n") if x]
     stops = sum(x.endswith((b".", b"!", b"?")) for x in lines)
     return (
-        np.log1p(n), sizes.mean(), np.count_nonzero(sizes > 10) / n, np.count_nonzero(sizes <= 3) / n, len(distinct) / n, triples, top,
+        np.log1p(n), sizes.mean(), np.count_nonzero(sizes > 10) / n, np.count_nonzero(sizes <= 3) / n, distinct / n, triples, top,
         capitals, symbols, bare,
         np.log1p(len(lines)), len(text) / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), stops / max(1, len(lines)),
     )
