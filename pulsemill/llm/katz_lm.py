@@ -1,17 +1,24 @@
 """Katz back-off language model over the corpus, and its score of every document.
 
-P2(w|v) = d(c) c(vw) / c(v.) for pairs seen in training, else a(v) P1(w); P1(w) = d(c) c(w) / N for known words, and the
-mass that its discounts free for the unknown word. Counts up to K are discounted by Good-Turing over smoothed
-counts of counts, and a(v) is what the discounts of v free over the P1 mass of all words not seen after v, so each distribution sums to one.
-
-Layout. Documents are tokenized once into chunks: distinct word hashes, token places, training counts. Every level then
+Pn(w|c) = d(r) r / c(c.) for a gram cw seen r times in training, else a(c) Pn-1(w|c'), where c' is c without its first word;
+after a context that training doesn't have (from order 3 on: fewer than `least_context` times) it is Pn-1(w|c'). P1(w) =
+d(r) r / N for known words, and the mass that its discounts free for the unknown word. Counts up to K are discounted by
+Good-Turing over smoothed counts of counts, and a(c) is what the discounts of c free over the Pn-1 mass of all words not
+seen after c. That mass is added up from whole counts and freed shares, never as one less a sum, so each distribution sums
+to one to the last digits, also where nearly all mass is seen. A context never reaches before the start of its document.
+
+Layout. Documents are tokenized once into chunks: distinct word hashes, token places, training counts. Every order then
 works by request and answer. A chunk sends its distinct grams with their training counts, a bucket adds the counts of all
-chunks, keeps them as one row of a table partitioned by bucket, and answers each chunk in the order of its request; only
-distinct grams of a chunk travel, so the commonest word or pair is one entry a chunk. Level 1 answers word numbers and
-counts. Level 2 is dealt by context; a context with over `HOT_SHARE` of a bucket's tokens is dealt by pair instead, and
-the sums behind its back-off weight are added over buckets (there are at most buckets / HOT_SHARE such contexts). Numbers
-of chunks and buckets follow the number of tokens. Chunks are stored bucketed by chunk number, so joining the answers
-moves the answers only.
+chunks, keeps them as one row of a table that has a file a bucket, and answers each chunk in the order of its request; only
+distinct grams of a chunk travel, so the commonest gram is one entry a chunk. A gram is known by the number of its context
+(a gram of the order below) and of its last word, so order 1 answers word numbers and counts, every other order numbers,
+counts and back-off weights, and the recursion runs over tokens in the chunk, order by order. What travels is whole
+numbers; weights are sent in full precision, for contexts of unseen grams only. Grams are dealt by context; a context
+with over `HOT_SHARE` of a bucket's tokens is dealt by gram instead, and the sums behind its back-off weight are added over
+buckets. Numbers of chunks and buckets follow the number of tokens, each bucket is a task of its own, and chunks are stored
+bucketed by chunk number, so joining the answers moves the answers only. A row a chunk and bucket travels, so with many of
+both, `chunk_tokens` and `bucket_entries` should grow with the root of the number of tokens (64 million each at 100 TB).
+All tables but the scores are removed, those of an order as soon as it is answered.
 
 Edge cases: null and empty texts are one end token; documents with a null id are scored but neither learned from nor held
 out; repeated rows each count and get a row; with nothing to learn from every token gets probability 1 for the only
@@ -32,12 +39,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored, table, text_bytes
+from ..sources.files import Folders
+from .common import BROADCAST_ROWS, cleaned, owned, scratch_path, stored, table, text_bytes, workspace
 
 FOLDS, HELD_OUT = 7, 2
+ORDER = 3
+LEAST_CONTEXT = 2
 K = 5  # counts over K aren't discounted
-CHUNK_TOKENS = 1 << 20
-BUCKET_ENTRIES = 2_000_000
+CHUNK_TOKENS = 3 << 18
+CHUNK_BYTES = 5_000_000  # about CHUNK_TOKENS of text, for the number of files only
+BUCKET_ENTRIES = 1_500_000
 LEAST_BUCKETS = 12
 HOT_SHARE = 0.25
 SLICE_BYTES = 1 << 20
@@ -50,24 +61,29 @@ END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """An array's bytes by plane, compressed."""
+    """Whole numbers in as few bytes as the largest needs, or floats, by byte plane, compressed."""
+    if x.dtype.kind != "f":
+        top = int(x.max()) if len(x) else 0
+        x = x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
     x = np.ascontiguousarray(x)
     planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return x.dtype.str[1:].encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def spread(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+def spread(blob: bytes) -> np.ndarray:
+    """Back as 64-bit numbers."""
+    kind = np.dtype(blob[:2].decode())
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2:]), np.uint8)
+    found = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+    return found if kind.kind == "f" else found.astype(np.uint64)
 
 
 def squeeze_sorted(x: np.ndarray) -> bytes:
     return squeeze(np.diff(x, prepend=x.dtype.type(0)))
 
 
-def spread_sorted(blob: bytes, kind: type = np.uint64) -> np.ndarray:
-    return np.cumsum(spread(blob, kind), dtype=kind)
+def spread_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(spread(blob), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,6 +94,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct_grams(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order, and the place of each given one among them."""
+    if not len(word):
+        return context, word, np.zeros(0, np.int64)
+    bits, low = int(word.max()).bit_length(), context.min()
+    if int(context.max() - low).bit_length() + bits <= 64 and bits < 64:
+        found, place = np.unique((context - low) << np.uint64(bits) | word, return_inverse=True)
+        return (found >> np.uint64(bits)) + low, found & np.uint64((1 << bits) - 1), place
+    order = np.lexsort((word, context))  # both don't fit in one number
+    c, w = context[order], word[order]
+    new = np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return c[new], w[new], place
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+
+
 # ---- discounts
 
 
@@ -129,14 +168,40 @@ class Unigrams(NamedTuple):
         return np.where(count > 0, self.discount[np.minimum(count, K + 1).astype(np.int64)] * count / self.total, self.unknown)
 
 
-def backoff(total: np.ndarray, freed: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Denominator and back-off weight of contexts: tokens after them, discounted tokens, P1 mass of the words seen."""
-    none = freed <= 0
-    total = total + none  # nothing freed: one more event, for all unseen words
-    freed = np.where(none, 1.0, freed)
+def shares(d: np.ndarray) -> np.ndarray:
+    """What one gram of each count 1..K frees, in tokens."""
+    return (1 - d[1 : K + 1]) * np.arange(1, K + 1)
+
+
+class Sums(NamedTuple):
+    """Of each context, whole numbers: tokens after it, grams by count 1..K, and of the words seen after it the
+    counts in the order below, added up, and their number by that count 1..K."""
+
+    total: np.ndarray
+    small: np.ndarray  # (contexts, K)
+    used: np.ndarray
+    under: np.ndarray  # (contexts, K)
+
+    @staticmethod
+    def of(counts: np.ndarray, lower: np.ndarray, first: np.ndarray) -> Sums:
+        """From the counts of grams, and those of their lower grams, in runs that begin at `first`."""
+        counts, lower = counts.astype(np.int64), np.where(counts > 0, lower, 0).astype(np.int64)
+        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
+        each = lambda x: np.stack([add((x == r).astype(np.int64)) for r in range(1, K + 1)], 1)
+        return Sums(add(counts), each(counts), add(lower), each(lower))
+
+
+def weights(sums: Sums, d: np.ndarray, lower_total: np.ndarray | int, lower_d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether nothing is freed, and the back-off weight, of each context.
+
+    `lower_total` is the denominator of the order below. If nothing is freed, one more event stands for all unseen words.
+    """
+    freed = sums.small @ shares(d)
+    bare = (freed <= 0) & (sums.total > 0)
+    unseen = (lower_total - sums.used + sums.under @ shares(lower_d)) / lower_total
     with np.errstate(divide="ignore", invalid="ignore"):
-        weight = freed / total / np.maximum(1 - lower, 1e-12)
-    return total, np.where(total > none, weight, 1.0)
+        weight = np.where(bare, 1.0, freed) / (sums.total + bare) / unseen
+    return bare, weight
 
 
 # ---- chunks of tokenized documents
@@ -159,8 +224,12 @@ def word_hashes(text: bytes) -> np.ndarray:
 CHUNK_SCHEMA = "chunk long, ids binary, flags binary, sizes binary, places binary, words binary, counts binary, n_words long, n_tokens long, n_learned long, n_docs_learned long"
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def chunked(chunk_tokens: int) -> Callable:
     """Rows of doc_id, fold and text as chunks."""
+    return lambda batches: _chunked(batches, chunk_tokens)
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -188,209 +257,285 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flags.append(4 if doc is None else 2 if fold == HELD_OUT else 1)
             held.append(word_hashes(text))
             size += len(held[-1])
-            if size >= CHUNK_TOKENS:
+            if size >= chunk_tokens:
                 yield row()
     if ids:
         yield row()
 
 
-def stored_chunks(rows: DataFrame) -> DataFrame:
-    """Write bucketed by chunk and read back: joins by chunk then move the other side only."""
+def stored_chunks(rows: DataFrame, text_bytes_in_all: int, chunk_tokens: int) -> tuple[DataFrame, int]:
+    """Written bucketed by chunk and read back, and the number of buckets: joins by chunk then move the other side only."""
     spark = rows.sparkSession
-    name = f"katz_chunks_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS)
-    rows.write.option("compression", "uncompressed").option("path", scratch_path(spark, "chunks")).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name)
+    name, path = f"katz_chunks_{uuid.uuid4().hex}", scratch_path(spark, "chunks")
+    chunks = text_bytes_in_all * CHUNK_TOKENS // (CHUNK_BYTES * chunk_tokens)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS, 2 * chunks)
 
+    def remove() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        Folders(spark).remove(path)
 
-# ---- level 1
+    owned(spark, path, remove=remove)
+    rows.write.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
+    return spark.table(name), buckets
+
+
+# ---- order 1
 
 
 def range_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _cuts(bucket: np.ndarray) -> np.ndarray:
-    """Where runs of equal buckets begin, and the end."""
-    return np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+def _spans(first: np.ndarray, size: int) -> list[tuple[int, int]]:
+    return list(zip(first.tolist(), [*first[1:].tolist(), size]))
+
+
+WORD_REQUEST = "bucket int, chunk long, words binary, counts binary"
 
 
 def word_requests(buckets: int) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, counts in zip(batch["chunk"].to_pylist(), batch["words"], batch["counts"]):
-                words, counts = spread_sorted(words.as_py()), spread(counts.as_py(), np.uint32)
+                words, counts = spread_sorted(words.as_py()), spread(counts.as_py())
                 bucket = range_bucket(words, buckets)
-                cuts = _cuts(bucket)
-                spans = list(zip(cuts[:-1], cuts[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([chunk] * len(spans), pa.int64()), pa.array([squeeze_sorted(words[a:b]) for a, b in spans], pa.binary()), pa.array([squeeze(counts[a:b]) for a, b in spans], pa.binary())],
-                    ["bucket", "chunk", "grams", "counts"],
-                )
+                rows = [(int(bucket[a]), chunk, squeeze_sorted(words[a:b]), squeeze(counts[a:b])) for a, b in _spans(starts_of(bucket), len(words))]
+                yield _batch(rows, WORD_REQUEST)
 
     return send
 
 
-def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams, place of each given one, and added counts."""
-    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
-    return distinct, place, np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.uint64)
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<struct<chunk:long,places:binary>>": pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows under a schema of `name type, name type, ...`."""
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
+    """All rows of a task, by bucket; each task has one bucket."""
+    found: dict[int, list[dict]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            found.setdefault(row["bucket"], []).append(row)
+    return found
 
 
-def _counts_of_counts(counts: np.ndarray) -> np.ndarray:
-    return np.bincount(np.minimum(counts, K + 2).astype(np.int64), minlength=K + 3)[: K + 2]
+def _counts_of_counts(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, K + 2).astype(np.int64), minlength=K + 3)[: K + 2].tolist()
 
 
-def count_words(group: pa.Table) -> pa.Table:
-    """One bucket: its row of the unigram table (chunk null), and an answer to each chunk."""
-    group = group.sort_by("chunk")
-    grams = [spread_sorted(x.as_py()) for x in group["grams"]]
-    distinct, place, total = _merged(grams, [spread(x.as_py(), np.uint32) for x in group["counts"]])
-    ends = np.cumsum([0, *map(len, grams)])
-    bucket = group["bucket"][0].as_py()
-    answers = [place[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    n = len(answers)
-    return pa.table(
-        {
-            "bucket": pa.array([bucket] * (n + 1), pa.int32()), "chunk": pa.array([None, *group["chunk"].to_pylist()], pa.int64()),
-            "numbers": pa.array([squeeze_sorted(distinct), *(squeeze_sorted(x.astype(np.uint32)) for x in answers)], pa.binary()),
-            "counts": pa.array([squeeze(total), *(squeeze(total[x]) for x in answers)], pa.binary()),
-            "n": pa.array([len(distinct), *map(len, answers)], pa.int64()), "known": pa.array([int((total > 0).sum()), *[None] * n], pa.int64()),
-            "often": pa.array([_counts_of_counts(total).tolist(), *[None] * n], pa.list_(pa.int64())),
-        }
-    )
+WORD_TABLE = "bucket int, chunk long, numbers binary, counts binary, n long, known long, often array<long>"
 
 
-WORD_SCHEMA = "bucket int, chunk long, numbers binary, counts binary, n long, known long, often array<long>"
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's row of the word table (chunk null), and an answer to each chunk."""
+    for bucket, asked in by_bucket(batches).items():
+        words = [spread_sorted(x["words"]) for x in asked]
+        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(place, np.concatenate([spread(x["counts"]) for x in asked]), len(distinct)).astype(np.uint64)
+        rows = [(bucket, None, squeeze_sorted(distinct), squeeze(total), len(distinct), int((total > 0).sum()), _counts_of_counts(total))]
+        ends = np.cumsum([0, *map(len, words)])
+        for x, a, b in zip(asked, ends[:-1], ends[1:]):
+            mine = place[a:b]
+            rows.append((bucket, x["chunk"], squeeze_sorted(mine.astype(np.uint64)), squeeze(total[mine]), len(mine), None, None))
+        yield _batch(rows, WORD_TABLE)
 
 
-# ---- level 2
+# ---- the orders above
 
 
 class Plan(NamedTuple):
-    base: np.ndarray  # number of the first word of each level-1 bucket
+    """What all tasks know of the model; the lists have an entry for each order, from 1 on."""
+
     words: Unigrams
     docs: int  # learned from
-    buckets: int
-    hot: float  # contexts of more tokens are dealt by pair
-
-
-class Chunk(NamedTuple):
-    number: int
-    doc_ids: np.ndarray
-    flags: np.ndarray
-    starts: np.ndarray  # of documents, in tokens
-    count: np.ndarray  # of each token's word
-    place: np.ndarray  # of each token's pair among the sorted requests
-    pairs: np.ndarray  # requests, sorted by bucket and pair
+    order: int
+    least: int  # contexts of order 3 and up need so many tokens
+    buckets: int  # of each order from 2 on
+    hot: float  # contexts of more tokens are dealt by gram
+    bases: tuple[np.ndarray, ...]  # number of the first gram of each bucket
+    d: tuple[np.ndarray, ...]
+
+    def least_of(self, n: int) -> int:
+        """How often a gram of order n - 1 must occur to be a context of order n."""
+        return 1 if n < 3 else self.least
+
+
+class Grams(NamedTuple):
+    """A chunk's distinct grams of one order by bucket, context and word, in runs of one context."""
+
+    at: np.ndarray  # tokens that have one
+    place: np.ndarray  # of each such token's gram
+    context: np.ndarray
+    word: np.ndarray
     bucket: np.ndarray
-    seen: np.ndarray  # training counts of the requests
-    lower: np.ndarray  # their P1
-
-
-def opened(row: dict, plan: Plan) -> Chunk:
-    """A chunk with level 1 answered."""
-    sizes, places = spread(row["sizes"], np.uint32), spread(row["places"], np.uint32)
-    words = spread_sorted(row["words"])
-    answers = sorted(row["answers"], key=lambda x: x["bucket"])
-    number = np.concatenate([spread_sorted(x["numbers"], np.uint32).astype(np.uint64) + plan.base[x["bucket"]] for x in answers])
-    count = np.concatenate([spread(x["counts"], np.uint64) for x in answers])
-    starts = np.r_[0, np.cumsum(sizes.astype(np.int64))]
-    flags = np.frombuffer(row["flags"], np.uint8)
-    word = number[places]
-    start = int(np.searchsorted(words, np.uint64(START)))
-    before = np.r_[np.uint64(0), word[:-1]]
-    before[starts[:-1]] = number[start]
-    pairs, first, place = np.unique(before << np.uint64(32) | word, return_index=True, return_inverse=True)
-    seen = np.bincount(place, np.repeat(flags & 1, sizes), len(pairs)).astype(np.uint32)
-    lower = plan.words.probability(count)[places[first]].astype(np.float32)
-    after = np.r_[np.uint64(0), count[places[:-1]]]
-    after[starts[:-1]] = plan.docs
-    context = pairs >> np.uint64(32)
-    bucket = mixed(np.where(after[first] > plan.hot, pairs, context)) % np.uint64(plan.buckets)
-    order = np.lexsort((pairs, bucket))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return Chunk(row["chunk"], np.frombuffer(row["ids"], np.int64), flags, starts, count[places], back[place], pairs[order], bucket[order], seen[order], lower[order])
-
-
-def pair_requests(plan: Plan) -> Callable:
+    first: np.ndarray  # where runs begin
+    run: np.ndarray  # of each gram
+
+
+class Chunk:
+    """A chunk's tokens with all that is known of them up to some order."""
+
+    def __init__(self, row: dict, plan: Plan):
+        self.plan, self.number = plan, row["chunk"]
+        sizes, places = spread(row["sizes"]).astype(np.int64), spread(row["places"]).astype(np.int64)
+        words = spread_sorted(row["words"])
+        answers = sorted(row["a1"], key=lambda x: x["bucket"])
+        number = np.concatenate([spread_sorted(x["numbers"]) + plan.bases[0][x["bucket"]] for x in answers])
+        counts = np.concatenate([spread(x["counts"]) for x in answers])
+        self.doc_ids, self.flags = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["flags"], np.uint8)
+        self.first = np.r_[0, np.cumsum(sizes)][:-1]
+        self.learned = np.repeat(self.flags & 1, sizes)
+        self.since = np.arange(len(places)) - np.repeat(self.first, sizes)  # words before it in its document
+        self.word, self.count = number[places], counts[places]
+        self.start = number[int(np.searchsorted(words, np.uint64(START)))]
+        self.p = plan.words.probability(self.count)
+        # of each token's gram in the highest order known so far: count, number, and of its context tokens after it, and if nothing is freed
+        self.seen, self.id = self.count, self.word
+        self.total = np.full(len(places), plan.words.tokens, np.uint64)
+        self.bare = np.zeros(len(places), np.uint8)
+        for n in range(2, plan.order + 1):
+            if f"a{n}" in row:
+                self._answer(n, row[f"a{n}"] or [])
+
+    def grams(self, n: int) -> tuple[Grams, np.ndarray]:
+        """Grams of order n, to be called when the order below is known; and the tokens after each token's context."""
+        before = lambda x: np.r_[x[:1], x[:-1]]
+        context, total = before(self.id), before(self.seen)
+        if n == 2:
+            context[self.first], total[self.first] = self.start, self.plan.docs
+        else:
+            total[self.since < n - 2] = 0
+        at = np.flatnonzero(total >= self.plan.least_of(n))
+        context, word, place = distinct_grams(context[at], self.word[at])
+        follow = np.zeros(len(context), np.uint64)
+        follow[place] = total[at]
+        buckets = np.uint64(self.plan.buckets)
+        bucket = mixed(np.where(follow > self.plan.hot, mixed(context) ^ word, context)) % buckets
+        order = np.argsort(bucket.astype(np.uint16) if self.plan.buckets <= 1 << 16 else bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        context, word, bucket = context[order], word[order], bucket[order]
+        first = starts_of(bucket, context)
+        run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(context)]))
+        return Grams(at, rank[place], context, word, bucket, first, run), total
+
+    def request(self, n: int) -> pa.RecordBatch:
+        g, total = self.grams(n)
+        counts = np.bincount(g.place, self.learned[g.at], len(g.context)).astype(np.uint64)
+        lower, under, of = (np.zeros(len(g.context), np.uint64) for _ in range(3))
+        lower[g.place] = self.seen[g.at]
+        # the context's own and the lower context's tokens, the latter with what the bucket must know of them in the lowest bits
+        of[g.place] = total[g.at]
+        under[g.place] = self.total[g.at] << np.uint64(2) | self.bare[g.at].astype(np.uint64)
+        under = under[g.first] | (of[g.first] > self.plan.hot).astype(np.uint64) << np.uint64(1)
+        if n == 2:
+            under &= np.uint64(2)  # the lower total is the same for all
+        runs = np.diff(np.r_[g.first, len(g.context)])
+        cuts = np.searchsorted(g.first, starts := starts_of(g.bucket))
+        rows = []
+        for (a, b), (i, j) in zip(_spans(starts, len(g.context)), _spans(cuts, len(g.first))):
+            rows.append((int(g.bucket[a]), self.number, squeeze_sorted(g.context[g.first[i:j]]), squeeze(runs[i:j]), squeeze(g.word[a:b]), squeeze(counts[a:b]), squeeze(lower[a:b]), squeeze(under[i:j])))
+        return _batch(rows, GRAM_REQUEST)
+
+    def _answer(self, n: int, answers: list[dict]) -> None:
+        g, total = self.grams(n)
+        told = sorted(answers, key=lambda x: x["bucket"])
+        join = lambda key, kind: np.concatenate([spread(x[key]) for x in told]).astype(kind) if told else np.zeros(0, kind)
+        counts, bare = join("counts", np.uint64), join("bare", np.uint8)
+        weight = np.zeros(len(g.first))
+        if len(counts):
+            weight[np.logical_or.reduceat(counts == 0, g.first)] = join("weights", float)
+        ids = np.zeros(len(counts), np.uint64)
+        if n < self.plan.order:
+            ids[counts >= self.plan.least_of(n + 1)] = np.concatenate([spread_sorted(x["ids"]) + self.plan.bases[n - 1][x["bucket"]] for x in told]) if told else 0
+        seen, run = counts[g.place], g.run[g.place]
+        d = self.plan.d[n - 1]
+        known = d[np.minimum(seen, K + 1).astype(np.int64)] * seen / (total[g.at] + bare[run])
+        self.p[g.at] = np.where(seen > 0, known, weight[run] * self.p[g.at])
+        self.seen, self.id, self.bare = np.zeros_like(self.seen), np.zeros_like(self.id), np.zeros_like(self.bare)
+        self.seen[g.at], self.id[g.at], self.bare[g.at], self.total = seen, ids[g.place], bare[run], total
+
+
+GRAM_REQUEST = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary, lower binary, under binary"
+GRAM_TABLE = "bucket int, contexts binary, runs binary, words binary, counts binary, lower binary, under binary, n long, often array<long>, asks array<struct<chunk:long,places:binary>>"
+
+
+def gram_requests(n: int, plan: Plan) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                c = opened(batch.slice(k, 1).to_pylist()[0], plan)
-                cuts = _cuts(c.bucket)
-                spans = list(zip(cuts[:-1], cuts[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(c.bucket[a]) for a, _ in spans], pa.int32()), pa.array([c.number] * len(spans), pa.int64()), pa.array([squeeze_sorted(c.pairs[a:b]) for a, b in spans], pa.binary()), pa.array([squeeze(c.seen[a:b]) for a, b in spans], pa.binary()), pa.array([squeeze(c.lower[a:b]) for a, b in spans], pa.binary())],
-                    ["bucket", "chunk", "grams", "counts", "lower"],
-                )
+                yield Chunk(batch.slice(k, 1).to_pylist()[0], plan).request(n)
 
     return send
 
 
-def _context_sums(pairs: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Contexts, their place for each pair, tokens after them, P1 mass of words seen, and tokens by count up to K."""
-    context = pairs >> np.uint64(32)
-    first = _cuts(context)[:-1]
-    contexts = context[first]
-    place = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(context)]))
-    total = np.bincount(place, counts, len(first))
-    mass = np.bincount(place, np.where(counts > 0, lower, 0).astype(float), len(first))
-    small = np.stack([np.bincount(place, np.where(counts == r, counts, 0), len(first)) for r in range(1, K + 1)], 1)
-    return contexts, place, total, mass, small
-
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's row of the gram table, with the places that each chunk asks for."""
+    for bucket, asked in by_bucket(batches).items():
+        runs = [spread(x["runs"]).astype(np.int64) for x in asked]
+        contexts = [spread_sorted(x["contexts"]) for x in asked]
+        every = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
+        context, word, place = distinct_grams(every, np.concatenate([spread(x["words"]) for x in asked]))
+        counts = np.bincount(place, np.concatenate([spread(x["counts"]) for x in asked]), len(word)).astype(np.uint64)
+        lower = np.zeros(len(word), np.uint64)
+        lower[place] = np.concatenate([spread(x["lower"]) for x in asked])
+        first = starts_of(context)
+        under = np.zeros(len(first), np.uint64)
+        under[np.searchsorted(context[first], np.concatenate(contexts))] = np.concatenate([spread(x["under"]) for x in asked])
+        ends = np.cumsum([0, *(int(r.sum()) for r in runs)])
+        asks = [{"chunk": x["chunk"], "places": squeeze_sorted(place[a:b].astype(np.uint64))} for x, a, b in zip(asked, ends[:-1], ends[1:])]
+        row = (bucket, squeeze_sorted(context[first]), squeeze(np.diff(np.r_[first, len(word)])), squeeze(word), squeeze(counts), squeeze(lower), squeeze(under), len(word), _counts_of_counts(counts), asks)
+        yield _batch([row], GRAM_TABLE)
 
-def count_pairs(group: pa.Table) -> pa.Table:
-    """One bucket: its row of the pair table, with the places that each chunk asks for."""
-    group = group.sort_by("chunk")
-    grams = [spread_sorted(x.as_py()) for x in group["grams"]]
-    distinct, place, total = _merged(grams, [spread(x.as_py(), np.uint32) for x in group["counts"]])
-    lower = np.zeros(len(distinct), np.float32)
-    lower[place] = np.concatenate([spread(x.as_py(), np.float32) for x in group["lower"]])
-    ends = np.cumsum([0, *map(len, grams)])
-    asks = [{"chunk": c, "places": squeeze_sorted(place[a:b].astype(np.uint32))} for c, a, b in zip(group["chunk"].to_pylist(), ends[:-1], ends[1:])]
-    kind = pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))
-    return pa.table({"bucket": group["bucket"][:1].cast(pa.int32()), "grams": pa.array([squeeze_sorted(distinct)], pa.binary()), "counts": pa.array([squeeze(total)], pa.binary()), "lower": pa.array([squeeze(lower)], pa.binary()), "often": pa.array([_counts_of_counts(total).tolist()], pa.list_(pa.int64())), "asks": pa.array([asks], kind)})
 
+HOT_SUMS = ", ".join(["bucket int", "context long", "total long", "used long", *(f"n{r} long" for r in range(1, K + 1)), *(f"m{r} long" for r in range(1, K + 1))])
 
-PAIR_SCHEMA = "bucket int, grams binary, counts binary, lower binary, often array<long>, asks array<struct<chunk:long,places:binary>>"
 
-
-def hot_sums(hot: np.ndarray) -> Callable:
+def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a bucket has of each hot context."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            hot = np.flatnonzero(spread(row["under"]) & np.uint64(2))
+            runs = spread(row["runs"]).astype(np.int64)
+            s = Sums.of(spread(row["counts"]), spread(row["lower"]), np.cumsum(runs) - runs)
+            context = spread_sorted(row["contexts"])[hot].astype(np.int64)
+            yield _batch([(row["bucket"], int(c), int(s.total[k]), int(s.used[k]), *s.small[k].tolist(), *s.under[k].tolist()) for c, k in zip(context, hot)], HOT_SUMS)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for grams, counts, lower in zip(batch["grams"], batch["counts"], batch["lower"]):
-                contexts, _, total, mass, small = _context_sums(spread_sorted(grams.as_py()), spread(counts.as_py(), np.uint64), spread(lower.as_py(), np.float32))
-                own = np.isin(contexts, hot)
-                yield pa.RecordBatch.from_arrays([pa.array(contexts[own].astype(np.int64)), pa.array(total[own]), pa.array(mass[own]), *(pa.array(small[own, r]) for r in range(K))], ["context", "total", "mass", *(f"r{r}" for r in range(1, K + 1))])
 
-    return sums
+GRAM_ANSWER = "chunk long, bucket int, counts binary, ids binary, bare binary, weights binary"
 
 
-def answer_pairs(d: np.ndarray, hot: dict[str, np.ndarray]) -> Callable:
-    """log10 P2 of the pairs that each chunk asked for."""
+def answer_grams(n: int, plan: Plan) -> Callable:
+    """Counts, numbers and back-off weights of the grams that each chunk asked for."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                counts, lower = spread(row["counts"], np.uint64), spread(row["lower"], np.float32).astype(float)
-                contexts, place, total, mass, small = _context_sums(spread_sorted(row["grams"]), counts, lower)
-                if len(hot["context"]):
-                    at = np.minimum(np.searchsorted(hot["context"], contexts), len(hot["context"]) - 1)
-                    own = hot["context"][at] == contexts
-                    total, mass, small = np.where(own, hot["total"][at], total), np.where(own, hot["mass"][at], mass), np.where(own[:, None], hot["small"][at], small)
-                under, weight = backoff(total, small @ (1 - d[1 : K + 1]), mass)
-                p = np.where(counts > 0, d[np.minimum(counts, K + 1).astype(np.int64)] * counts / under[place], weight[place] * lower)
-                log = np.log10(p).astype(np.float32)
-                asks = row["asks"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["chunk"] for x in asks], pa.int64()), pa.array([row["bucket"]] * len(asks), pa.int32()), pa.array([squeeze(log[spread_sorted(x["places"], np.uint32)]) for x in asks], pa.binary())],
-                    ["chunk", "bucket", "log"],
-                )
+                counts, runs, under = spread(row["counts"]), spread(row["runs"]).astype(np.int64), spread(row["under"])
+                sums = Sums.of(counts, spread(row["lower"]), np.cumsum(runs) - runs)
+                contexts = spread_sorted(row["contexts"]) if row["hot"] else None
+                for x in row["hot"] or []:
+                    at = int(np.searchsorted(contexts, np.uint64(x["context"])))
+                    sums.total[at], sums.used[at] = x["total"], x["used"]
+                    sums.small[at], sums.under[at] = [x[f"n{r}"] for r in range(1, K + 1)], [x[f"m{r}"] for r in range(1, K + 1)]
+                lower_total = plan.words.total if n == 2 else ((under >> np.uint64(2)) + (under & np.uint64(1))).astype(np.int64)
+                bare, weight = weights(sums, plan.d[n - 1], lower_total, plan.d[n - 2])
+                run = np.repeat(np.arange(len(runs)), runs)
+                rows = []
+                for ask in row["asks"]:
+                    places = spread_sorted(ask["places"]).astype(np.int64)
+                    mine, of = counts[places], run[places]
+                    first = starts_of(of)
+                    need = np.logical_or.reduceat(mine == 0, first)
+                    ids = places[mine >= plan.least_of(n + 1)].astype(np.uint64) if n < plan.order else np.zeros(0, np.uint64)
+                    rows.append((ask["chunk"], row["bucket"], squeeze(mine), squeeze_sorted(ids), squeeze(bare[of[first]].astype(np.uint8)), squeeze(weight[of[first]][need])))
+                yield _batch(rows, GRAM_ANSWER)
 
     return answer
 
@@ -404,14 +549,12 @@ def document_scores(plan: Plan) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                c = opened(row, plan)
-                log = np.concatenate([spread(x["log"], np.float32) for x in sorted(row["pair_answers"], key=lambda x: x["bucket"])]).astype(float)
-                first = c.starts[:-1]
+                c = Chunk(batch.slice(k, 1).to_pylist()[0], plan)
                 base = np.log10((c.count + 1.0) / (plan.words.tokens + plan.words.distinct + 1.0))
-                n = len(first)
+                add = lambda x, c=c: np.add.reduceat(x, c.first)
+                sizes = np.diff(np.r_[c.first, len(c.word)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.doc_ids, mask=c.flags == 4), pa.array(c.flags == 2), pa.array(np.diff(c.starts)), pa.array(np.add.reduceat((c.count > 0).astype(np.int64), first)), pa.array(np.full(n, plan.words.tokens)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(log[c.place], first))],
+                    [pa.array(c.doc_ids, mask=c.flags == 4), pa.array(c.flags == 2), pa.array(sizes), pa.array(add((c.count > 0).astype(np.int64))), pa.array(np.full(len(sizes), plan.words.tokens)), pa.array(add(base)), pa.array(add(np.log10(c.p)))],
                     [x.split()[0] for x in SCORE_SCHEMA.split(", ")],
                 )
 
@@ -422,58 +565,57 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def katz_scores(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES, hot_share: float = HOT_SHARE) -> DataFrame:
+def with_hot(grams: DataFrame) -> DataFrame:
+    """The gram table with `hot`, the whole sums of the hot contexts that a bucket has a part of."""
+    parts = stored(grams.select("bucket", "contexts", "runs", "counts", "lower", "under").mapInArrow(hot_sums, HOT_SUMS), "hot")
+    names = [x.split()[0] for x in HOT_SUMS.split(", ")][2:]
+    whole = parts.groupBy("context").agg(*[F.sum(x).alias(x) for x in names])
+    back = parts.select("bucket", "context").join(whole, "context").groupBy("bucket").agg(F.collect_list(F.struct("context", *names)).alias("hot"))
+    return grams.join(F.broadcast(back) if parts.count() <= BROADCAST_ROWS else back, "bucket", "left")
+
+
+def base_numbers(rows: list, buckets: int) -> np.ndarray:
+    """The number of the first gram of each bucket, from rows of bucket and n."""
+    base = np.zeros(buckets + 1, np.uint64)
+    for r in rows:
+        base[r["bucket"] + 1] = r["n"]
+    return np.cumsum(base, dtype=np.uint64)
+
+
+@cleaned
+def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_CONTEXT, chunk_tokens: int = CHUNK_TOKENS, bucket_entries: int = BUCKET_ENTRIES, hot_share: float = HOT_SHARE) -> DataFrame:
     """A score for each row of `docs` (doc_id, text) under the model of those outside the held-out fold."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", fold_of(F.col("doc_id")).alias("fold"), "text")
-    chunks = stored_chunks(rows.mapInArrow(chunked, CHUNK_SCHEMA))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    chunks, chunk_buckets = stored_chunks(rows.mapInArrow(chunked(chunk_tokens), CHUNK_SCHEMA), size, chunk_tokens)
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_learned", "n_docs_learned")]).first()
 
     buckets = max(LEAST_BUCKETS, -(-size["n_words"] // bucket_entries))
-    asked = chunks.select("chunk", "words", "counts").mapInArrow(word_requests(buckets), "bucket int, chunk long, grams binary, counts binary")
-    words = stored(asked.groupBy("bucket").applyInArrow(count_words, WORD_SCHEMA), "words", ["bucket"])
-    ones = words.where("chunk is null").select("bucket", "n", "known", "often").collect()  # one row a bucket
-    base = np.zeros(buckets + 1, np.uint64)
-    for r in ones:
-        base[r["bucket"] + 1] = r["n"]
-    base = np.cumsum(base, dtype=np.uint64)
-    if int(base[-1]) >= 1 << 32:
-        raise ValueError("over 2^32 distinct words: pairs need wider numbers than 64 bits")
+    asked = chunks.select("chunk", "words", "counts").mapInArrow(word_requests(buckets), WORD_REQUEST)
+    words = stored(asked.repartitionById(buckets, "bucket").mapInArrow(count_words, WORD_TABLE), "words")
+    ones = words.where("chunk IS NULL").select("bucket", "n", "known", "often").collect()  # one row a bucket
     often = np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int)
     unigrams = Unigrams.of(size["n_learned"], sum(r["known"] for r in ones), often)
-    pair_buckets = max(LEAST_BUCKETS, -(-size["n_tokens"] // bucket_entries))
-    plan = Plan(base, unigrams, size["n_docs_learned"], pair_buckets, max(1000.0, hot_share * size["n_learned"] / pair_buckets))
-
-    answers = words.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "numbers", "counts")).alias("answers"))
-    answered = chunks.join(answers.withColumnRenamed("chunk", "number"), F.col("chunk") == F.col("number")).drop("number", "counts", "n_words", "n_tokens", "n_learned", "n_docs_learned")
-    asked = answered.mapInArrow(pair_requests(plan), "bucket int, chunk long, grams binary, counts binary, lower binary")
-    pairs = stored(asked.groupBy("bucket").applyInArrow(count_pairs, PAIR_SCHEMA), "pairs", ["bucket"])
-
-    ones = pairs.select(F.array(*[F.sum(F.col("often")[r]) for r in range(K + 2)]).alias("often")).first()
-    d = discounts(np.array([x or 0 for x in ones["often"]]))
-    hot = hot_contexts(words, plan)
-    names = ["total", "mass", *(f"r{r}" for r in range(1, K + 1))]
-    sums = pairs.select("grams", "counts", "lower").mapInArrow(hot_sums(hot), ", ".join(["context long", *(f"{x} double" for x in names)]))
-    got = sums.groupBy("context").agg(*[F.sum(x).alias(x) for x in names]).orderBy("context").toPandas() if len(hot) else None  # at most buckets / hot_share rows
-    hot_table = {"context": np.zeros(0, np.uint64)} if got is None else {"context": got["context"].to_numpy().astype(np.uint64), "total": got["total"].to_numpy(), "mass": got["mass"].to_numpy(), "small": got[names[2:]].to_numpy()}
-    logs = pairs.select("bucket", "grams", "counts", "lower", "asks").mapInArrow(answer_pairs(d, hot_table), "chunk long, bucket int, log binary")
-    back = logs.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "log")).alias("pair_answers")).withColumnRenamed("chunk", "number")
-    return answered.join(back, F.col("chunk") == F.col("number")).drop("number").mapInArrow(document_scores(plan), SCORE_SCHEMA)
-
-
-def hot_contexts(words: DataFrame, plan: Plan) -> np.ndarray:
-    """Numbers of the words, and of the start, that more than `plan.hot` learned tokens follow."""
-    base, limit, docs = plan.base, plan.hot, plan.docs
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, grams, counts in zip(batch["bucket"].to_pylist(), batch["numbers"], batch["counts"]):
-                over = spread(counts.as_py(), np.uint64) > limit
-                if docs > limit:
-                    over |= spread_sorted(grams.as_py()) == np.uint64(START)
-                yield pa.RecordBatch.from_arrays([pa.array((np.flatnonzero(over) + int(base[bucket])).astype(np.int64))], ["context"])
-
-    found = words.where("chunk is null").select("bucket", "numbers", "counts").mapInArrow(find, "context long").collect()
-    return np.sort(np.array([r["context"] for r in found], np.uint64))
+    above = max(LEAST_BUCKETS, -(-size["n_tokens"] // bucket_entries))
+    plan = Plan(unigrams, size["n_docs_learned"], order, least_context, above, max(1000.0, hot_share * size["n_learned"] / above), (base_numbers(ones, buckets),), (unigrams.discount,))
+
+    def listed(answers: DataFrame, n: int) -> DataFrame:
+        columns = [c for c in answers.columns if c != "chunk"]
+        return answers.repartition(chunk_buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(f"a{n}"))
+
+    answered = chunks.drop("counts", "n_words", "n_tokens", "n_learned", "n_docs_learned").join(listed(words.where("chunk IS NOT NULL").select("chunk", "bucket", "numbers", "counts"), 1), "chunk")
+    for n in range(2, order + 1):
+        with workspace(spark):
+            asked = answered.mapInArrow(gram_requests(n, plan), GRAM_REQUEST)
+            grams = stored(asked.repartitionById(above, "bucket").mapInArrow(count_grams, GRAM_TABLE), f"grams-{n}")
+            ones = grams.select("bucket", "n", "often").collect()  # one row a bucket
+            d = discounts(np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int))
+            plan = plan._replace(bases=(*plan.bases, base_numbers(ones, above)), d=(*plan.d, d))
+            told = with_hot(grams).select("bucket", "contexts", "runs", "counts", "lower", "under", "asks", "hot")
+            answers = stored(told.mapInArrow(answer_grams(n, plan), GRAM_ANSWER), f"answers-{n}", outer=True)
+        answered = answered.join(listed(answers, n), "chunk", "left")
+    return answered.mapInArrow(document_scores(plan), SCORE_SCHEMA)
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,57 +13,69 @@ START = "<start>"
 
 
 class Plain:
-    """The model with dictionaries."""
+    """The model of any order with dictionaries, by the definition: no layout, no sums but over all words."""
 
-    def __init__(self, rows):
-        self.one, self.two = collections.Counter(), collections.Counter()
+    def __init__(self, rows, order=3, least=2):
+        self.order, self.least = order, least
+        count = [None] + [collections.Counter() for _ in range(order)]  # by order: (context, word)
         for d, t in rows:
             if d is not None and zlib.crc32(str(d).encode()) % 7 != 2:
-                w = self.words(t)
-                self.one.update(w)
-                self.two.update(zip([START, *w[:-1]], w))
-        often = lambda c: np.bincount([min(v, kl.K + 2) for v in c.values()] or [0], minlength=kl.K + 3)[: kl.K + 2] * (np.arange(kl.K + 2) > 0)
-        self.d1, self.d2 = kl.discounts(often(self.one)), kl.discounts(often(self.two))
+                w = [START, *self.words(t)]
+                for k in range(1, len(w)):
+                    for n in range(1, min(order, k + 1) + 1):
+                        count[n][tuple(w[k - n + 1 : k]), w[k]] += 1
+        self.after, self.total, self.d = {}, {}, [None]
+        for n in range(1, order + 1):
+            followed = collections.Counter()
+            for (c, _), r in count[n].items():
+                followed[c] += r
+            kept = {g: r for g, r in count[n].items() if n < 3 or followed[g[0]] >= least}
+            often = np.bincount([min(r, kl.K + 2) for r in kept.values()] or [0], minlength=kl.K + 3)[: kl.K + 2] * (np.arange(kl.K + 2) > 0)
+            self.d.append(kl.discounts(often))
+            for (c, w), r in kept.items():
+                self.after.setdefault(c, {})[w] = r
+                self.total[c] = self.total.get(c, 0) + r
+        self.after.setdefault((), {})
+        self.one = self.after[()]
         self.n = sum(self.one.values())
-        freed = sum((1 - self.d1[min(c, kl.K + 1)]) * c for c in self.one.values())
-        self.total, self.unknown = (self.n, freed / self.n) if freed else (self.n + 1, 1 / (self.n + 1))
-        self.after = collections.defaultdict(dict)
-        for (v, w), c in self.two.items():
-            self.after[v][w] = c
         self.back = {}
-        for v, ws in self.after.items():
-            total, freed = sum(ws.values()), sum((1 - self.d2[min(c, kl.K + 1)]) * c for c in ws.values())
-            if not freed:
-                total, freed = total + 1, 1
-            self.back[v] = total, freed / total / (1 - sum(self.p1(w) for w in ws))
+        for c in sorted(self.after, key=len):
+            freed = math.fsum((1 - self.d[len(c) + 1][min(r, kl.K + 1)]) * r for r in self.after[c].values())
+            under = self.total.get(c, 0) + (freed == 0)
+            if c == ():
+                self.back[c] = under, (freed or 1) / under  # the unknown word's
+            else:
+                rest = 1 - math.fsum(self.p(c[1:], w) for w in self.after[c])
+                self.back[c] = under, (freed or 1) / under / rest
 
     @staticmethod
     def words(text):
         return [*(text or "").encode().lower().split(), None]
 
-    def p1(self, w):
-        return self.d1[min(self.one[w], kl.K + 1)] * self.one[w] / self.total if self.one[w] else self.unknown
-
-    def p2(self, v, w):
-        if v not in self.back:
-            return self.p1(w)
-        total, weight = self.back[v]
-        c = self.after[v].get(w)
-        return self.d2[min(c, kl.K + 1)] * c / total if c else weight * self.p1(w)
+    def p(self, c, w):
+        if c not in self.after:
+            return self.p(c[1:], w)
+        under, weight = self.back[c]
+        r = self.after[c].get(w)
+        if r:
+            return self.d[len(c) + 1][min(r, kl.K + 1)] * r / under
+        return weight * (self.p(c[1:], w) if c else 1)
 
     def row(self, d, t):
         w = self.words(t)
-        base = sum(math.log10((self.one[x] + 1) / (self.n + len(self.one) + 1)) for x in w)
+        base = sum(math.log10((self.one.get(x, 0) + 1) / (self.n + len(self.one) + 1)) for x in w)
         held = d is not None and zlib.crc32(str(d).encode()) % 7 == 2
-        return held, len(w), sum(x in self.one for x in w), self.n, base, sum(math.log10(self.p2(v, x)) for v, x in zip([START, *w[:-1]], w))
+        v = [START, *w]
+        score = sum(math.log10(self.p(tuple(v[max(0, k - self.order + 1) : k]), v[k])) for k in range(1, len(v)))
+        return held, len(w), sum(x in self.one for x in w), self.n, base, score
 
 
-def compare(got, rows):
-    model = Plain(rows)
+def compare(got, rows, order=3, least=2):
+    model = Plain(rows, order, least)
     assert len(got) == len(rows)
     want = sorted(([d, *model.row(d, t)] for d, t in rows), key=str)
     for g, w in zip(sorted(([*r] for r in got), key=str), want):
-        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-6, abs=1e-6)
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9, abs=1e-9)
     return model
 
 
@@ -73,9 +85,35 @@ def test_query_equals_brute_force(spark):
     model = compare(got, rows)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    for v in [START, b"the", b"never seen", *list(model.after)[:20]]:
-        total = sum(model.p2(v, w) for w in model.one) + model.p2(v, "unknown word")
-        assert total == pytest.approx(1)
+    for c in [(START,), (b"the",), (b"never seen",), *[c for c in model.after if len(c) == 1][:20], *[c for c in model.after if len(c) == 2][:20]]:
+        assert math.fsum(model.p(c, w) for w in model.one) + model.p(c, "unknown word") == pytest.approx(1)
+
+
+def test_orders(spark):
+    rng = np.random.default_rng(2)
+    rows = [(d, " ".join(f"w{min(int(x), 20)}" for x in rng.exponential(4, 60))) for d in range(40)] + [(100 + d, "the same five words here and some more of them") for d in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for order, least in ((1, 2), (2, 2), (3, 1), (4, 1), (4, 3)):
+        compare(kl.katz_scores(docs, order=order, least_context=least, chunk_tokens=500, bucket_entries=300).collect(), rows, order, least)
+
+
+def test_every_distribution_sums_to_one():
+    """Also where all but a word of the order below, or all of its mass but a 1e-12th, is seen."""
+    d1, d2 = kl.discounts(np.array([0, 900, 300, 150, 80, 50, 30])), kl.discounts(np.array([0, 90, 20, 9, 5, 3, 2]))
+    rng = np.random.default_rng(0)
+    for lower in ([10**12, 1, 1, 7], [10**15, 10**15, 2], [1, 1, 1], [9, 8, 7], [10**9, 6], rng.zipf(1.5, 300).tolist()):
+        lower = np.array(lower, np.uint64)
+        freed = float((1 - d1[np.minimum(lower, kl.K + 1).astype(int)]) @ lower)
+        under = int(lower.sum()) + (freed == 0)
+        p1 = d1[np.minimum(lower, kl.K + 1).astype(int)] * lower / under
+        rest = (freed or 1) / under  # of the words not among them
+        for seen in (len(lower), len(lower) - 1, 1):
+            counts = np.zeros(len(lower), np.uint64)
+            counts[:seen] = rng.integers(1, 12, seen)
+            sums = kl.Sums.of(counts, lower, np.array([0]))
+            bare, weight = kl.weights(sums, d2, under, d1)
+            p2 = np.where(counts > 0, d2[np.minimum(counts, kl.K + 1).astype(int)] * counts / float(sums.total[0] + bare[0]), weight[0] * p1)
+            assert abs(math.fsum([*p2, weight[0] * rest]) - 1) < 1e-12
 
 
 def good_turing(n):
@@ -105,6 +143,21 @@ def test_discounts_without_falling_counts_of_counts():
         assert d[1:6] == pytest.approx([1 - off / r for r in range(1, 6)])
 
 
+def test_grams_that_fit_no_number():
+    rng = np.random.default_rng(4)
+    for top in (1 << 20, 1 << 45):
+        context, word = (rng.integers(0, 4, 500).astype(np.uint64) * np.uint64(top) for _ in range(2))
+        c, w, place = kl.distinct_grams(context, word)
+        assert list(zip(c, w)) == sorted(set(zip(context, word))) and (c[place] == context).all() and (w[place] == word).all()
+
+
+def test_tables_are_removed(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    before = set(spark.catalog.listTables())
+    got = kl.katz_scores(docs)
+    assert got.count() == 2 and set(spark.catalog.listTables()) == before
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "a b a b a b"), (3, "a b a b a b"), (None, "a x"), (4, "A\tB\nc"), (5, "é É é"), (6, "b " * 3000), (9, "zz yy")]
     make = lambda rows: spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, chunk int, counts string")
@@ -132,5 +185,6 @@ def test_long_text_is_split_at_blanks(monkeypatch):
 
 def test_blobs():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
-    assert (kl.spread_sorted(kl.squeeze_sorted(x)) == x).all() and (kl.spread(kl.squeeze(x), np.uint64) == x).all()
-    assert len(kl.spread_sorted(kl.squeeze_sorted(x[:0]))) == 0
+    for y in (x, x >> np.uint64(40), x >> np.uint64(60), x[:0]):
+        assert (kl.spread_sorted(kl.squeeze_sorted(y)) == y).all() and (kl.spread(kl.squeeze(y[::-1])) == y[::-1]).all()
+    assert (kl.spread(kl.squeeze(x / 3.0)) == x / 3.0).all()
