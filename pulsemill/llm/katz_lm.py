@@ -15,8 +15,8 @@ distinct grams of a chunk travel, so the commonest gram is one entry a chunk. A
 counts and back-off weights, and the recursion runs over tokens in the chunk, order by order. What travels is whole
 numbers; weights are sent in full precision, for contexts of unseen grams only. Grams are dealt by context; a context
 with over `HOT_SHARE` of a bucket's tokens is dealt by gram instead, and the sums behind its back-off weight are added over
-buckets. Numbers of chunks and buckets follow the number of tokens, each bucket is a task of its own, and chunks are stored
-bucketed by chunk number, so joining the answers moves the answers only. A row a chunk and bucket travels, so with many of
+buckets. Numbers of chunks and buckets follow the number of tokens, each bucket is a task of its own, and chunks and answers are
+stored bucketed by chunk number, so an answer moves once and is joined where it lies, however often it is read. A row a chunk and bucket travels, so with many of
 both, `chunk_tokens` and `bucket_entries` should grow with the root of the number of tokens (64 million each at 100 TB).
 All tables but the scores are removed, those of an order as soon as it is answered.
 
@@ -48,7 +48,7 @@ LEAST_CONTEXT = 2
 K = 5  # counts over K aren't discounted
 CHUNK_TOKENS = 3 << 18
 CHUNK_BYTES = 5_000_000  # about CHUNK_TOKENS of text, for the number of files only
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 1 << 20
 LEAST_BUCKETS = 12
 HOT_SHARE = 0.25
 SLICE_BYTES = 1 << 20
@@ -263,20 +263,18 @@ def _chunked(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[p
         yield row()
 
 
-def stored_chunks(rows: DataFrame, text_bytes_in_all: int, chunk_tokens: int) -> tuple[DataFrame, int]:
-    """Written bucketed by chunk and read back, and the number of buckets: joins by chunk then move the other side only."""
+def stored_by_chunk(rows: DataFrame, buckets: int, outer: bool = False) -> DataFrame:
+    """Written bucketed by chunk and read back: joins by chunk move nothing."""
     spark = rows.sparkSession
-    name, path = f"katz_chunks_{uuid.uuid4().hex}", scratch_path(spark, "chunks")
-    chunks = text_bytes_in_all * CHUNK_TOKENS // (CHUNK_BYTES * chunk_tokens)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS, 2 * chunks)
+    name, path = f"katz_{uuid.uuid4().hex}", scratch_path(spark, "katz")
 
     def remove() -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         Folders(spark).remove(path)
 
-    owned(spark, path, remove=remove)
+    owned(spark, path, outer, remove)
     rows.write.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name), buckets
+    return spark.table(name)
 
 
 # ---- order 1
@@ -588,13 +586,17 @@ def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", fold_of(F.col("doc_id")).alias("fold"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    chunks, chunk_buckets = stored_chunks(rows.mapInArrow(chunked(chunk_tokens), CHUNK_SCHEMA), size, chunk_tokens)
+    chunk_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS, size * CHUNK_TOKENS // (CHUNK_BYTES * chunk_tokens))
+    chunks = stored_by_chunk(rows.mapInArrow(chunked(chunk_tokens), CHUNK_SCHEMA), chunk_buckets)
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_learned", "n_docs_learned")]).first()
 
     buckets = max(LEAST_BUCKETS, -(-size["n_words"] // bucket_entries))
     asked = chunks.select("chunk", "words", "counts").mapInArrow(word_requests(buckets), WORD_REQUEST)
-    words = stored(asked.repartitionById(buckets, "bucket").mapInArrow(count_words, WORD_TABLE), "words")
-    ones = words.where("chunk IS NULL").select("bucket", "n", "known", "often").collect()  # one row a bucket
+    with workspace(spark):
+        words = stored(asked.repartitionById(buckets, "bucket").mapInArrow(count_words, WORD_TABLE), "words")
+        ones = words.where("chunk IS NULL").select("bucket", "n", "known", "often").collect()  # one row a bucket
+        answers = words.where("chunk IS NOT NULL").select("chunk", "bucket", "numbers", "counts")
+        answers = stored_by_chunk(answers.repartition(chunk_buckets, "chunk"), chunk_buckets, outer=True)
     often = np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int)
     unigrams = Unigrams.of(size["n_learned"], sum(r["known"] for r in ones), often)
     above = max(LEAST_BUCKETS, -(-size["n_tokens"] // bucket_entries))
@@ -602,9 +604,9 @@ def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_
 
     def listed(answers: DataFrame, n: int) -> DataFrame:
         columns = [c for c in answers.columns if c != "chunk"]
-        return answers.repartition(chunk_buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(f"a{n}"))
+        return answers.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(f"a{n}"))
 
-    answered = chunks.drop("counts", "n_words", "n_tokens", "n_learned", "n_docs_learned").join(listed(words.where("chunk IS NOT NULL").select("chunk", "bucket", "numbers", "counts"), 1), "chunk")
+    answered = chunks.drop("counts", "n_words", "n_tokens", "n_learned", "n_docs_learned").join(listed(answers, 1), "chunk")
     for n in range(2, order + 1):
         with workspace(spark):
             asked = answered.mapInArrow(gram_requests(n, plan), GRAM_REQUEST)
@@ -613,7 +615,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_
             d = discounts(np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int))
             plan = plan._replace(bases=(*plan.bases, base_numbers(ones, above)), d=(*plan.d, d))
             told = with_hot(grams).select("bucket", "contexts", "runs", "counts", "lower", "under", "asks", "hot")
-            answers = stored(told.mapInArrow(answer_grams(n, plan), GRAM_ANSWER), f"answers-{n}", outer=True)
+            answers = stored_by_chunk(told.mapInArrow(answer_grams(n, plan), GRAM_ANSWER).repartition(chunk_buckets, "chunk"), chunk_buckets, outer=True)
         answered = answered.join(listed(answers, n), "chunk", "left")
     return answered.mapInArrow(document_scores(plan), SCORE_SCHEMA)
 
