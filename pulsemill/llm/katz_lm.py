@@ -11,14 +11,15 @@ Layout. Documents are tokenized once into chunks: distinct word hashes, token pl
 works by request and answer. A chunk sends its distinct grams with their training counts, a bucket adds the counts of all
 chunks, keeps them as one row of a table that has a file a bucket, and answers each chunk in the order of its request; only
 distinct grams of a chunk travel, so the commonest gram is one entry a chunk. A gram is known by the number of its context
-(a gram of the order below) and of its last word, so order 1 answers word numbers and counts, every other order numbers,
-counts and back-off weights, and the recursion runs over tokens in the chunk, order by order. What travels is whole
-numbers; weights are sent in full precision, for contexts of unseen grams only. Grams are dealt by context; a context
-with over `HOT_SHARE` of a bucket's tokens is dealt by gram instead, and the sums behind its back-off weight are added over
-buckets. Numbers of chunks and buckets follow the number of tokens, each bucket is a task of its own, and chunks and answers are
-stored bucketed by chunk number, so an answer moves once and is joined where it lies, however often it is read. A row a chunk and bucket travels, so with many of
-both, `chunk_tokens` and `bucket_entries` should grow with the root of the number of tokens (64 million each at 100 TB).
-All tables but the scores are removed, those of an order as soon as it is answered.
+(a gram of the order below) and of its last word. Order 1 answers word numbers and counts; every other order numbers and
+counts of grams, and for contexts of unseen grams the sums behind their back-off weight. All that is whole numbers. The
+chunk turns them into probabilities, token by token, and the recursion runs there, order by order. Grams are dealt by
+context; a context with over `HOT_SHARE` of a bucket's tokens is dealt by gram instead, and its sums are added over
+buckets and joined to the chunks that asked. Numbers of chunks and buckets follow the number of tokens, each bucket is a
+task of its own, and chunks and answers are stored bucketed by chunk number, so an answer moves once and is joined where it
+lies, however often it is read. A row a chunk and bucket travels, so with many of both, `chunk_tokens` and `bucket_entries`
+should grow with the root of the number of tokens (64 million each at 100 TB). All tables but the scores are removed, those
+of an order as soon as it is answered.
 
 Edge cases: null and empty texts are one end token; documents with a null id are scored but neither learned from nor held
 out; repeated rows each count and get a row; with nothing to learn from every token gets probability 1 for the only
@@ -40,11 +41,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import Folders
-from .common import BROADCAST_ROWS, cleaned, owned, scratch_path, stored, table, text_bytes, workspace
+from .common import bounded, cleaned, owned, scratch_path, stored, table, text_bytes, workspace
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
-LEAST_CONTEXT = 2
+LEAST_CONTEXT = 1
 K = 5  # counts over K aren't discounted
 CHUNK_TOKENS = 3 << 18
 CHUNK_BYTES = 5_000_000  # about CHUNK_TOKENS of text, for the number of files only
@@ -175,7 +176,8 @@ def shares(d: np.ndarray) -> np.ndarray:
 
 class Sums(NamedTuple):
     """Of each context, whole numbers: tokens after it, grams by count 1..K, and of the words seen after it the
-    counts in the order below, added up, and their number by that count 1..K."""
+    counts in the order below, added up, and their number by that count 1..K. Good-Turing discounts every count up to K, so
+    a context without such grams frees nothing: it is bare."""
 
     total: np.ndarray
     small: np.ndarray  # (contexts, K)
@@ -191,22 +193,31 @@ class Sums(NamedTuple):
         return Sums(add(counts), each(counts), add(lower), each(lower))
 
 
-def weights(sums: Sums, d: np.ndarray, lower_total: np.ndarray | int, lower_d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether nothing is freed, and the back-off weight, of each context.
+def weights(sums: Sums, bare: np.ndarray, d: np.ndarray, lower_total: np.ndarray | int, lower_d: np.ndarray) -> np.ndarray:
+    """Back-off weights of contexts.
 
-    `lower_total` is the denominator of the order below. If nothing is freed, one more event stands for all unseen words.
+    `lower_total` is the denominator of the order below. In a bare context nothing is freed, as all counts are over K;
+    one more event stands for all unseen words then.
     """
-    freed = sums.small @ shares(d)
-    bare = (freed <= 0) & (sums.total > 0)
+    freed = np.where(bare, 1.0, sums.small @ shares(d))
     unseen = (lower_total - sums.used + sums.under @ shares(lower_d)) / lower_total
     with np.errstate(divide="ignore", invalid="ignore"):
-        weight = np.where(bare, 1.0, freed) / (sums.total + bare) / unseen
-    return bare, weight
+        return freed / (sums.total + bare) / unseen
 
 
 # ---- chunks of tokenized documents
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<array<long>>": pa.list_(pa.list_(pa.int64()))}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows under a schema of `name type, name type, ...`."""
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """Hashes of a text's words, and of the end."""
     out, at, n = [], 0, len(text)
@@ -221,7 +232,9 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-CHUNK_SCHEMA = "chunk long, ids binary, flags binary, sizes binary, places binary, words binary, counts binary, n_words long, n_tokens long, n_learned long, n_docs_learned long"
+#: Two rows a chunk: tokens by place in the list of its words, and that list, which is needed for order 1 only.
+CHUNK_SCHEMA = "kind int, chunk long, ids binary, flags binary, sizes binary, places binary, start long, words binary, counts binary, n_words long, n_tokens long, n_learned long, n_docs_learned long"
+TOKENS, WORDS = 0, 1
 
 
 def chunked(chunk_tokens: int) -> Callable:
@@ -246,10 +259,12 @@ def _chunked(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[p
         words, places = np.unique(np.concatenate([*held, np.array([START], np.uint64)]), return_inverse=True)
         places = places[:-1].astype(np.uint32)
         counts = np.bincount(places, np.repeat(learn, sizes), len(words)).astype(np.uint32)
-        values = [number, np.array(ids, np.int64).tobytes(), np.array(flags, np.uint8).tobytes(), squeeze(sizes), squeeze(places), squeeze_sorted(words), squeeze(counts), len(words), len(places), int(counts.sum()), int(learn.sum())]
+        start = int(np.searchsorted(words, np.uint64(START)))
+        tokens = (TOKENS, number, np.array(ids, np.int64).tobytes(), np.array(flags, np.uint8).tobytes(), squeeze(sizes), squeeze(places), start, None, None, len(words), len(places), int(counts.sum()), int(learn.sum()))
+        listed = (WORDS, number, None, None, None, None, None, squeeze_sorted(words), squeeze(counts), None, None, None, None)
         ids.clear(), flags.clear(), held.clear()
         size = 0
-        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], [x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
+        return _batch([tokens, listed], CHUNK_SCHEMA)
 
     for batch in batches:
         for doc, fold, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), text_bytes(batch[2])):
@@ -263,8 +278,8 @@ def _chunked(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[p
         yield row()
 
 
-def stored_by_chunk(rows: DataFrame, buckets: int, outer: bool = False) -> DataFrame:
-    """Written bucketed by chunk and read back: joins by chunk move nothing."""
+def stored_by_chunk(rows: DataFrame, buckets: int, outer: bool = False, kinds: bool = False) -> tuple[DataFrame, str]:
+    """Written bucketed by chunk and read back, so that joins by chunk move nothing; and the folder. With `kinds` each kind has a folder in it."""
     spark = rows.sparkSession
     name, path = f"katz_{uuid.uuid4().hex}", scratch_path(spark, "katz")
 
@@ -273,8 +288,9 @@ def stored_by_chunk(rows: DataFrame, buckets: int, outer: bool = False) -> DataF
         Folders(spark).remove(path)
 
     owned(spark, path, outer, remove)
-    rows.write.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name)
+    writer = rows.write.option("compression", "uncompressed").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk")
+    (writer.partitionBy("kind") if kinds else writer).saveAsTable(name)
+    return spark.table(name), path
 
 
 # ---- order 1
@@ -303,16 +319,6 @@ def word_requests(buckets: int) -> Callable:
     return send
 
 
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<struct<chunk:long,places:binary>>": pa.list_(pa.struct([("chunk", pa.int64()), ("places", pa.binary())]))}
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    """Rows under a schema of `name type, name type, ...`."""
-    fields = [x.split(" ") for x in schema.split(", ")]
-    columns = zip(*rows) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
-
-
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
     """All rows of a task, by bucket; each task has one bucket."""
     found: dict[int, list[dict]] = {}
@@ -381,7 +387,6 @@ class Chunk:
     def __init__(self, row: dict, plan: Plan):
         self.plan, self.number = plan, row["chunk"]
         sizes, places = spread(row["sizes"]).astype(np.int64), spread(row["places"]).astype(np.int64)
-        words = spread_sorted(row["words"])
         answers = sorted(row["a1"], key=lambda x: x["bucket"])
         number = np.concatenate([spread_sorted(x["numbers"]) + plan.bases[0][x["bucket"]] for x in answers])
         counts = np.concatenate([spread(x["counts"]) for x in answers])
@@ -390,7 +395,7 @@ class Chunk:
         self.learned = np.repeat(self.flags & 1, sizes)
         self.since = np.arange(len(places)) - np.repeat(self.first, sizes)  # words before it in its document
         self.word, self.count = number[places], counts[places]
-        self.start = number[int(np.searchsorted(words, np.uint64(START)))]
+        self.start = number[row["start"]]
         self.p = plan.words.probability(self.count)
         # of each token's gram in the highest order known so far: count, number, and of its context tokens after it, and if nothing is freed
         self.seen, self.id = self.count, self.word
@@ -398,7 +403,7 @@ class Chunk:
         self.bare = np.zeros(len(places), np.uint8)
         for n in range(2, plan.order + 1):
             if f"a{n}" in row:
-                self._answer(n, row[f"a{n}"] or [])
+                self._answer(n, row[f"a{n}"] or [], row[f"h{n}"] or [])
 
     def grams(self, n: int) -> tuple[Grams, np.ndarray]:
         """Grams of order n, to be called when the order below is known; and the tokens after each token's context."""
@@ -425,42 +430,49 @@ class Chunk:
     def request(self, n: int) -> pa.RecordBatch:
         g, total = self.grams(n)
         counts = np.bincount(g.place, self.learned[g.at], len(g.context)).astype(np.uint64)
-        lower, under, of = (np.zeros(len(g.context), np.uint64) for _ in range(3))
-        lower[g.place] = self.seen[g.at]
-        # the context's own and the lower context's tokens, the latter with what the bucket must know of them in the lowest bits
-        of[g.place] = total[g.at]
-        under[g.place] = self.total[g.at] << np.uint64(2) | self.bare[g.at].astype(np.uint64)
-        under = under[g.first] | (of[g.first] > self.plan.hot).astype(np.uint64) << np.uint64(1)
-        if n == 2:
-            under &= np.uint64(2)  # the lower total is the same for all
+        lower, of = np.zeros(len(g.context), np.uint64), np.zeros(len(g.context), np.uint64)
+        lower[g.place], of[g.place] = self.seen[g.at], total[g.at]
+        hot = (of[g.first] > self.plan.hot).astype(np.uint8)
         runs = np.diff(np.r_[g.first, len(g.context)])
         cuts = np.searchsorted(g.first, starts := starts_of(g.bucket))
         rows = []
         for (a, b), (i, j) in zip(_spans(starts, len(g.context)), _spans(cuts, len(g.first))):
-            rows.append((int(g.bucket[a]), self.number, squeeze_sorted(g.context[g.first[i:j]]), squeeze(runs[i:j]), squeeze(g.word[a:b]), squeeze(counts[a:b]), squeeze(lower[a:b]), squeeze(under[i:j])))
+            rows.append((int(g.bucket[a]), self.number, squeeze_sorted(g.context[g.first[i:j]]), squeeze(runs[i:j]), squeeze(g.word[a:b]), squeeze(counts[a:b]), squeeze(lower[a:b]), squeeze(hot[i:j])))
         return _batch(rows, GRAM_REQUEST)
 
-    def _answer(self, n: int, answers: list[dict]) -> None:
+    def _answer(self, n: int, answers: list[dict], hot: list[dict]) -> None:
         g, total = self.grams(n)
-        told = sorted(answers, key=lambda x: x["bucket"])
-        join = lambda key, kind: np.concatenate([spread(x[key]) for x in told]).astype(kind) if told else np.zeros(0, kind)
-        counts, bare = join("counts", np.uint64), join("bare", np.uint8)
-        weight = np.zeros(len(g.first))
-        if len(counts):
-            weight[np.logical_or.reduceat(counts == 0, g.first)] = join("weights", float)
+        plan, told = self.plan, sorted(answers, key=lambda x: x["bucket"])
+        join = lambda key: np.concatenate([spread(x[key]) for x in told]) if told else np.zeros(0, np.uint64)
+        counts, bare = join("counts"), join("bare").astype(bool)
         ids = np.zeros(len(counts), np.uint64)
-        if n < self.plan.order:
-            ids[counts >= self.plan.least_of(n + 1)] = np.concatenate([spread_sorted(x["ids"]) + self.plan.bases[n - 1][x["bucket"]] for x in told]) if told else 0
+        if n < plan.order and told:
+            ids[counts >= plan.least_of(n + 1)] = np.concatenate([spread_sorted(x["ids"]) + plan.bases[n - 1][x["bucket"]] for x in told])
+        # of each run: tokens after its context, and after the context of the order below
+        after, below = np.zeros(len(g.first), np.int64), np.ones(len(g.first), np.int64)
+        after[g.run[g.place]] = total[g.at]
+        below[g.run[g.place]] = plan.words.total if n == 2 else self.total[g.at].astype(np.int64) + self.bare[g.at]
+        need = np.logical_or.reduceat(counts == 0, g.first) if len(counts) else np.zeros(0, bool)
+        table = lambda key: np.concatenate([spread(x[key]).reshape(K, -1) for x in told], axis=1).T.astype(np.int64) if told else np.zeros((0, K), np.int64)
+        sums = Sums(after, np.zeros((len(after), K), np.int64), np.zeros(len(after), np.int64), np.zeros((len(after), K), np.int64))
+        sums.used[need], sums.small[need], sums.under[need] = join("used"), table("small"), table("under")
+        of = g.context[g.first]
+        for x in hot:  # as each bucket has but a part of these
+            runs = of == np.uint64(x["context"])
+            sums.used[runs], sums.small[runs], sums.under[runs] = x["used"], [x[f"n{r}"] for r in range(1, K + 1)], [x[f"m{r}"] for r in range(1, K + 1)]
+            bare[runs] = not sum(x[f"n{r}"] for r in range(1, K + 1))
+        d = plan.d[n - 1]
+        weight = weights(sums, bare, d, below, plan.d[n - 2])
         seen, run = counts[g.place], g.run[g.place]
-        d = self.plan.d[n - 1]
         known = d[np.minimum(seen, K + 1).astype(np.int64)] * seen / (total[g.at] + bare[run])
         self.p[g.at] = np.where(seen > 0, known, weight[run] * self.p[g.at])
         self.seen, self.id, self.bare = np.zeros_like(self.seen), np.zeros_like(self.id), np.zeros_like(self.bare)
         self.seen[g.at], self.id[g.at], self.bare[g.at], self.total = seen, ids[g.place], bare[run], total
 
 
-GRAM_REQUEST = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary, lower binary, under binary"
-GRAM_TABLE = "bucket int, contexts binary, runs binary, words binary, counts binary, lower binary, under binary, n long, often array<long>, asks array<struct<chunk:long,places:binary>>"
+GRAM_REQUEST = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary, lower binary, hot binary"
+#: A bucket's grams (chunk null), and its answer to each chunk. `asked` are hot contexts in an answer.
+GRAM_TABLE = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary, lower binary, n long, often array<long>, ids binary, bare binary, used binary, small binary, under binary, asked array<long>, parts array<array<long>>"
 
 
 def gram_requests(n: int, plan: Plan) -> Callable:
@@ -472,70 +484,39 @@ def gram_requests(n: int, plan: Plan) -> Callable:
     return send
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's row of the gram table, with the places that each chunk asks for."""
-    for bucket, asked in by_bucket(batches).items():
-        runs = [spread(x["runs"]).astype(np.int64) for x in asked]
-        contexts = [spread_sorted(x["contexts"]) for x in asked]
-        every = np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)])
-        context, word, place = distinct_grams(every, np.concatenate([spread(x["words"]) for x in asked]))
-        counts = np.bincount(place, np.concatenate([spread(x["counts"]) for x in asked]), len(word)).astype(np.uint64)
-        lower = np.zeros(len(word), np.uint64)
-        lower[place] = np.concatenate([spread(x["lower"]) for x in asked])
-        first = starts_of(context)
-        under = np.zeros(len(first), np.uint64)
-        under[np.searchsorted(context[first], np.concatenate(contexts))] = np.concatenate([spread(x["under"]) for x in asked])
-        ends = np.cumsum([0, *(int(r.sum()) for r in runs)])
-        asks = [{"chunk": x["chunk"], "places": squeeze_sorted(place[a:b].astype(np.uint64))} for x, a, b in zip(asked, ends[:-1], ends[1:])]
-        row = (bucket, squeeze_sorted(context[first]), squeeze(np.diff(np.r_[first, len(word)])), squeeze(word), squeeze(counts), squeeze(lower), squeeze(under), len(word), _counts_of_counts(counts), asks)
-        yield _batch([row], GRAM_TABLE)
-
-
-HOT_SUMS = ", ".join(["bucket int", "context long", "total long", "used long", *(f"n{r} long" for r in range(1, K + 1)), *(f"m{r} long" for r in range(1, K + 1))])
-
-
-def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a bucket has of each hot context."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            hot = np.flatnonzero(spread(row["under"]) & np.uint64(2))
-            runs = spread(row["runs"]).astype(np.int64)
-            s = Sums.of(spread(row["counts"]), spread(row["lower"]), np.cumsum(runs) - runs)
-            context = spread_sorted(row["contexts"])[hot].astype(np.int64)
-            yield _batch([(row["bucket"], int(c), int(s.total[k]), int(s.used[k]), *s.small[k].tolist(), *s.under[k].tolist()) for c, k in zip(context, hot)], HOT_SUMS)
-
-
-GRAM_ANSWER = "chunk long, bucket int, counts binary, ids binary, bare binary, weights binary"
-
-
-def answer_grams(n: int, plan: Plan) -> Callable:
-    """Counts, numbers and back-off weights of the grams that each chunk asked for."""
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                counts, runs, under = spread(row["counts"]), spread(row["runs"]).astype(np.int64), spread(row["under"])
-                sums = Sums.of(counts, spread(row["lower"]), np.cumsum(runs) - runs)
-                contexts = spread_sorted(row["contexts"]) if row["hot"] else None
-                for x in row["hot"] or []:
-                    at = int(np.searchsorted(contexts, np.uint64(x["context"])))
-                    sums.total[at], sums.used[at] = x["total"], x["used"]
-                    sums.small[at], sums.under[at] = [x[f"n{r}"] for r in range(1, K + 1)], [x[f"m{r}"] for r in range(1, K + 1)]
-                lower_total = plan.words.total if n == 2 else ((under >> np.uint64(2)) + (under & np.uint64(1))).astype(np.int64)
-                bare, weight = weights(sums, plan.d[n - 1], lower_total, plan.d[n - 2])
-                run = np.repeat(np.arange(len(runs)), runs)
-                rows = []
-                for ask in row["asks"]:
-                    places = spread_sorted(ask["places"]).astype(np.int64)
-                    mine, of = counts[places], run[places]
-                    first = starts_of(of)
-                    need = np.logical_or.reduceat(mine == 0, first)
-                    ids = places[mine >= plan.least_of(n + 1)].astype(np.uint64) if n < plan.order else np.zeros(0, np.uint64)
-                    rows.append((ask["chunk"], row["bucket"], squeeze(mine), squeeze_sorted(ids), squeeze(bare[of[first]].astype(np.uint8)), squeeze(weight[of[first]][need])))
-                yield _batch(rows, GRAM_ANSWER)
-
-    return answer
+def count_grams(n: int, plan: Plan) -> Callable:
+    """A bucket's row of the gram table, and an answer to each chunk."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, asked in by_bucket(batches).items():
+            runs = [spread(x["runs"]).astype(np.int64) for x in asked]
+            contexts = [spread_sorted(x["contexts"]) for x in asked]
+            context, word, place = distinct_grams(np.concatenate([np.repeat(c, r) for c, r in zip(contexts, runs)]), np.concatenate([spread(x["words"]) for x in asked]))
+            counts = np.bincount(place, np.concatenate([spread(x["counts"]) for x in asked]), len(word)).astype(np.uint64)
+            lower = np.zeros(len(word), np.uint64)
+            lower[place] = np.concatenate([spread(x["lower"]) for x in asked])
+            first = starts_of(context)
+            own = context[first]
+            hot = np.zeros(len(first), bool)
+            hot[np.searchsorted(own, np.concatenate(contexts))] = np.concatenate([spread(x["hot"]) for x in asked])
+            run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(word)]))
+            sums = Sums.of(counts, lower, first)
+            bare = sums.small.sum(1) == 0
+            parts = np.c_[own[hot].astype(np.int64), sums.used[hot], sums.small[hot], sums.under[hot]].tolist()
+            none = (None,) * 7
+            yield _batch([(bucket, None, squeeze_sorted(own), squeeze(np.diff(np.r_[first, len(word)])), squeeze(word), squeeze(counts), squeeze(lower), len(word), _counts_of_counts(counts), *none[:6], parts)], GRAM_TABLE)
+            ends = np.cumsum([0, *(int(r.sum()) for r in runs)])
+            for x, a, b in zip(asked, ends[:-1], ends[1:]):
+                places = place[a:b]
+                mine, of = counts[places], run[places]
+                begin = starts_of(of)
+                mine_of = of[begin]
+                need = mine_of[np.logical_or.reduceat(mine == 0, begin)]
+                ids = places[mine >= plan.least_of(n + 1)].astype(np.uint64) if n < plan.order else np.zeros(0, np.uint64)
+                told = (squeeze_sorted(ids), squeeze(bare[mine_of].astype(np.uint8)), squeeze(sums.used[need]), squeeze(sums.small[need].T.ravel()), squeeze(sums.under[need].T.ravel()))
+                yield _batch([(bucket, x["chunk"], *none[:3], squeeze(mine), *none[:3], *told, own[mine_of][hot[mine_of]].astype(np.int64).tolist(), None)], GRAM_TABLE)
+
+    return count
 
 
 # ---- scores
@@ -563,13 +544,16 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def with_hot(grams: DataFrame) -> DataFrame:
-    """The gram table with `hot`, the whole sums of the hot contexts that a bucket has a part of."""
-    parts = stored(grams.select("bucket", "contexts", "runs", "counts", "lower", "under").mapInArrow(hot_sums, HOT_SUMS), "hot")
-    names = [x.split()[0] for x in HOT_SUMS.split(", ")][2:]
-    whole = parts.groupBy("context").agg(*[F.sum(x).alias(x) for x in names])
-    back = parts.select("bucket", "context").join(whole, "context").groupBy("bucket").agg(F.collect_list(F.struct("context", *names)).alias("hot"))
-    return grams.join(F.broadcast(back) if parts.count() <= BROADCAST_ROWS else back, "bucket", "left")
+HOT_SUMS = ["used", *(f"n{r}" for r in range(1, K + 1)), *(f"m{r}" for r in range(1, K + 1))]
+
+
+def hot_sums(level: DataFrame, n: int) -> DataFrame:
+    """(chunk, hn): the whole sums of the hot contexts that a chunk asked for, of which each bucket has a part."""
+    p = F.col("p")
+    parts = level.where("chunk IS NULL").select(F.explode("parts").alias("p")).groupBy(p[0].alias("context"))
+    whole = stored(parts.agg(*[F.sum(p[k]).alias(c) for k, c in enumerate(HOT_SUMS, 1)]), "hot")  # at most buckets / HOT_SHARE rows
+    asked = level.where("chunk IS NOT NULL").select("chunk", F.explode("asked").alias("context")).distinct()
+    return asked.join(bounded(whole), "context").groupBy("chunk").agg(F.collect_list(F.struct("context", *HOT_SUMS)).alias(f"h{n}"))
 
 
 def base_numbers(rows: list, buckets: int) -> np.ndarray:
@@ -587,16 +571,18 @@ def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", fold_of(F.col("doc_id")).alias("fold"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     chunk_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS, size * CHUNK_TOKENS // (CHUNK_BYTES * chunk_tokens))
-    chunks = stored_by_chunk(rows.mapInArrow(chunked(chunk_tokens), CHUNK_SCHEMA), chunk_buckets)
+    both, folder = stored_by_chunk(rows.mapInArrow(chunked(chunk_tokens), CHUNK_SCHEMA), chunk_buckets, kinds=True)
+    chunks = both.where(F.col("kind") == TOKENS)
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_learned", "n_docs_learned")]).first()
 
     buckets = max(LEAST_BUCKETS, -(-size["n_words"] // bucket_entries))
-    asked = chunks.select("chunk", "words", "counts").mapInArrow(word_requests(buckets), WORD_REQUEST)
+    asked = both.where(F.col("kind") == WORDS).select("chunk", "words", "counts").mapInArrow(word_requests(buckets), WORD_REQUEST)
     with workspace(spark):
         words = stored(asked.repartitionById(buckets, "bucket").mapInArrow(count_words, WORD_TABLE), "words")
         ones = words.where("chunk IS NULL").select("bucket", "n", "known", "often").collect()  # one row a bucket
         answers = words.where("chunk IS NOT NULL").select("chunk", "bucket", "numbers", "counts")
-        answers = stored_by_chunk(answers.repartition(chunk_buckets, "chunk"), chunk_buckets, outer=True)
+        answers, _ = stored_by_chunk(answers.repartition(chunk_buckets, "chunk"), chunk_buckets, outer=True)
+    Folders(spark).remove(f"{folder}/kind={WORDS}")
     often = np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int)
     unigrams = Unigrams.of(size["n_learned"], sum(r["known"] for r in ones), often)
     above = max(LEAST_BUCKETS, -(-size["n_tokens"] // bucket_entries))
@@ -606,17 +592,20 @@ def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_
         columns = [c for c in answers.columns if c != "chunk"]
         return answers.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(f"a{n}"))
 
-    answered = chunks.drop("counts", "n_words", "n_tokens", "n_learned", "n_docs_learned").join(listed(answers, 1), "chunk")
+    answered = chunks.select("chunk", "ids", "flags", "sizes", "places", "start").join(listed(answers, 1), "chunk")
     for n in range(2, order + 1):
         with workspace(spark):
             asked = answered.mapInArrow(gram_requests(n, plan), GRAM_REQUEST)
-            grams = stored(asked.repartitionById(above, "bucket").mapInArrow(count_grams, GRAM_TABLE), f"grams-{n}")
-            ones = grams.select("bucket", "n", "often").collect()  # one row a bucket
+            level = stored(asked.repartitionById(above, "bucket").mapInArrow(count_grams(n, plan), GRAM_TABLE), f"grams-{n}")
+            del asked
+            spark._jvm.System.gc()  # Spark removes the shuffle once nothing refers to it
+            ones = level.where("chunk IS NULL").select("bucket", "n", "often").collect()  # one row a bucket
             d = discounts(np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int))
             plan = plan._replace(bases=(*plan.bases, base_numbers(ones, above)), d=(*plan.d, d))
-            told = with_hot(grams).select("bucket", "contexts", "runs", "counts", "lower", "under", "asks", "hot")
-            answers = stored_by_chunk(told.mapInArrow(answer_grams(n, plan), GRAM_ANSWER).repartition(chunk_buckets, "chunk"), chunk_buckets, outer=True)
-        answered = answered.join(listed(answers, n), "chunk", "left")
+            hot = stored(hot_sums(level, n), f"hot-{n}", outer=True)
+            answers = level.where("chunk IS NOT NULL").select("chunk", "bucket", "counts", "ids", "bare", "used", "small", "under")
+            answers, _ = stored_by_chunk(answers.repartition(chunk_buckets, "chunk"), chunk_buckets, outer=True)
+        answered = answered.join(listed(answers, n), "chunk", "left").join(hot, "chunk", "left")
     return answered.mapInArrow(document_scores(plan), SCORE_SCHEMA)
 
 
