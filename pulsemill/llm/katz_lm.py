@@ -45,10 +45,10 @@ from .common import bounded, cleaned, owned, scratch_path, stored, table, text_b
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
-LEAST_CONTEXT = 1
+LEAST_CONTEXT = 2
 K = 5  # counts over K aren't discounted
-CHUNK_TOKENS = 3 << 18
-CHUNK_BYTES = 5_000_000  # about CHUNK_TOKENS of text, for the number of files only
+CHUNK_TOKENS = 1 << 19
+CHUNK_BYTES = 3_300_000  # about CHUNK_TOKENS of text, for the number of files only
 BUCKET_ENTRIES = 1 << 20
 LEAST_BUCKETS = 12
 HOT_SHARE = 0.25
