@@ -15,7 +15,7 @@ distinct grams of a chunk travel, so the commonest gram is one entry a chunk. A
 counts of grams, and for contexts of unseen grams the sums behind their back-off weight. All that is whole numbers. The
 chunk turns them into probabilities, token by token, and the recursion runs there, order by order. Grams are dealt by
 context; a context with over `HOT_SHARE` of a bucket's tokens is dealt by gram instead, and its sums are added over
-buckets and joined to the chunks that asked. Numbers of chunks and buckets follow the number of tokens, each bucket is a
+buckets (there are at most buckets / HOT_SHARE such contexts). Numbers of chunks and buckets follow the number of tokens, each bucket is a
 task of its own, and chunks and answers are stored bucketed by chunk number, so an answer moves once and is joined where it
 lies, however often it is read. A row a chunk and bucket travels, so with many of both, `chunk_tokens` and `bucket_entries`
 should grow with the root of the number of tokens (64 million each at 100 TB). All tables but the scores are removed, those
@@ -41,11 +41,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import Folders
-from .common import bounded, cleaned, owned, scratch_path, stored, table, text_bytes, workspace
+from .common import cleaned, owned, scratch_path, stored, table, text_bytes, workspace
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
-LEAST_CONTEXT = 2
+LEAST_CONTEXT = 1
 K = 5  # counts over K aren't discounted
 CHUNK_TOKENS = 1 << 19
 CHUNK_BYTES = 3_300_000  # about CHUNK_TOKENS of text, for the number of files only
@@ -362,6 +362,7 @@ class Plan(NamedTuple):
     buckets: int  # of each order from 2 on
     hot: float  # contexts of more tokens are dealt by gram
     bases: tuple[np.ndarray, ...]  # number of the first gram of each bucket
+    hot_sums: tuple[np.ndarray, ...]  # of each order, none for the first
     d: tuple[np.ndarray, ...]
 
     def least_of(self, n: int) -> int:
@@ -403,7 +404,7 @@ class Chunk:
         self.bare = np.zeros(len(places), np.uint8)
         for n in range(2, plan.order + 1):
             if f"a{n}" in row:
-                self._answer(n, row[f"a{n}"] or [], row[f"h{n}"] or [])
+                self._answer(n, row[f"a{n}"] or [])
 
     def grams(self, n: int) -> tuple[Grams, np.ndarray]:
         """Grams of order n, to be called when the order below is known; and the tokens after each token's context."""
@@ -440,7 +441,7 @@ class Chunk:
             rows.append((int(g.bucket[a]), self.number, squeeze_sorted(g.context[g.first[i:j]]), squeeze(runs[i:j]), squeeze(g.word[a:b]), squeeze(counts[a:b]), squeeze(lower[a:b]), squeeze(hot[i:j])))
         return _batch(rows, GRAM_REQUEST)
 
-    def _answer(self, n: int, answers: list[dict], hot: list[dict]) -> None:
+    def _answer(self, n: int, answers: list[dict]) -> None:
         g, total = self.grams(n)
         plan, told = self.plan, sorted(answers, key=lambda x: x["bucket"])
         join = lambda key: np.concatenate([spread(x[key]) for x in told]) if told else np.zeros(0, np.uint64)
@@ -456,11 +457,12 @@ class Chunk:
         table = lambda key: np.concatenate([spread(x[key]).reshape(K, -1) for x in told], axis=1).T.astype(np.int64) if told else np.zeros((0, K), np.int64)
         sums = Sums(after, np.zeros((len(after), K), np.int64), np.zeros(len(after), np.int64), np.zeros((len(after), K), np.int64))
         sums.used[need], sums.small[need], sums.under[need] = join("used"), table("small"), table("under")
-        of = g.context[g.first]
-        for x in hot:  # as each bucket has but a part of these
-            runs = of == np.uint64(x["context"])
-            sums.used[runs], sums.small[runs], sums.under[runs] = x["used"], [x[f"n{r}"] for r in range(1, K + 1)], [x[f"m{r}"] for r in range(1, K + 1)]
-            bare[runs] = not sum(x[f"n{r}"] for r in range(1, K + 1))
+        whole, of = plan.hot_sums[n - 1], g.context[g.first].astype(np.int64)
+        if len(whole):  # of the hot contexts each bucket has but a part
+            at = np.minimum(np.searchsorted(whole[:, 0], of), len(whole) - 1)
+            runs, at = np.flatnonzero(whole[at, 0] == of), at[whole[at, 0] == of]
+            sums.used[runs], sums.small[runs], sums.under[runs] = whole[at, 1], whole[at, 2 : 2 + K], whole[at, 2 + K :]
+            bare[runs] = whole[at, 2 : 2 + K].sum(1) == 0
         d = plan.d[n - 1]
         weight = weights(sums, bare, d, below, plan.d[n - 2])
         seen, run = counts[g.place], g.run[g.place]
@@ -471,8 +473,8 @@ class Chunk:
 
 
 GRAM_REQUEST = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary, lower binary, hot binary"
-#: A bucket's grams (chunk null), and its answer to each chunk. `asked` are hot contexts in an answer.
-GRAM_TABLE = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary, lower binary, n long, often array<long>, ids binary, bare binary, used binary, small binary, under binary, asked array<long>, parts array<array<long>>"
+#: A bucket's grams (chunk null), with its part of the sums of hot contexts, and its answer to each chunk.
+GRAM_TABLE = "bucket int, chunk long, contexts binary, runs binary, words binary, counts binary, lower binary, n long, often array<long>, ids binary, bare binary, used binary, small binary, under binary, parts array<array<long>>"
 
 
 def gram_requests(n: int, plan: Plan) -> Callable:
@@ -503,8 +505,8 @@ def count_grams(n: int, plan: Plan) -> Callable:
             sums = Sums.of(counts, lower, first)
             bare = sums.small.sum(1) == 0
             parts = np.c_[own[hot].astype(np.int64), sums.used[hot], sums.small[hot], sums.under[hot]].tolist()
-            none = (None,) * 7
-            yield _batch([(bucket, None, squeeze_sorted(own), squeeze(np.diff(np.r_[first, len(word)])), squeeze(word), squeeze(counts), squeeze(lower), len(word), _counts_of_counts(counts), *none[:6], parts)], GRAM_TABLE)
+            none = (None,) * 5
+            yield _batch([(bucket, None, squeeze_sorted(own), squeeze(np.diff(np.r_[first, len(word)])), squeeze(word), squeeze(counts), squeeze(lower), len(word), _counts_of_counts(counts), *none, parts)], GRAM_TABLE)
             ends = np.cumsum([0, *(int(r.sum()) for r in runs)])
             for x, a, b in zip(asked, ends[:-1], ends[1:]):
                 places = place[a:b]
@@ -514,7 +516,7 @@ def count_grams(n: int, plan: Plan) -> Callable:
                 need = mine_of[np.logical_or.reduceat(mine == 0, begin)]
                 ids = places[mine >= plan.least_of(n + 1)].astype(np.uint64) if n < plan.order else np.zeros(0, np.uint64)
                 told = (squeeze_sorted(ids), squeeze(bare[mine_of].astype(np.uint8)), squeeze(sums.used[need]), squeeze(sums.small[need].T.ravel()), squeeze(sums.under[need].T.ravel()))
-                yield _batch([(bucket, x["chunk"], *none[:3], squeeze(mine), *none[:3], *told, own[mine_of][hot[mine_of]].astype(np.int64).tolist(), None)], GRAM_TABLE)
+                yield _batch([(bucket, x["chunk"], *none[:3], squeeze(mine), *none[:3], *told, None)], GRAM_TABLE)
 
     return count
 
@@ -547,13 +549,12 @@ def fold_of(doc_id: Column) -> Column:
 HOT_SUMS = ["used", *(f"n{r}" for r in range(1, K + 1)), *(f"m{r}" for r in range(1, K + 1))]
 
 
-def hot_sums(level: DataFrame, n: int) -> DataFrame:
-    """(chunk, hn): the whole sums of the hot contexts that a chunk asked for, of which each bucket has a part."""
+def hot_sums(level: DataFrame) -> np.ndarray:
+    """Rows of context and HOT_SUMS, by context: the whole sums of the hot contexts, of which each bucket has a part."""
     p = F.col("p")
     parts = level.where("chunk IS NULL").select(F.explode("parts").alias("p")).groupBy(p[0].alias("context"))
-    whole = stored(parts.agg(*[F.sum(p[k]).alias(c) for k, c in enumerate(HOT_SUMS, 1)]), "hot")  # at most buckets / HOT_SHARE rows
-    asked = level.where("chunk IS NOT NULL").select("chunk", F.explode("asked").alias("context")).distinct()
-    return asked.join(bounded(whole), "context").groupBy("chunk").agg(F.collect_list(F.struct("context", *HOT_SUMS)).alias(f"h{n}"))
+    rows = parts.agg(*[F.sum(p[k]).alias(c) for k, c in enumerate(HOT_SUMS, 1)]).collect()  # at most buckets / HOT_SHARE
+    return np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, len(HOT_SUMS) + 1)
 
 
 def base_numbers(rows: list, buckets: int) -> np.ndarray:
@@ -586,7 +587,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_
     often = np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int)
     unigrams = Unigrams.of(size["n_learned"], sum(r["known"] for r in ones), often)
     above = max(LEAST_BUCKETS, -(-size["n_tokens"] // bucket_entries))
-    plan = Plan(unigrams, size["n_docs_learned"], order, least_context, above, max(1000.0, hot_share * size["n_learned"] / above), (base_numbers(ones, buckets),), (unigrams.discount,))
+    plan = Plan(unigrams, size["n_docs_learned"], order, least_context, above, max(1000.0, hot_share * size["n_learned"] / above), (base_numbers(ones, buckets),), (np.zeros((0, len(HOT_SUMS) + 1), np.int64),), (unigrams.discount,))
 
     def listed(answers: DataFrame, n: int) -> DataFrame:
         columns = [c for c in answers.columns if c != "chunk"]
@@ -601,11 +602,10 @@ def katz_scores(docs: DataFrame, order: int = ORDER, least_context: int = LEAST_
             spark._jvm.System.gc()  # Spark removes the shuffle once nothing refers to it
             ones = level.where("chunk IS NULL").select("bucket", "n", "often").collect()  # one row a bucket
             d = discounts(np.sum([r["often"] for r in ones], axis=0) if ones else np.zeros(K + 2, int))
-            plan = plan._replace(bases=(*plan.bases, base_numbers(ones, above)), d=(*plan.d, d))
-            hot = stored(hot_sums(level, n), f"hot-{n}", outer=True)
+            plan = plan._replace(bases=(*plan.bases, base_numbers(ones, above)), hot_sums=(*plan.hot_sums, hot_sums(level)), d=(*plan.d, d))
             answers = level.where("chunk IS NOT NULL").select("chunk", "bucket", "counts", "ids", "bare", "used", "small", "under")
             answers, _ = stored_by_chunk(answers.repartition(chunk_buckets, "chunk"), chunk_buckets, outer=True)
-        answered = answered.join(listed(answers, n), "chunk", "left").join(hot, "chunk", "left")
+        answered = answered.join(listed(answers, n), "chunk", "left")
     return answered.mapInArrow(document_scores(plan), SCORE_SCHEMA)
 
 
