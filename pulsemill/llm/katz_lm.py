@@ -44,7 +44,7 @@ from ..sources.files import Folders
 from .common import cleaned, owned, scratch_path, stored, table, text_bytes, workspace
 
 FOLDS, HELD_OUT = 7, 2
-ORDER = 3
+ORDER = 2
 LEAST_CONTEXT = 1
 K = 5  # counts over K aren't discounted
 CHUNK_TOKENS = 1 << 19

@@ -15,7 +15,7 @@ START = "<start>"
 class Plain:
     """The model of any order with dictionaries, by the definition: no layout, no sums but over all words."""
 
-    def __init__(self, rows, order=3, least=1):
+    def __init__(self, rows, order=kl.ORDER, least=1):
         self.order, self.least = order, least
         count = [None] + [collections.Counter() for _ in range(order)]  # by order: (context, word)
         for d, t in rows:
@@ -70,7 +70,7 @@ class Plain:
         return held, len(w), sum(x in self.one for x in w), self.n, base, score
 
 
-def compare(got, rows, order=3, least=1):
+def compare(got, rows, order=kl.ORDER, least=1):
     model = Plain(rows, order, least)
     assert len(got) == len(rows)
     want = sorted(([d, *model.row(d, t)] for d, t in rows), key=str)
