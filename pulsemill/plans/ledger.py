@@ -78,7 +78,7 @@ def enqueued(queue: DataFrame, found: DataFrame, now: dt.datetime) -> DataFrame:
 
 
 def reclaimed(queue: DataFrame, now: dt.datetime, stale_seconds: float) -> DataFrame:
-    """RUNNING rows that nobody has touched for `stale_seconds` are queued again."""
+    """RUNNING rows that nobody has touched for `stale_seconds` are queued again; only failures count as attempts."""
     stale = (F.col("status") == RUNNING) & (F.col("updated_ts") < at(naive(now) - dt.timedelta(seconds=stale_seconds)))
     return queue.withColumns({"status": F.when(stale, QUEUED).otherwise(F.col("status")), "next_retry_ts": F.when(stale, at(naive(now))).otherwise(F.col("next_retry_ts"))})
 
@@ -102,14 +102,16 @@ def _marked(queue: DataFrame, paths: list[str], values: dict) -> DataFrame:
 
 
 def running(queue: DataFrame, paths: list[str], run_id: str, now: dt.datetime) -> DataFrame:
-    return _marked(queue, paths, {"status": F.lit(RUNNING), "attempts": F.coalesce("attempts", F.lit(0)) + 1, "last_run_id": F.lit(run_id), "updated_ts": at(naive(now))})
+    return _marked(queue, paths, {"status": F.lit(RUNNING), "last_run_id": F.lit(run_id), "updated_ts": at(naive(now))})
 
 
-def succeeded(queue: DataFrame, paths: list[str], now: dt.datetime) -> DataFrame:
-    return _marked(queue, paths, {"status": F.lit(SUCCESS), "last_error": F.lit(None).cast("string"), "updated_ts": at(naive(now))})
+def succeeded(queue: DataFrame, paths: list[str], run_id: str, now: dt.datetime) -> DataFrame:
+    return _marked(queue, paths, {"status": F.lit(SUCCESS), "last_error": F.lit(None).cast("string"), "last_run_id": F.lit(run_id), "updated_ts": at(naive(now))})
 
 
-def failed(queue: DataFrame, paths: list[str], error: str, delay_seconds: float, now: dt.datetime) -> DataFrame:
-    """FAILED, to be tried again after a delay that doubles with each attempt, up to 64 times the first."""
-    wait = F.make_dt_interval(secs=retry_delay(delay_seconds, F.col("attempts")))
-    return _marked(queue, paths, {"status": F.lit(FAILED), "last_error": F.lit(error[:2000]), "next_retry_ts": at(naive(now)) + wait, "updated_ts": at(naive(now))})
+def failed(queue: DataFrame, paths: list[str], run_id: str, error: str, delay_seconds: float, now: dt.datetime) -> DataFrame:
+    """FAILED with one more attempt, to be tried again after a delay that doubles with each, up to 64 times the first."""
+    attempts = F.coalesce("attempts", F.lit(0)) + 1
+    wait = F.make_dt_interval(secs=retry_delay(delay_seconds, attempts))
+    values = {"status": F.lit(FAILED), "attempts": attempts, "last_error": F.lit(error[:2000]), "last_run_id": F.lit(run_id)}
+    return _marked(queue, paths, values | {"next_retry_ts": at(naive(now)) + wait, "updated_ts": at(naive(now))})

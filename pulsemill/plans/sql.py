@@ -1,8 +1,10 @@
-"""SQL over a store: its tables as views under their own names, and the spectrum functions."""
+"""SQL over a store: its tables as views under their own names, the spectrum functions, and SQL files with parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import spectrum_magnitude
 from .store import Store
@@ -24,3 +26,36 @@ def register_views(store: Store) -> None:
         parts = [f"SELECT {columns} FROM parquet.`{store.root}/{e['path']}`" for e in state.get(name, [])]
         empty = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
         spark.sql(f"CREATE OR REPLACE VIEW {name} AS " + (" UNION ALL ".join(parts) or f"SELECT {empty} WHERE false"))
+
+
+#: Quoted texts, quoted names and comments, within which a semicolon or a colon means nothing.
+_QUOTED = r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
+
+
+def statements(text: str) -> list[str]:
+    """The statements of a SQL text, divided by semicolons; empty ones and comments alone are left out."""
+    parts = [""]
+    for piece in re.findall(rf"{_QUOTED}|;|[^;'\"`/-]+|[/-]", text, re.S):
+        if piece == ";":
+            parts.append("")
+        else:
+            parts[-1] += piece
+    return [p.strip() for p in parts if re.sub(r"--[^\n]*|/\*.*?\*/", "", p, flags=re.S).strip()]
+
+
+def run_sql(spark: SparkSession, text: str, params: dict[str, object] | None = None) -> DataFrame | None:
+    """Run the statements of a text one after another; the result of the last.
+
+    `:name` in them is a parameter of the engine, so a value is a value whatever it holds, and a name without one is an
+    error. A list is an array: `explode(:files)`.
+    """
+    out = None
+    for statement in statements(text):
+        names = set(re.findall(r"(?<![:\w]):([A-Za-z_]\w*)", re.sub(_QUOTED, " ", statement, flags=re.S)))
+        out = spark.sql(statement, args={k: v for k, v in (params or {}).items() if k in names})
+    return out
+
+
+def run_sql_file(spark: SparkSession, path: str, params: dict[str, object] | None = None) -> DataFrame | None:
+    with open(path, encoding="utf-8") as lines:
+        return run_sql(spark, lines.read(), params)

@@ -44,10 +44,10 @@ def work(spark: SparkSession, config: dict[str, str], env: str = "dev", now: flo
         except Exception as e:
             broken = True
             with store.begin() as tx:
-                tx.replace(QUEUE, ledger.failed(tx.read(QUEUE), names, str(e), float(config.get("worker_retry_delay_seconds", 120)), utc_now()))
+                tx.replace(QUEUE, ledger.failed(tx.read(QUEUE), names, run_id, str(e), float(config.get("worker_retry_delay_seconds", 120)), utc_now()))
         else:
             with store.begin() as tx:
-                tx.replace(QUEUE, ledger.succeeded(tx.read(QUEUE), names, utc_now()))
+                tx.replace(QUEUE, ledger.succeeded(tx.read(QUEUE), names, run_id, utc_now()))
     return int(broken)
 
 

@@ -1,23 +1,29 @@
 """Driver queries over the sensor models, and the same results in DuckDB SQL.
 
 The test data hold no sensor table, so `events` stands for one: time, location = type and user modulo 3, x = value,
-y = user, z = event modulo 100, and even and odd events are two batches whose hours overlap.
+y = user, z = event modulo 100, and even and odd events are two batches whose hours overlap. Queries over files land
+events as messages first, in a folder of their own below the shared one. What a query needs of the helper and the
+dimension is written once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import shutil
-import tempfile
+import time
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import megabytes, parent_path, retry_delay
 from .operators import models
-from .plans import ledger
+from .plans import ledger, pipeline, sql
 from .plans.store import Store
 from .schemas import FACT, HOURLY, LOCATION_DIM, LOCATION_HLP
+from .session import scratch_root
+from .sources import files, landing
 from .streaming import live
 
 NOW = dt.datetime(2026, 1, 1)
@@ -43,15 +49,34 @@ def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; it goes when the driver ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{folder(df.sparkSession, name)}/table"
+    df.coalesce(1).write.parquet(path)  # a row a location
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def helper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of both batches: the first names only the locations that begin before s, the second the rest."""
-    first = models.new_locations(staging(spark, sf_dir).where("location < 's'"), empty(spark, LOCATION_HLP), "0", NOW).persist()
+    first = written(models.new_locations(staging(spark, sf_dir).where("location < 's'"), empty(spark, LOCATION_HLP), "0", NOW), "helper")
     return first.unionByName(models.new_locations(staging(spark, sf_dir, 1), first, "1", NOW))
 
 
 def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a location, kept in memory, as it is joined several times; in the store it is a table of its own."""
-    return models.dimension_step(empty(spark, LOCATION_DIM), helper(spark, sf_dir), "0", NOW).coalesce(1).persist()
+    return dimension_of(spark, helper(spark, sf_dir))
+
+
+def dimension_of(spark: SparkSession, names: DataFrame) -> DataFrame:
+    return written(models.dimension_step(empty(spark, LOCATION_DIM), names, "0", NOW), "dimension")
 
 
 def fact(spark: SparkSession, sf_dir: str, batch: int | None = None, dim: DataFrame | None = None) -> DataFrame:
@@ -69,8 +94,9 @@ def new_location_keys(spark, sf_dir):
 
 def scd2_expire_insert(spark, sf_dir):
     """Every third location's city is edited in the helper between two batches."""
-    edited = helper(spark, sf_dir).withColumn("city", F.when(F.col("location_key") % 3 == 0, F.concat("city", F.lit("-2"))).otherwise(F.col("city")))
-    out = models.dimension_step(dimension(spark, sf_dir), edited, "1", LATER)
+    names = written(helper(spark, sf_dir), "helper")
+    edited = names.withColumn("city", F.when(F.col("location_key") % 3 == 0, F.concat("city", F.lit("-2"))).otherwise(F.col("city")))
+    out = models.dimension_step(dimension_of(spark, names), edited, "1", LATER)
     return out.select("location_key", "location_name", "city", "country", "is_current", "valid_from", "valid_to", "oper", "batch_id")
 
 
@@ -175,7 +201,7 @@ def stream_hourly(spark, sf_dir):
 
     The files lie under the shared checkpoint folder; their order is by modification time, so the first is written first.
     """
-    root, dim = stream_root(spark), dimension(spark, sf_dir)
+    root, dim = folder(spark, "stream"), dimension(spark, sf_dir)
     for batch in (0, 1):
         fact(spark, sf_dir, batch, dim).coalesce(1).write.mode("append").parquet(f"{root}/facts")
     store = Store(spark, f"{root}/store")
@@ -186,21 +212,114 @@ def stream_hourly(spark, sf_dir):
     return store.read("marts.accel_hourly_summary").select(HOURLY_COLUMNS).drop("batch_id")
 
 
-def stream_root(spark: SparkSession) -> str:
-    import atexit
-    import uuid
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as the JSON message of a sensor, with its type and batch; whole numbers come as such."""
+    e = events(spark, sf_dir)
+    body = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.concat("event_type", F.lit("_"), F.col("user_id") % 3).alias("location"),
+        F.col("value").alias("x"), F.col("user_id").alias("y"), (F.col("event_id") % 100).alias("z"), F.col("event_id").alias("more"),
+    )
+    return e.select("event_type", "ts", (F.col("event_id") % 2).alias("batch"), F.to_json(body).alias("value"))
+
+
+def landed_by_type(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a flush of messages for each event type, named by the type's first second."""
+    root, rows = folder(spark, "raw"), messages(spark, sf_dir)
+    for r in rows.groupBy("event_type").agg(F.min("ts").alias("first")).orderBy("first").collect():  # five types
+        landing.land(landing.decoded(rows.where(F.col("event_type") == r["event_type"])), root, r["first"])
+    return root
+
+
+def landed_messages(spark, sf_dir):
+    """What was landed, read back through discovery: rows and sums by file."""
+    root, out = landed_by_type(spark, sf_dir), []
+    for k, f in enumerate(files.raw_files(spark, root)):  # five files
+        rows = files.read_raw(spark, [f.path])
+        out.append(rows.agg(F.lit(f.path.removeprefix(files.plain(root))).alias("path"), F.lit(k).cast("long").alias("place"), F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("location").alias("last_location"), F.round(F.sum("x"), 2).alias("x"), F.sum("y").alias("y")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def ready_chunks(spark, sf_dir):
+    """Folders, those ready by marker and age, and the files under them in chunks of two; one folder has no marker, and none is ready at once."""
+    root = landed_by_type(spark, sf_dir)
+    below = lambda p: p.removeprefix(files.plain(root)) or "/"
+    files.Folders(spark).remove(f"{files.parent(files.raw_files(spark, root)[1].path)}/_READY")
+    now = time.time()
+    ready = files.ready_folders(spark, root, settle_seconds=60, now=now + 3600)
+    rows = [("folder", below(p), 0) for p in files.raw_folders(spark, root)] + [("ready", below(p), 0) for p in ready]
+    rows += [("too fresh", below(p), 0) for p in files.ready_folders(spark, root, settle_seconds=3600, now=now)]
+    for k, chunk in enumerate(files.chunks(files.files_in(spark, [*ready, *ready]), 2)):
+        rows += [("file", below(f.path), k) for f in chunk]
+    return spark.createDataFrame(rows, "kind string, path string, chunk long")
+
+
+def land_batches(spark: SparkSession, sf_dir: str) -> str:
+    """Both batches as a landed file each."""
+    root, rows = folder(spark, "raw"), messages(spark, sf_dir)
+    for batch in (0, 1):
+        landing.land(landing.decoded(rows.where(F.col("batch") == batch)), root, NOW + dt.timedelta(seconds=30 * batch))
+    return root
+
+
+def batch_run_steps(spark, sf_dir):
+    """The batch runner over two landed files, one a batch: rows that each step added, from the step metrics, and the ledger."""
+    root, lake = land_batches(spark, sf_dir), folder(spark, "lake")
+    pipeline.run(spark, {"data_path": root, "catalog_path": lake, "max_files_per_batch": "1"})
+    store = Store(spark, lake)
+    starts = store.read(pipeline.BENCHMARK).withColumn("batch_start", F.min("start_ts").over(Window.partitionBy("batch_id")))
+    order = F.dense_rank().over(Window.orderBy("batch_start")) - 1  # of twelve steps
+    done = store.read(pipeline.CDC).groupBy("batch_id").agg(F.count("*").alias("done_files"), F.min("status").alias("ledger_status"))
+    return starts.withColumn("batch", order.cast("long")).join(done, "batch_id").select("batch", "step_name", "target_table", "data_ingested_rows", "status", "done_files", "ledger_status")
+
+
+def stream_models(spark, sf_dir):
+    """All models over a stream of the two landed files: the spectrum mart, where a minute's last batch stays."""
+    root, lake = land_batches(spark, sf_dir), folder(spark, "lake")
+    store = Store(spark, lake)
+    live.start(spark, root, store, f"{lake}/checkpoint", {}, 1).awaitTermination()
+    mart = store.read("marts.accel_fft_mart").join(store.read("curated.location_dim").select("location_key", "location_name"), "location_key")
+    return mart.select("window_ts", "location_name", F.col("sample_count").cast("long").alias("sample_count"), F.size("freq_hz").cast("long").alias("bins"), (F.round(F.element_at("fft_magnitude", 1), 3) + 0.0).alias("total"), F.regexp_replace("batch_id", "stream-", "").alias("batch"))
+
+
+def queue_run(spark, sf_dir):
+    """A worker's run: of the due jobs in ready folders half fail and half succeed; the whole queue after it."""
+    queue, now = job_queue(spark, sf_dir), dt.datetime(2024, 1, 20)
+    folders = [r["folder_path"] for r in queue.where("file_size_bytes % 3 = 0").select("folder_path").collect()]
+    paths = [r["file_path"] for r in ledger.due(queue, now, 200, 10, folders).collect()]  # at most 200
+    queue = ledger.running(queue, paths, "run-2", now)
+    queue = ledger.succeeded(queue, paths[::2], "run-2", LATER)
+    queue = ledger.failed(queue, paths[1::2], "run-2", "no " * 1000, 120, LATER)
+    return queue.select("file_path", "status", "attempts", "next_retry_ts", F.coalesce(F.length("last_error"), F.lit(0)).cast("long").alias("error_length"), "last_run_id", "updated_ts")
+
+
+SQL_MODEL = """
+CREATE OR REPLACE TEMPORARY VIEW listed AS SELECT explode(:kinds) AS event_type; -- parameters; not text
+SELECT event_type, count(*) AS n, ':kinds; ''quoted'' text' AS note FROM template_events JOIN listed USING (event_type) WHERE value >= :least GROUP BY event_type;
+"""
+
+
+def sql_model(spark, sf_dir):
+    """A model written as SQL statements with parameters."""
+    events(spark, sf_dir).createOrReplaceTempView("template_events")
+    return sql.run_sql(spark, SQL_MODEL, {"kinds": ["click", "view", "it's; none"], "least": 10.0, "unused": 1})
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    own = tempfile.mkdtemp(prefix="pulsemill-stream-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
 
+def spectrum_functions(spark, sf_dir):
+    """The spectrum functions as SQL has them, by user."""
+    sql.register_functions(spark)
+    events(spark, sf_dir).where("user_id % 10 = 0").createOrReplaceTempView("spectrum_events")
+    lists = "SELECT user_id, transform(array_sort(collect_list(struct(event_id, value))), r -> r.value) AS v FROM spectrum_events GROUP BY user_id"
+    found = spark.sql(f"SELECT user_id, size(v) AS n, size(fft_magnitude(v)) AS bins, round(fft_magnitude(v)[0], 3) + 0.0 AS total, round(array_max(fft_freqs(v, 100.0D)), 6) AS top FROM ({lists})")
+    return found.select("user_id", F.col("n").cast("long").alias("n"), F.col("bins").cast("long").alias("bins"), "total", "top")
 
-QUERIES = {f.__name__: f for f in (hourly_summary_merged, staging_projection, new_location_keys, scd2_expire_insert, fact_key_lookup, hourly_summary, spectrum_daily, spectrum_merged_last_batch, cdc_unprocessed, cdc_unprocessed_folders, batch_row_delta, queue_merge_changed, queue_due_topk, benchmark_failed_steps, stream_hourly)}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        hourly_summary_merged, staging_projection, new_location_keys, scd2_expire_insert, fact_key_lookup, hourly_summary, spectrum_daily, spectrum_merged_last_batch, cdc_unprocessed, cdc_unprocessed_folders,
+        batch_row_delta, queue_merge_changed, queue_due_topk, queue_run, benchmark_failed_steps, stream_hourly, landed_messages, ready_chunks, batch_run_steps, stream_models, sql_model, spectrum_functions,
+    )
+}
 
 # ---- SQL
 
@@ -241,6 +360,10 @@ SELECT window_ts, location_key, n AS sample_count, CAST(batch AS VARCHAR) AS bat
 _FILES = "files AS (SELECT '/raw/' || strftime(ts, '%Y%m%d') || '/' || user_id || '/' || (event_id % 1000) || '.parquet' AS raw_file, event_id * 7919 % 5000000 AS file_size_bytes, CAST(event_id % 2 AS VARCHAR) AS batch_id, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status, ts AS ins_tmstmp FROM events)"
 _QUEUE = "queue AS (SELECT '/raw/' || event_id || '/data.parquet' AS file_path, event_id % 977 AS file_size_bytes, event_id % 31 AS file_mtime_ns, ['QUEUED', 'RUNNING', 'SUCCESS', 'FAILED'][event_id % 4 + 1] AS status, CAST(user_id % 12 AS INTEGER) AS attempts, CASE WHEN event_id % 5 > 0 THEN ts END AS next_retry_ts, ts AS updated_ts FROM events)"
 
+_LANDED = """
+landed AS (SELECT '/' || strftime(min(ts), '%Y%m%d') || '/' || strftime(min(ts), '%H%M%S') AS path, count(*) AS n, min(ts) AS first, max(event_type || '_' || (user_id % 3)) AS last_location, round(sum(value), 2) AS x, CAST(sum(user_id) AS DOUBLE) AS y FROM events GROUP BY event_type)
+"""
+
 ORACLE_SQL = {
     "staging_projection": f"WITH {_READINGS} SELECT timestamp, location, x, y, z, magnitude, '0' AS batch_id FROM readings",
     "new_location_keys": f"WITH {_READINGS} SELECT * FROM helper",
@@ -270,5 +393,38 @@ SELECT coalesce(t.file_path, s.file_path) AS file_path, coalesce(s.new_size, t.f
   CASE WHEN t.file_path IS NOT NULL THEN 'run' END AS last_run_id, coalesce(t.updated_ts, s.updated_ts) AS created_ts
 FROM t FULL JOIN s ON t.file_path = s.file_path""",
     "queue_due_topk": f"WITH {_QUEUE} SELECT file_path, status, attempts, updated_ts, 120 * pow(2.0, least(attempts - 1, 6)) AS delay_seconds FROM queue WHERE status IN ('QUEUED', 'FAILED') AND attempts < 10 AND coalesce(next_retry_ts, TIMESTAMP '2024-01-20') <= TIMESTAMP '2024-01-20' ORDER BY updated_ts, file_path LIMIT 100",
-    "benchmark_failed_steps": f"WITH {_FILES} SELECT raw_file, batch_id, status, file_size_bytes AS data_ingested_bytes, ins_tmstmp, round(file_size_bytes / 1024.0::DOUBLE / 1024.0::DOUBLE, 2) AS data_ingested_mb FROM files WHERE status = 'FAILED'",
+    "benchmark_failed_steps": f"WITH {_FILES} SELECT raw_file, batch_id, status, file_size_bytes AS data_ingested_bytes, ins_tmstmp, round(file_size_bytes / 1024.0::DOUBLE / 1024.0::DOUBLE, 2) AS data_ingested_mb FROM files WHERE status = 'FAILED' ORDER BY ins_tmstmp DESC",
+    "queue_run": f"""WITH {_QUEUE},
+due AS (SELECT file_path, row_number() OVER (ORDER BY updated_ts, file_path) AS k FROM queue WHERE file_size_bytes % 3 = 0 AND status IN ('QUEUED', 'FAILED') AND attempts < 10 AND coalesce(next_retry_ts, TIMESTAMP '2024-01-20') <= TIMESTAMP '2024-01-20'),
+run AS (SELECT q.*, k FROM queue q LEFT JOIN (SELECT * FROM due WHERE k <= 200) USING (file_path))
+SELECT file_path, CASE WHEN k IS NULL THEN status WHEN k % 2 = 1 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  CAST(CASE WHEN k % 2 = 0 THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts,
+  CASE WHEN k % 2 = 0 THEN TIMESTAMP '2026-01-02' + to_seconds(120 * CAST(pow(2, least(attempts, 6)) AS BIGINT)) ELSE next_retry_ts END AS next_retry_ts,
+  CAST(CASE WHEN k IS NULL THEN 8 WHEN k % 2 = 0 THEN 2000 ELSE 0 END AS BIGINT) AS error_length, CASE WHEN k IS NULL THEN 'run' ELSE 'run-2' END AS last_run_id,
+  CASE WHEN k IS NULL THEN updated_ts WHEN k % 2 = 0 OR k % 2 = 1 THEN TIMESTAMP '2026-01-02' END AS updated_ts
+FROM run""",
+    "landed_messages": f"""WITH {_LANDED}
+SELECT path || '/data.parquet' AS path, row_number() OVER (ORDER BY path) - 1 AS place, n, first, last_location, x, y FROM landed""",
+    "ready_chunks": f"""WITH {_LANDED},
+placed AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM landed),
+ready AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS k FROM placed WHERE place <> 1)
+SELECT 'folder' AS kind, path, CAST(0 AS BIGINT) AS chunk FROM (SELECT '/' AS path UNION SELECT path[:9] FROM landed UNION SELECT path FROM landed)
+UNION ALL SELECT 'ready', path, 0 FROM ready UNION ALL SELECT 'file', path || '/data.parquet', k // 2 FROM ready""",
+    "batch_run_steps": f"""WITH {_READINGS},
+own AS (SELECT batch, count(*) AS n, count(DISTINCT (date_trunc('hour', timestamp), location)) AS hours, count(DISTINCT (date_trunc('minute', timestamp), location)) AS minutes FROM readings GROUP BY batch),
+fresh AS (SELECT batch, count(*) AS n FROM (SELECT location, min(batch) AS batch FROM readings GROUP BY location) GROUP BY batch),
+steps AS (
+  SELECT batch, '1_staging' AS step_name, 'staging.stg_accelerometer' AS target_table, n FROM own
+  UNION ALL SELECT batch, '2_location_helper', 'curated.location_hlp', coalesce(f.n, 0) FROM own LEFT JOIN fresh f USING (batch)
+  UNION ALL SELECT batch, '3_location_dim', 'curated.location_dim', coalesce(f.n, 0) FROM own LEFT JOIN fresh f USING (batch)
+  UNION ALL SELECT batch, '3_fact', 'curated.fact_accelerometer', n FROM own
+  UNION ALL SELECT batch, '4_hourly_summary', 'marts.accel_hourly_summary', hours FROM own
+  UNION ALL SELECT batch, '5_spectrum', 'marts.accel_fft_mart', minutes FROM own)
+SELECT batch, step_name, target_table, n AS data_ingested_rows, 'SUCCESS' AS status, CAST(1 AS BIGINT) AS done_files, 'SUCCESS' AS ledger_status FROM steps""",
+    "stream_models": f"""WITH {_READINGS},
+minutes AS (SELECT date_trunc('minute', timestamp)::TIMESTAMP AS window_ts, location AS location_name, batch, count(*) AS sample_count, round(sum(magnitude), 3) + 0.0 AS total FROM readings GROUP BY ALL),
+last AS (SELECT * FROM minutes QUALIFY batch = max(batch) OVER (PARTITION BY window_ts, location_name))
+SELECT window_ts, location_name, sample_count, sample_count // 2 + 1 AS bins, total, CAST(batch AS VARCHAR) AS batch FROM last""",
+    "sql_model": "SELECT event_type, count(*) AS n, ':kinds; ''quoted'' text' AS note FROM events WHERE event_type IN ('click', 'view') AND value >= 10 GROUP BY event_type",
+    "spectrum_functions": "SELECT user_id, count(*) AS n, count(*) // 2 + 1 AS bins, round(abs(sum(value)), 3) + 0.0 AS total, round(CAST((count(*) // 2) AS DOUBLE) * 100 / count(*), 6) AS top FROM events WHERE user_id % 10 = 0 GROUP BY user_id",
 }

@@ -38,7 +38,7 @@ def test_worker_command(spark, project, capsys):
         assert worker.main(["dev", "--lock-file", lock]) == 0 and "another" in capsys.readouterr().out
     assert worker.main(["dev", "--lock-file", lock]) == 0
     queue = Store(spark, f"{project}/lake").read(worker.QUEUE).collect()
-    assert len(queue) == 2 and {r.status for r in queue} == {"SUCCESS"} and {r.attempts for r in queue} == {1}
+    assert len(queue) == 2 and {r.status for r in queue} == {"SUCCESS"} and {r.attempts for r in queue} == {0}
 
 
 def test_metrics_row(spark, project):

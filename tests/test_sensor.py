@@ -269,8 +269,10 @@ def test_queue(spark):
     q = make(queue_row())
     for attempt, wait in ((1, 120), (2, 240), (3, 480)):
         q = ledger.running(q, ["/r/a/data.parquet"], "r", LATER)
-        q = ledger.failed(q, ["/r/a/data.parquet"], "x" * 3000, 120, LATER)
+        assert q.first().attempts == attempt - 1  # as only a failure counts
+        q = ledger.failed(q, ["/r/a/data.parquet"], "r2", "x" * 3000, 120, LATER)
         row = q.first()
+        assert row.last_run_id == "r2"
         assert row.attempts == attempt and row.next_retry_ts == LATER + dt.timedelta(seconds=wait) and len(row.last_error) == 2000
     assert ledger.reclaimed(make(queue_row(status="RUNNING")), LATER, 60).first().status == "QUEUED"
     assert ledger.reclaimed(make(queue_row(status="RUNNING", updated=LATER)), LATER, 60).first().status == "RUNNING"
@@ -331,3 +333,12 @@ def test_sql_over_a_store(spark, lake):
     assert spark.sql("SELECT count(*) FROM staging.realtime_job_queue").first()[0] == 0
     row = spark.sql("SELECT fft_magnitude(collect_list(x)) AS m, fft_freqs(collect_list(x), 100.0D) AS f FROM curated.fact_accelerometer").first()
     assert len(row.m) == len(row.f) == 16 and row.f[1] == 100.0 / 30
+
+
+def test_sql_statements_and_parameters(spark, tmp_path):
+    assert sql.statements("a; b -- c; d\n;;/* e; */ 'f;''g' \"h;\" `i;`") == ["a", "b -- c; d", "/* e; */ 'f;''g' \"h;\" `i;`"]
+    (tmp_path / "m.sql").write_text("SELECT 1;\nSELECT CAST(:v AS INT) AS v, ':v' AS t, '10:30'::STRING AS c -- :none\n")
+    assert tuple(sql.run_sql_file(spark, f"{tmp_path}/m.sql", {"v": "7", "w": 1}).first()) == (7, ":v", "10:30")
+    assert sql.run_sql(spark, " ; -- nothing\n") is None
+    with pytest.raises(Exception, match="missing"):
+        sql.run_sql(spark, "SELECT :missing")
