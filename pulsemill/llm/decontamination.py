@@ -52,7 +52,8 @@ def postings(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]
     spark = docs.sparkSession
     whole = F.xxhash64(F.lit(WHOLE))
     terms = window_terms(windows).select("term").union(spark.range(1).select(whole.alias("term"))).distinct()
-    split = docs.select("doc_id", *row_keys(), F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(WHOLE)))).alias("pos", "word"))
+    keyed = docs.select("doc_id", *row_keys(), F.concat(words_of(F.col("text")), F.array(F.lit(WHOLE))).alias("w"))  # once a text, not once a word
+    split = keyed.select("doc_id", "a", "b", F.posexplode("w").alias("pos", "word"))
     rows = split.select(F.xxhash64("word").alias("term"), F.when(F.col("word") == WHOLE, F.col("doc_id")).alias("doc_id"), "a", "b", "pos")
     index = stored(rows.join(bounded(stored(terms, "terms")), "term", "left_semi"), "postings")
     ends = index.where(F.col("term") == whole).select("doc_id", "a", "b", F.col("pos").cast("long").alias("n_words"))
