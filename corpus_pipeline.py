@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsemill.llm import curve_packing, decontamination, language_id, quality_classifier, simhash_dedup
-from pulsemill.llm.common import stored, table
+from pulsemill.llm.common import stored, table, workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curve_packing.pack(docs)
 
 
-STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("packing", packing)]
+STAGES = [
+    ("language", language),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("packing", packing),
+]
 
 #: Trained models and tokenizers can't be expressed in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
@@ -50,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with workspace(spark):  # what a stage needs on its way goes with it
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_bytes
+from .common import cleaned, stored, table, text_bytes
 
 LENGTH = 1024
 DIMENSIONS = 4
@@ -184,6 +184,7 @@ def line_offsets(rows: DataFrame) -> DataFrame:
     return local.join(F.broadcast(base), "part").select("rid", (F.col("base") + F.col("local")).alias("line_start"))
 
 
+@cleaned
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece of a document; with `keep_ids` also its token ids."""
     rows = tokenized(docs, path, id_col, text_col)

@@ -2,7 +2,8 @@ import zlib
 
 import corpus_pipeline as cpl
 from pulsemill.llm import decontamination, language_id, quality_classifier
-from pulsemill.llm.common import scratch_root, stored, table
+from pulsemill.llm.common import cleaned, scratch_root, stored, table, workspace
+from pulsemill.sources.files import Folders
 
 from .test_native import plain_contamination
 from .test_simhash_dedup import plain_components
@@ -56,5 +57,34 @@ def test_stages_on_empty_and_odd_rows(spark):
     assert len(decontamination.kept(odd, table(spark, SF, "benchmark")).collect()) == 4
 
 
+def test_every_stage_keeps_columns_of_any_name(spark):
+    clash = ["__key", "__h", "near_id", "near_h", "media_type", "fp", "rid", "a", "b", "c0"]
+    texts = ["The words of this text are like those of any other text here.", "Another text that has some more words in it than the first one has."]
+    rows = [(k, t, "en", "src1", len(t), *[f"{c}{k}" for c in clash]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash))
+    for name, stage in cpl.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows), name
+        if name != "quality":
+            assert out.count() == 2, name
+    assert {r.doc_id for r in cpl.packing(spark, docs, SF).collect()} == {0, 1}
+
+
+def test_scratch_tables_go_with_their_owner(spark):
+    files, root = Folders(spark), scratch_root(spark)
+    names = lambda: set(files.names(root))
+    before = names()
+    with workspace(spark):
+        stored(spark.range(3), "inner")
+        with workspace(spark):
+            kept = stored(spark.range(4), "kept", outer=True)
+            stored(spark.range(5), "gone")
+        assert kept.count() == 4 and len(names() - before) == 2
+    assert names() == before
+    two = cleaned(lambda rows: stored(rows, "way").where("id > 0"))
+    two.__wrapped__.__name__ = "two"
+    assert two(spark.range(3)).count() == 2 and len(names() - before) == 1
+
+
 def test_scratch_folder_is_the_shared_one(spark):
     assert scratch_root(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
