@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cleaned, stored, table, text_bytes
+from .common import stored, table, text_bytes
 
 LENGTH = 1024
 DIMENSIONS = 4
@@ -59,8 +59,13 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     spec = json.load(open(path, encoding="utf-8"))
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    whole = Tokenizer.from_file(path)
-    slow = lambda text: whole.encode(text, add_special_tokens=False).ids
+    whole: list[Tokenizer] = []
+
+    def slow(text: str) -> list[int]:
+        if not whole:  # most workers never need it
+            whole.append(Tokenizer.from_file(path))
+        return whole[0].encode(text, add_special_tokens=False).ids
+
     vocab, letters, special = model.get("vocab", {}), _byte_letters(), spec.get("added_tokens", [])
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     plain = (
@@ -184,7 +189,6 @@ def line_offsets(rows: DataFrame) -> DataFrame:
     return local.join(F.broadcast(base), "part").select("rid", (F.col("base") + F.col("local")).alias("line_start"))
 
 
-@cleaned
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece of a document; with `keep_ids` also its token ids."""
     rows = tokenized(docs, path, id_col, text_col)
