@@ -6,6 +6,7 @@ Listing goes through the Hadoop file system of the path, so any store that Spark
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import RAW
 
+FOOTERS_AT_ONCE = 16
+
 
 class Landed(NamedTuple):
     path: str
@@ -130,13 +133,14 @@ def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Readings from files whose columns may differ in physical type: files of one schema are read together and cast.
 
     Values are cast to the canonical types before anything is computed, so no value depends on which file comes first.
-    Extra columns are left out, a missing one is an error.
+    Extra columns are left out, a missing one is an error. Footers are read by jobs of one task each, several at once.
     """
     if not paths:
         return spark.createDataFrame([], RAW)
     groups: dict[str, list[str]] = {}
-    for path in paths:
-        fields = spark.read.parquet(path).schema  # reads one footer
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        schemas = list(pool.map(lambda path: spark.read.parquet(path).schema, paths))  # each reads one footer
+    for path, fields in zip(paths, schemas):
         lost = {f.name for f in RAW.fields} - set(fields.names)
         if lost:
             raise ValueError(f"{path} has no column {', '.join(sorted(lost))}")
