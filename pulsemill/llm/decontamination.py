@@ -4,8 +4,8 @@ The index holds a posting (term, text, position) for every occurrence of a bench
 texts, and a posting of its end for each document, whose position is the number of words; it is a stored table. A benchmark
 item becomes its windows of `window` words. For each window the two rarest terms are looked up; their posting lists,
 shifted by the terms' offsets, are intersected on (window, text, start). What is left is compared word for word with the
-texts concerned, so matches are exact. `proximity_matches` intersects the shifted lists with some slack, and counts the
-window's words near their places.
+texts concerned, so matches are exact. `proximity_matches` takes the lists of the rarest few, intersects them with some slack
+where the postings lie, and counts the window's words near their places there.
 
 Sizes. The term list, windows and term counts grow with the benchmark alone; they are broadcast only if they have under
 `BROADCAST_ROWS` rows, by count, and shuffled otherwise. Lists of hot terms are never gathered: the lookups are joins over
@@ -20,6 +20,9 @@ other; other columns are never read, whatever their names, and `kept` returns th
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,14 +70,17 @@ def ranked_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
     return terms.withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("n", "place")))
 
 
+def looked_up(index: DataFrame, lists: DataFrame, width: int = 1) -> DataFrame:
+    """Postings (term, a, pos and others) with each row of their term in `lists`, which is stored; `width` as in `bounded`."""
+    if lists.count() * width <= BROADCAST_ROWS:
+        return index.join(F.broadcast(lists), "term")
+    salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot term's postings go to SALTS tasks
+    return index.withColumn("salt", F.pmod(F.xxhash64("a", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
+
+
 def shifted(index: DataFrame, lists: DataFrame, *more: str) -> DataFrame:
     """Starts (a, b, start) that the postings of each row of `lists` (wid, term, place) allow; `lists` is stored."""
-    if lists.count() <= BROADCAST_ROWS:
-        at = index.join(F.broadcast(lists), "term")
-    else:  # a hot term's postings go to SALTS tasks
-        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        at = index.withColumn("salt", F.pmod(F.xxhash64("a", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
-    return at.select("wid", "a", "b", (F.col("pos") - F.col("place")).alias("start"), *more)
+    return looked_up(index, lists).select("wid", "a", "b", (F.col("pos") - F.col("place")).alias("start"), *more)
 
 
 def candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
@@ -130,44 +136,61 @@ def kept(docs: DataFrame, items: DataFrame) -> DataFrame:
     return held.join(bounded(hits), ["a", "b"], "left_anti").select(*named_back(docs.columns))
 
 
+def rare_lists(windows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """A row for each posting list to follow: wid, size, need, phrase, term, place, others (array of rank, place, word), last; stored.
+
+    `ranked` has the need of each window. If m = size - need words may miss, two at least of the m + 2 rarest are near in any
+    match, so one of the m + 1 rarest is; their lists are followed. `others` are the rest of the m + 2, `last` is the last.
+    """
+    rare = ranked.where("n > 0 AND rank <= size - need + 2").join(windows.select("wid", "phrase"), "wid")
+    rare = rare.withColumn("word", F.get(F.split("phrase", " "), F.col("place")))
+    each = F.array_sort(F.collect_list(F.struct("rank", "place", "word", "term"))).alias("rare")
+    own = rare.groupBy("wid", "size", "need", "phrase").agg(each).select("*", F.explode("rare").alias("own")).where("own.rank <= size - need + 1")
+    others = F.filter("rare", lambda o: o["rank"] != F.col("own.rank"))
+    last = F.get(F.filter("rare", lambda o: o["rank"] == F.col("size") - F.col("need") + 2), F.lit(0))
+    return stored(own.select("wid", "size", "need", "phrase", "own.term", "own.place", others.alias("others"), last.alias("last")), "rarest")
+
+
 @cleaned
 def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 2, least: float = 0.8, window: int = WINDOW) -> DataFrame:
     """doc_id, phrase, start, n_near: windows of which enough words lie near their places in a text, the best start of each.
 
     Of a window of s words ceil(least * s) must be near; words that no document has count as missing. A start is where a
-    posting of one of the rarest words puts the phrase, and a word is near if it occurs at most `slack` words from its
-    place from there. If m words may miss, two at least of the m + 2 rarest are near in any match, so the shifted lists of
-    those are intersected, and only what is left is counted. Of several starts the one with most words near is given, then
-    the first; it may be negative if the first words miss.
+    posting of one of the rarest words (`rare_lists`) puts the phrase, and a word is near if it occurs at most `slack` words
+    from its place from there. Of several starts the one with most words near is given, then the first; it may be negative
+    if the first words miss.
+
+    Shifted lists are intersected, and the words counted, where the postings lie, over the words around each: what moves is
+    a row a match, not one for each posting and window.
     """
     docs = docs.select("doc_id", "text")
     windows, _ = item_windows(items, window)
     index, ends = postings(docs, windows)
-    need = F.ceil(F.round(F.lit(float(least)) * F.col("size"), 9)).cast("int")
-    lists = ranked_terms(windows, index).withColumn("need", F.greatest(need, F.lit(1))).where("n > 0 AND rank <= size - need + 2")
-    lists = stored(lists.select("wid", "term", "place", "rank", "size", "need"), "rarest")
-    cell = lambda c: F.floor(c / (slack + 1))
-    starts = stored(shifted(index, lists, "rank", "size", "need").distinct(), "starts")
-    one = starts.withColumn("cell", cell(F.col("start")))
-    spread = F.sequence(cell(F.col("start")) - 1, cell(F.col("start")) + 1)
-    other = starts.select("wid", "a", "b", F.col("start").alias("other"), F.col("rank").alias("other_rank"), F.explode(spread).alias("cell"))
-    close = (F.abs(F.col("start") - F.col("other")) <= slack) & (F.col("rank") != F.col("other_rank"))
-    same = [one[c] == other[c] for c in ("wid", "a", "b", "cell")]
-    pairs = one.where("need > 1").join(other, [*same, close], "left_semi").drop("cell")
-    near = pairs.union(starts.where("need = 1").select(pairs.columns)).select("wid", "a", "b", "start", "need").distinct()
-    near = near.join(bounded(windows), "wid").groupBy("a", "b").agg(F.collect_list(F.struct("start", "size", "need", "wid", "phrase")).alias("near"))
-    rows = texts_of(docs, stored(near, "candidates"))
-
-    def counted(c: Column) -> Column:
-        words = F.split(c["phrase"], " ")
-        low = lambda i: F.greatest(c["start"] + i - slack, F.lit(0))
-        width = lambda i: F.greatest(c["start"] + i + slack + 1 - low(i), F.lit(0))
-        there = F.filter(F.sequence(F.lit(0), c["size"] - 1), lambda i: F.array_contains(F.slice("w", low(i) + 1, width(i)), F.get(words, i)))
-        return F.struct((-F.size(there)).alias("fewer"), c["start"].alias("start"), c["need"].alias("need"), c["wid"].alias("wid"), c["phrase"].alias("phrase"))
-
-    each = rows.select("a", "b", F.explode(F.transform("near", counted)).alias("c")).where(F.col("c.fewer") <= -F.col("c.need"))
-    best = each.groupBy("a", "b", "c.wid").agg(F.min("c").alias("c"))
-    told = best.select("a", "b", "c.phrase", F.col("c.start").cast("long").alias("start"), (-F.col("c.fewer")).cast("long").alias("n_near"))
+    need = lambda size: F.greatest(F.ceil(F.round(F.lit(float(least)) * size, 9)).cast("int"), F.lit(1))
+    lists = rare_lists(windows, ranked_terms(windows, index).withColumn("need", need(F.col("size"))))
+    reach = window - 1 + 2 * slack
+    split = docs.select(*row_keys(), words_of(F.col("text")).alias("w")).select("a", "b", "w", F.posexplode("w").alias("pos", "word"))
+    split = split.select("a", "b", "w", "pos", F.xxhash64("word").alias("term")).join(bounded(stored(lists.select("term").distinct(), "followed")), "term", "left_semi")
+    base = F.greatest(F.col("pos") - reach, F.lit(0))
+    around = F.slice("w", base + 1, F.col("pos") + reach + 1 - base)
+    at = looked_up(split.select("term", "a", "b", "pos", base.alias("base"), around.alias("around")), lists, 8)
+
+    def there(place: Column, word: Column) -> Column:
+        """Whether a word is near a place of the text."""
+        low = F.greatest(place - slack - F.col("base"), F.lit(0))
+        return F.array_contains(F.slice("around", low + 1, F.greatest(place + slack + 1 - F.col("base") - low, F.lit(0))), word)
+
+    first = F.col("pos") - F.col("place")
+    most = max(s - max(math.ceil(round(least * s, 9)), 1) + 2 for s in range(1, window + 1))
+    other = [F.get("others", F.lit(k)) for k in range(min(most, window) - 1)]
+    met = [F.coalesce(there(first + o["place"], o["word"]), F.lit(False)) for o in other]
+    at = at.where(reduce(Column.__or__, met, F.col("need") == 1))
+    last_at = F.filter(F.sequence(first - slack, first + slack), lambda s: F.get("around", s + F.col("last.place") - F.col("base")) == F.col("last.word"))
+    starts = at.select("a", "b", "wid", "size", "need", "phrase", "base", "around", F.explode(F.array_union(F.array(first), last_at)).alias("start"))
+    near = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: there(F.col("start") + i, F.get(F.split("phrase", " "), i)))
+    each = starts.select("a", "b", "wid", "phrase", "start", "need", F.size(near).alias("n_near")).where("n_near >= need")
+    best = each.groupBy("a", "b", "wid", "phrase").agg(F.min(F.struct((-F.col("n_near")).alias("fewer"), "start")).alias("c"))
+    told = best.select("a", "b", "phrase", F.col("c.start").cast("long").alias("start"), (-F.col("c.fewer")).cast("long").alias("n_near"))
     return ends.join(told, ["a", "b"]).select("doc_id", "phrase", "start", "n_near")
 
 

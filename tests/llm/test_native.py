@@ -2,6 +2,7 @@ import collections
 import datetime as dt
 import hashlib
 import math
+import random
 import re
 import time
 
@@ -129,6 +130,30 @@ def test_proximity(spark):
     assert dc.proximity_matches(rows.limit(0), given).count() == 0 and dc.proximity_matches(rows, given.limit(0)).count() == 0
 
 
+def test_proximity_moves_only_what_meets(spark, monkeypatch):
+    """Words of a window that occur often, but never near one another, leave no rows on the way; no list is too long."""
+    made = {}
+
+    def noted(df, name, *args, **kwargs):
+        made[name] = (out := stored(df, name, *args, **kwargs)).count()
+        return out
+
+    stored = common.stored
+    for module in (common, dc):
+        monkeypatch.setattr(module, "stored", noted)
+    lone = [(k, " ".join(f"{x} " + "of " * 30 for x in LONG.split() * 50)) for k in range(4)]
+    draw = random.Random(7)
+    some = [(9 + k, " ".join(draw.choice("abcdefghijklmn") if draw.random() < 0.3 else x for x in LONG.split() * 3)) for k in range(20)]
+    items = [(1, LONG), (2, "n m a b")]
+    rows = spark.createDataFrame(lone + some, "doc_id long, text string")
+    given = spark.createDataFrame(items, "item_id long, text string")
+    assert dc.proximity_matches(rows.where("doc_id < 9"), given.where("item_id = 1")).count() == 0
+    assert made.pop("postings") > 2400 and sum(made.values()) < 200
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)  # lists by shuffle
+    got = sorted((tuple(r) for r in dc.proximity_matches(rows, given).collect()), key=str)
+    assert got == plain_proximity(lone + some, items, 2, 0.8) and len(got) > 20
+
+
 def test_proximity_query(spark):
     read = lambda name, key: [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(key, "text").collect()]
     docs, items = read("documents", "doc_id"), read("benchmark", "item_id")
