@@ -8,6 +8,7 @@ on a restart.
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,11 @@ def land(rows: DataFrame, base: str, started: dt.datetime | None = None, marker:
     return folder
 
 
+def by_second(path: str) -> str:
+    """A landed path as its flush's second names it, without the suffix that tells flushes of one second apart."""
+    return re.sub(r"(/\d{8}/\d{6})_\d+(?=/|$)", r"\1", path)
+
+
 def start_lander(messages: DataFrame, base: str, checkpoint: str, interval: str = FLUSH, once: bool = False) -> StreamingQuery:
     """Land a stream with a `value` column of JSON messages."""
     writer = decoded(messages).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: land(rows.persist(), base) and rows.unpersist())
